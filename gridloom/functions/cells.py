@@ -63,9 +63,9 @@ class Cell:
 
     def branch(self, cases: dict[str, Column]) -> Column:
         """The expression for this cell's kind; ``text`` is the default."""
-        default = cases[TEXT]
         if isinstance(self.kind, str):
-            return cases.get(self.kind, default)
+            return cases[self.kind] if self.kind in cases else cases[TEXT]
+        default = cases[TEXT]
         chosen = None
         for kind, value in cases.items():
             if kind != TEXT:
@@ -73,6 +73,10 @@ class Cell:
                 chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
         return default if chosen is None else chosen.otherwise(default)
 
+    def may_be(self, kind: str) -> bool:
+        """False only when this cell is known to be of a kind with its own case."""
+        return not isinstance(self.kind, str) or self.kind in (kind, BOOLEAN, DATETIME)
+
     @property
     def blank(self) -> Column:
         return self.branch(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.coerce import NOT_STORED, SPARK_TYPES, Coerced
-from gridloom.functions.numbers import parse_number
+from gridloom.functions.coerce import NOT_STORED, SPARK_TYPES
+from gridloom.functions.numbers import with_numbers
 from gridloom.functions.text import text_length
 from gridloom.plans.model import Field
 
@@ -37,7 +39,29 @@ NO_TARGET = 'Elige un valor para "%s".'
 BAD_FORMAT = "Uno de los valores no tiene el formato esperado."
 
 
-def strict(column: Column, data_type: T.DataType, field: Field) -> Coerced:
+def with_strict(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """Add ``__value_<field>`` and ``__reason_<field>`` for fields that are columns of ``df``."""
+    types = {field.name: field.dataType for field in df.schema}
+    numbers = {
+        f"__number_{f.name}": F.col(f.name)
+        for f in fields
+        if f.type in ("integer", "decimal") and isinstance(types[f.name], T.StringType)
+    }
+    df = with_numbers(df, numbers) if numbers else df
+    checks = {f.name: _strict(F.col(f.name), types[f.name], f) for f in fields}
+    df = df.withColumns({f"__reason_{n}": reason for n, (_, reason) in checks.items()})
+    df = df.withColumns(
+        {
+            f"__value_{f.name}": F.when(
+                F.col(f"__reason_{f.name}").isNull(), checks[f.name][0]
+            ).cast(SPARK_TYPES[f.type])
+            for f in fields
+        }
+    )
+    return df.drop(*numbers)
+
+
+def _strict(column: Column, data_type: T.DataType, field: Field) -> tuple[Column, Column]:
     """The value of a field and the reason it is refused. Null is refused where required."""
     name = field.name
     texts = isinstance(data_type, T.StringType)
@@ -58,7 +82,7 @@ def strict(column: Column, data_type: T.DataType, field: Field) -> Coerced:
         value = column
     elif field.type in ("integer", "decimal"):
         wrong = say(NOT_A_NUMBER)
-        number = parse_number(column) if texts else column
+        number = F.col(f"__number_{name}") if texts else column
         if texts or numeric:
             double = number.cast("double")
             finite = double.isNotNull() & ~F.isnan(double) & (F.abs(double) < float("inf"))
@@ -94,5 +118,4 @@ def strict(column: Column, data_type: T.DataType, field: Field) -> Coerced:
         wrong = say(NO_TARGET if field.type == "relation" else NOT_TEXT)
         value, reason = column, none if texts else wrong
     absent = wrong if field.required else none
-    reason = F.when(column.isNull(), absent).otherwise(reason)
-    return Coerced(F.when(reason.isNull(), value).cast(SPARK_TYPES[field.type]), reason)
+    return value, F.when(column.isNull(), absent).otherwise(reason)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import cell_of
-from gridloom.functions.strict import strict
+from gridloom.functions.strict import with_strict
 from gridloom.operators.entities import record_id
 from gridloom.plans.model import CREATED, ID, KEY, SOURCE, UPDATED, Entity, Field
 
@@ -53,13 +53,6 @@ def _check_references(
     return checked.drop(*[c for c in checked.columns if c.startswith("__found_")])
 
 
-def _validated(batch: DataFrame, fields: Sequence[Field]) -> tuple[list[Column], Column]:
-    checks = [(f, strict(F.col(f.name), batch.schema[f.name].dataType, f)) for f in fields]
-    values = [c.value.alias(f.name) for f, c in checks]
-    reasons = [c.reason for _, c in checks] or [F.lit(None).cast("string")]
-    return values, F.coalesce(*reasons)
-
-
 def create_records(
     batch: DataFrame,
     entity: Entity,
@@ -77,9 +70,14 @@ def create_records(
     for field in entity.fields:
         if field.name not in given:
             batch = batch.withColumn(field.name, F.lit(None).cast("string"))
-    values, reason = _validated(batch, entity.fields)
+    reasons = [F.col(f"__reason_{f.name}") for f in entity.fields]
+    validated = with_strict(batch, entity.fields).select(
+        REQUEST,
+        *[F.col(f"__value_{f.name}").alias(f.name) for f in entity.fields],
+        F.coalesce(*reasons).alias("__invalid"),
+    )
     checked = _check_references(
-        batch.select(REQUEST, *values, reason.alias("__invalid")),
+        validated,
         entity,
         targets or {},
         F.col("__invalid"),
@@ -123,12 +121,12 @@ def patch_requests(
     values, reasons = [], []
     for field in fields:
         present = F.array_contains("set", field.name)
-        checked = strict(F.col(field.name), patches.schema[field.name].dataType, field)
-        values.append(F.when(present, checked.value).alias(field.name))
-        reasons.append(F.when(present, checked.reason))
+        values.append(F.when(present, F.col(f"__value_{field.name}")).alias(field.name))
+        reasons.append(F.when(present, F.col(f"__reason_{field.name}")))
     unknown = F.array_except("set", names)
     reasons.append(F.when(F.size(unknown) > 0, F.concat(F.lit("Campo desconocido: "), unknown[0])))
-    validated = patches.select(REQUEST, ID, "set", *values, F.coalesce(*reasons).alias("__invalid"))
+    checked = with_strict(patches, fields)
+    validated = checked.select(REQUEST, ID, "set", *values, F.coalesce(*reasons).alias("__invalid"))
     wanted = validated.select(ID).distinct()
     found = records.select(ID).join(wanted, ID, "left_semi").select(F.col(ID).alias("__id"))
     known = validated.join(found, F.col(ID) == F.col("__id"), "left")

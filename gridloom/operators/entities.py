@@ -11,9 +11,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.cells import Cell, cells_of
-from gridloom.functions.coerce import SPARK_TYPES, coerce
-from gridloom.plans.model import ID, KEY, SOURCE, TEXT_LIKE, Entity
+from gridloom.functions.cells import cells_of
+from gridloom.functions.coerce import SPARK_TYPES, Target, coerce
+from gridloom.plans.model import ID, KEY, SOURCE, TEXT_LIKE, Entity, Field
 
 STATUS, REASON, RAW, ROWS = "__status", "__reason", "__raw", "__rows"
 KEPT, FAILED, BLANK = "kept", "failed", "blank"
@@ -116,16 +116,30 @@ def import_entity(
             row,
         )
 
+    texts = {name: cell.text for name, cell in cells.items()}
+    plain = [f for f in entity.mapped if f.type != "relation"]
+    coerced_rows, coerced = coerce(
+        linked,
+        {f.name: Target(f.source, f.type, f.name, f.required, f.options) for f in plain},
+        cells,
+    )
     values, reasons = [], []
     for field in entity.fields:
-        value, reason = _field(cells.get(field.source), field, linked.columns)
+        if field.name in coerced:
+            names_of = coerced[field.name]
+            values.append(F.col(names_of.value).alias(field.name))
+            reasons.append(F.col(names_of.reason))
+            continue
+        value = F.lit(None).cast(SPARK_TYPES[field.type])
+        if field.type == "relation" and f"__ref_{field.name}" in linked.columns:
+            value = F.col(f"__ref_{field.name}")
         values.append(value.alias(field.name))
-        if reason is not None:
-            reasons.append(reason)
+        if field.required:
+            reasons.append(F.when(value.isNull(), _missing(field, texts.get(field.source))))
     reason = F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
-    raw = F.array(*[cells[name].text for name in names])
+    raw = F.array(*texts.values())
 
-    rows = linked.select(
+    rows = coerced_rows.select(
         F.col(row).cast("bigint").alias("__row"),
         *values,
         F.struct(F.lit(sheet).alias("sheet"), F.col(row).cast("bigint").alias("row")).alias(SOURCE),
@@ -168,22 +182,12 @@ def import_entity(
     )
 
 
-def _field(cell: Cell | None, field, columns: list[str]) -> tuple[Column, Column | None]:
-    if field.type == "relation":
-        reference = f"__ref_{field.name}"
-        value = F.col(reference) if reference in columns else F.lit(None).cast("string")
-        if not field.required:
-            return value, None
-        before, between, after = NOT_FOUND.split("%s")
-        text = cell.text if cell is not None else F.lit("")
-        return value, F.when(
-            value.isNull(), F.concat(F.lit(before), text, F.lit(between + field.name + after))
-        )
-    if cell is None:
-        empty = F.lit(None).cast(SPARK_TYPES[field.type])
-        return empty, F.lit(STORE_MISSING) if field.required else None
-    coerced = coerce(cell, field.type, field.name, field.required, field.options)
-    return coerced.value, coerced.reason
+def _missing(field: Field, text: Column | None) -> Column:
+    """Why a required field without a value is refused."""
+    if field.source is None or text is None:
+        return F.lit(STORE_MISSING)
+    before, between, after = NOT_FOUND.split("%s")
+    return F.concat(F.lit(before), text, F.lit(between + field.name + after))
 
 
 def kept(outcome: DataFrame) -> DataFrame:

@@ -60,8 +60,12 @@ def read_workbooks(spark: SparkSession, path: str, limits: Limits = Limits()) ->
         .option("pathGlobFilter", "*.xlsx")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("path", "content")
     )
+    return parse_workbooks(files.select("path", "content"), limits)
+
+
+def parse_workbooks(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The grid of workbooks given as ``path`` and ``content`` columns."""
     schema = to_arrow_schema(GRID_SCHEMA)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +74,7 @@ def read_workbooks(spark: SparkSession, path: str, limits: Limits = Limits()) ->
                 rows = _workbook_rows(name.as_py(), content.as_buffer(), limits)
                 yield from _batched(rows, schema)
 
-    return files.mapInArrow(parse, GRID_SCHEMA)
+    return files.select("path", "content").mapInArrow(parse, GRID_SCHEMA)
 
 
 def sheet_rows(grid: DataFrame) -> DataFrame:
@@ -144,6 +148,10 @@ def _text_of(item: ElementTree.Element) -> str:
     return "".join(_text_of(child) for child in item)
 
 
+def _row(reference: str) -> int:
+    return int(reference.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
 def _column(reference: str) -> int:
     number = 0
     for letter in reference.rstrip("0123456789"):
@@ -201,32 +209,41 @@ class _Workbook:
         ]
 
     def rows(self, part: str, max_columns: int) -> Iterator[tuple[int, list[dict | None]]]:
+        """Row number and cells of each row, with merged ranges filled from their first cell."""
         content = self._archive.read(part)
         tail = content[content.rfind(b"</sheetData>") :]
         covered = _merged(re.findall(rb'<(?:\w+:)?mergeCell [^>]*ref="([A-Z0-9:]+)"', tail))
-        masters: dict[tuple[int, int], dict | None] = {}
+        sources = {at for row in covered.values() for at in row.values()}
+        values: dict[tuple[int, int], dict | None] = {}
+
+        def filled(number: int, row: list[dict | None]) -> tuple[int, list[dict | None]]:
+            for column, value in enumerate(row):
+                if (number, column) in sources:
+                    values[number, column] = value
+            for column, source in covered.pop(number, {}).items():
+                if column < max_columns:
+                    row.extend([None] * (column + 1 - len(row)))
+                    row[column] = values.get(source)
+            return number, row
+
         number = 0
-        pending = sorted({at[0] for at in covered}, reverse=True)
         for _, element in ElementTree.iterparse(io.BytesIO(content)):
             if _local(element.tag) != "row":
                 continue
             number = int(element.get("r", number + 1))
             # Rows that exist only as part of a merged range.
-            while pending and pending[-1] < number:
-                at = pending.pop()
-                yield at, _covered_row([], at, covered, masters, max_columns)
-            if pending and pending[-1] == number:
-                pending.pop()
+            for gap in [n for n in sorted(covered) if n < number]:
+                yield filled(gap, [])
             row: list[dict | None] = []
             for position, cell in enumerate(element):
                 at = _column(cell.get("r")) if cell.get("r") else position
                 if at < max_columns:
                     row.extend([None] * (at + 1 - len(row)))
                     row[at] = self._value(cell)
-            yield number, _covered_row(row, number, covered, masters, max_columns)
+            yield filled(number, row)
             element.clear()
-        for at in reversed(pending):
-            yield at, _covered_row([], at, covered, masters, max_columns)
+        for gap in sorted(covered):
+            yield filled(gap, [])
 
     def _value(self, cell: ElementTree.Element) -> dict | None:
         kind = cell.get("t", "n")
@@ -255,28 +272,14 @@ class _Workbook:
         return {"kind": NUMBER, "n": number}
 
 
-def _merged(references: list[bytes]) -> dict[tuple[int, int], tuple[int, int]]:
-    """Covered cell to the cell that fills it, for every merged range."""
-    covered = {}
+def _merged(references: list[bytes]) -> dict[int, dict[int, tuple[int, int]]]:
+    """By row and column, the cell that fills each covered cell of a merged range."""
+    covered: dict[int, dict[int, tuple[int, int]]] = {}
     for reference in references:
         first, _, last = reference.decode().partition(":")
-        top, left = int(first.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ")), _column(first)
-        bottom, right = int(last.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ")), _column(last)
+        top, left, bottom, right = _row(first), _column(first), _row(last), _column(last)
         for row in range(top, bottom + 1):
             for column in range(left, right + 1):
                 if (row, column) != (top, left):
-                    covered[row, column] = (top, left)
+                    covered.setdefault(row, {})[column] = (top, left)
     return covered
-
-
-def _covered_row(row, number, covered, masters, max_columns):
-    """Fill the cells of a merged range with the value of its first cell."""
-    if not covered:
-        return row
-    for column, value in enumerate(row):
-        masters[number, column] = value
-    for (at, column), master in covered.items():
-        if at == number and column < max_columns:
-            row.extend([None] * (column + 1 - len(row)))
-            row[column] = masters.get(master)
-    return row
