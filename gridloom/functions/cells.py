@@ -119,8 +119,7 @@ def as_ntz(column: Column, data_type: T.DataType) -> Column:
     return column.cast("timestamp_ntz")
 
 
-def cell_of(column: Column, data_type: T.DataType, trimmed: bool = False) -> Cell:
-    """The cell in ``column``; ``trimmed`` says that its text has no outer spaces left."""
+def cell_of(column: Column, data_type: T.DataType) -> Cell:
     if isinstance(data_type, T.StructType):
         time = column["t"]
         text = (
@@ -148,29 +147,16 @@ def cell_of(column: Column, data_type: T.DataType, trimmed: bool = False) -> Cel
     if isinstance(data_type, T.NumericType):
         return Cell(NUMBER, _filled(column.cast("string")), number=column, null=column.isNull())
     text = column.cast("string")
-    return Cell(TEXT, _filled(text if trimmed else trim_ws(text)))
+    return Cell(TEXT, _filled(trim_ws(text)))
 
 
 def _filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def cells_of(
-    df: DataFrame, columns: list[str] | None = None, trimmed: bool = False
-) -> dict[str, Cell]:
+def cells_of(df: DataFrame, columns: list[str] | None = None) -> dict[str, Cell]:
     types = {field.name: field.dataType for field in df.schema}
     return {
-        name: cell_of(F.col(f"`{name}`"), types[name], trimmed) for name in columns or df.columns
+        name: cell_of(F.col(f"`{name}`"), types[name]) for name in columns or df.columns
     }
 
-
-def trim_text(df: DataFrame) -> DataFrame:
-    """Trim every text column once, ahead of the expressions that read it several times."""
-    return df.select(
-        *[
-            trim_ws(F.col(f"`{f.name}`")).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema
-        ]
-    )

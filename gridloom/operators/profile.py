@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.apparent import ACCEPTANCE, FLAGS, PRIORITY, type_mask
-from gridloom.functions.cells import Cell, cells_of, trim_text
-from gridloom.functions.text import header_key, text_length
+from gridloom.functions.cells import TEXT, Cell, cell_of, cells_of
+from gridloom.functions.text import header_key, normalize_text, text_length, trim_ws
 
 # Thresholds of the profile.
 MAX_SAMPLES = 20
@@ -46,21 +47,44 @@ def measure(cell: Cell) -> Column:
 def long_cells(df: DataFrame, table: str, row: str, columns: list[str] | None = None) -> DataFrame:
     """One measured row per cell of an ordinary table: table, column, position, row, cell."""
     columns = columns or [c for c in df.columns if c != row]
-    df = trim_text(df.select(row, *columns))
-    cells = cells_of(df, columns, trimmed=True)
+    types = {field.name: field.dataType for field in df.schema}
+
+    def written(position: int, name: str) -> Column:
+        """The text of a cell, with its types when the column type already settles them."""
+        column, mask = F.col(f"`{name}`"), F.lit(None).cast("int")
+        if not isinstance(types[name], T.StringType):
+            cell = cell_of(column, types[name])
+            column, mask = F.when(~cell.blank, cell.text), type_mask(cell)
+        return F.struct(
+            F.lit(position).alias("position"), column.alias("text"), mask.alias("mask")
+        ).alias(name)
+
     wide = df.select(
-        F.col(row).cast("bigint").alias("__row"),
-        *[
-            F.struct(F.lit(i).alias("position"), measure(cells[c]).alias("m")).alias(c)
-            for i, c in enumerate(columns)
-        ],
+        F.col(row).cast("bigint").alias("__row"), *[written(i, c) for i, c in enumerate(columns)]
     )
-    return wide.unpivot("__row", columns, "column", "cell").select(
+    # Text is measured after the columns have become rows: one expression for all of them.
+    raw = wide.unpivot("__row", columns, "column", "cell").select(
         F.lit(table).alias("table"),
         "column",
         F.col("cell.position").alias("position"),
         F.col("__row").alias("row"),
-        F.col("cell.m").alias("cell"),
+        F.col("cell.mask").alias("settled"),
+        F.when(F.col("cell.mask").isNull(), trim_ws(F.col("cell.text")))
+        .otherwise(F.col("cell.text"))
+        .alias("text"),
+    )
+    text, settled = F.col("text"), F.col("settled")
+    key = F.when(settled.isNotNull(), F.lower(text)).otherwise(
+        F.when(text != "", normalize_text(text))
+    )
+    return raw.select(
+        *COLUMN,
+        "row",
+        F.struct(
+            key.alias("key"),
+            text_length(text).alias("length"),
+            F.coalesce(settled, type_mask(Cell(TEXT, text))).alias("mask"),
+        ).alias("cell"),
     )
 
 
