@@ -61,13 +61,19 @@ def _text_mask(text: Column) -> Column:
 
 
 def type_mask(cell: Cell) -> Column:
-    cases = {TEXT: _text_mask(cell.text)}
-    if cell.number is not None:
+    def number() -> Column:
         whole = cell.number == F.floor(cell.number)
-        cases[NUMBER] = F.lit(BIT["decimal"]).bitwiseOR(_bit("integer", whole))
+        return F.lit(BIT["decimal"]).bitwiseOR(_bit("integer", whole))
+
+    def time() -> Column:
+        no_time = (F.hour(cell.time) + F.minute(cell.time) + F.second(cell.time)) == 0
+        return F.lit(BIT["datetime"]).bitwiseOR(_bit("date", no_time))
+
+    cases = {TEXT: lambda: _text_mask(cell.text)}
+    if cell.number is not None:
+        cases[NUMBER] = number
     if cell.flag is not None:
         cases[BOOLEAN] = F.lit(BIT["boolean"])
     if cell.time is not None:
-        no_time = (F.hour(cell.time) + F.minute(cell.time) + F.second(cell.time)) == 0
-        cases[DATETIME] = F.lit(BIT["datetime"]).bitwiseOR(_bit("date", no_time))
+        cases[DATETIME] = time
     return cell.branch(cases)

@@ -7,6 +7,7 @@ sheet, where the branches become a ``case``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,17 +62,22 @@ class Cell:
     time: Column | None = None
     null: Column | None = None
 
-    def branch(self, cases: dict[str, Column]) -> Column:
-        """The expression for this cell's kind; ``text`` is the default."""
+    def branch(self, cases: dict[str, Column | Callable[[], Column]]) -> Column:
+        """The expression for this cell's kind; ``text`` is the default.
+
+        A case given as a function is only built when the kind is possible.
+        """
+
+        def built(case: Column | Callable[[], Column]) -> Column:
+            return case if isinstance(case, Column) else case()
+
         if isinstance(self.kind, str):
-            return cases[self.kind] if self.kind in cases else cases[TEXT]
-        default = cases[TEXT]
-        chosen = None
-        for kind, value in cases.items():
-            if kind != TEXT:
-                test = self.kind == kind
-                chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
-        return default if chosen is None else chosen.otherwise(default)
+            return built(cases[self.kind] if self.kind in cases else cases[TEXT])
+        others = [(kind, case) for kind, case in cases.items() if kind != TEXT]
+        chosen = F
+        for kind, case in others:
+            chosen = chosen.when(self.kind == kind, built(case))
+        return chosen.otherwise(built(cases[TEXT])) if others else built(cases[TEXT])
 
     def may_be(self, kind: str) -> bool:
         """False only when this cell is known to be of a kind with its own case."""
@@ -98,7 +104,7 @@ class Cell:
         """Normalized value; null for a blank cell."""
         keyed = self.branch(
             {
-                TEXT: normalize_text(self.text),
+                TEXT: lambda: normalize_text(self.text),
                 NUMBER: self.text,
                 BOOLEAN: self.text,
                 DATETIME: F.lower(self.text),
