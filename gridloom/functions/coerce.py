@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from gridloom.functions import dates
 from gridloom.functions.cells import BOOLEAN, DATETIME, NUMBER, TEXT, Cell, cells_of
 from gridloom.functions.numbers import round_half_up, with_numbers, without_spaces
+from gridloom.functions.stages import staged
 from gridloom.functions.text import literal_key, normalize_text, quoted
 
 # Words read as true and false once normalized.
@@ -122,7 +123,7 @@ def coerce(
     )
     helpers = [f"__{h}_{n}" for n in targets for h in ("text", "number", "word")]
     names = {n: Coerced(f"__value_{n}", f"__reason_{n}") for n in targets}
-    return df.drop(*helpers), names
+    return staged(df.drop(*helpers)), names
 
 
 def _text(cell: Cell, name: str, target: Target) -> _Rule:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import cell_of
+from gridloom.functions.stages import staged
 from gridloom.functions.strict import with_strict
 from gridloom.operators.entities import record_id
 from gridloom.plans.model import CREATED, ID, KEY, SOURCE, UPDATED, Entity, Field
@@ -77,7 +78,7 @@ def create_records(
         F.coalesce(*reasons).alias("__invalid"),
     )
     checked = _check_references(
-        validated,
+        staged(validated),
         entity,
         targets or {},
         F.col("__invalid"),
@@ -126,7 +127,9 @@ def patch_requests(
     unknown = F.array_except("set", names)
     reasons.append(F.when(F.size(unknown) > 0, F.concat(F.lit("Campo desconocido: "), unknown[0])))
     checked = with_strict(patches, fields)
-    validated = checked.select(REQUEST, ID, "set", *values, F.coalesce(*reasons).alias("__invalid"))
+    validated = staged(
+        checked.select(REQUEST, ID, "set", *values, F.coalesce(*reasons).alias("__invalid"))
+    )
     wanted = validated.select(ID).distinct()
     found = records.select(ID).join(wanted, ID, "left_semi").select(F.col(ID).alias("__id"))
     known = validated.join(found, F.col(ID) == F.col("__id"), "left")

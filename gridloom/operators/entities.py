@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.cells import cells_of
 from gridloom.functions.coerce import SPARK_TYPES, Target, coerce
+from gridloom.functions.stages import staged
 from gridloom.plans.model import ID, KEY, SOURCE, TEXT_LIKE, Entity, Field
 
 STATUS, REASON, RAW, ROWS = "__status", "__reason", "__raw", "__rows"
@@ -139,13 +140,15 @@ def import_entity(
     reason = F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
     raw = F.array(*texts.values())
 
-    rows = coerced_rows.select(
-        F.col(row).cast("bigint").alias("__row"),
-        *values,
-        F.struct(F.lit(sheet).alias("sheet"), F.col(row).cast("bigint").alias("row")).alias(SOURCE),
-        reason.alias(REASON),
-        F.when(reason.isNotNull(), raw).alias(RAW),
-        *([cells[entity.field(entity.dedupe).source].link_key.alias(KEY)] if entity.dedupe else []),
+    rows = staged(
+        coerced_rows.select(
+            F.col(row).cast("bigint").alias("__row"),
+            *values,
+            F.struct(F.lit(sheet).alias("sheet"), F.col(row).cast("bigint").alias("row")).alias(SOURCE),
+            reason.alias(REASON),
+            F.when(reason.isNotNull(), raw).alias(RAW),
+            *([cells[entity.field(entity.dedupe).source].link_key.alias(KEY)] if entity.dedupe else []),
+        )
     )
     fields = [f.name for f in entity.fields]
     good = F.col(REASON).isNull()

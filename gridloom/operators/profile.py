@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions.apparent import ACCEPTANCE, FLAGS, PRIORITY, type_mask
 from gridloom.functions.cells import TEXT, Cell, cell_of, cells_of
+from gridloom.functions.stages import staged
 from gridloom.functions.text import header_key, normalize_text, text_length, trim_ws
 
 # Thresholds of the profile.
@@ -77,14 +78,16 @@ def long_cells(df: DataFrame, table: str, row: str, columns: list[str] | None =
     key = F.when(settled.isNotNull(), F.lower(text)).otherwise(
         F.when(text != "", normalize_text(text))
     )
-    return raw.select(
-        *COLUMN,
-        "row",
-        F.struct(
-            key.alias("key"),
-            text_length(text).alias("length"),
-            F.coalesce(settled, type_mask(Cell(TEXT, text))).alias("mask"),
-        ).alias("cell"),
+    return staged(
+        raw.select(
+            *COLUMN,
+            "row",
+            F.struct(
+                key.alias("key"),
+                text_length(text).alias("length"),
+                F.coalesce(settled, type_mask(Cell(TEXT, text))).alias("mask"),
+            ).alias("cell"),
+        )
     )
 
 

@@ -3,27 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the session, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, shared on a cluster.
 
-    On a cluster the folder is shared and named in ``spark.checkpoint.dir``. Only a local
-    session without one gets a temporary folder.
+    Only a local session that names none gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="gridloom-")
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="gridloom-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for a table that is written and read back."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
 def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
