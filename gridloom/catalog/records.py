@@ -107,9 +107,7 @@ def list_deep_page(spark: SparkSession, folder: str) -> DataFrame:
     )
     entity = Entity("lineas", "lineitem", (Field("importe", "decimal", "l_extendedprice"),), display="importe")
     offset = lines.count() // 3 * 2
-    page = L._deep_page(
-        lines.withColumn("__sort", F.col("importe")), F.col("__sort").desc_nulls_last(), offset, 100
-    )
+    page = L.list_page(lines, entity, descending=True, limit=100, offset=offset, deep=0)
     return page.select(ID, "importe").withColumn("entity", F.lit(entity.name))
 
 
@@ -155,7 +153,7 @@ def find_records(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias(ID)
     )
     targets = {"paises": (COUNTRY, _countries(spark, folder))}
-    found = L.find_records(_customers(spark, folder), CUSTOMER, ids.distinct(), targets)
+    found = L.find_records(_customers(spark, folder), CUSTOMER, ids, targets)
     return found.select(ID, "nombre", F.col("saldo").cast("double").alias("saldo"), "__rel_pais")
 
 

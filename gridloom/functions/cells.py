@@ -61,6 +61,8 @@ class Cell:
     flag: Column | None = None
     time: Column | None = None
     null: Column | None = None
+    #: The text of a text cell, when ``text`` also covers other kinds.
+    words: Column | None = None
 
     def branch(self, cases: dict[str, Column | Callable[[], Column]]) -> Column:
         """The expression for this cell's kind; ``text`` is the default.
@@ -87,7 +89,7 @@ class Cell:
     def blank(self) -> Column:
         return self.branch(
             {
-                TEXT: F.coalesce(self.text, F.lit("")) == "",
+                TEXT: F.coalesce(self.text if self.words is None else self.words, F.lit("")) == "",
                 NUMBER: self._missing(self.number),
                 BOOLEAN: self._missing(self.flag),
                 DATETIME: self._missing(self.time),
@@ -127,15 +129,15 @@ def as_ntz(column: Column, data_type: T.DataType) -> Column:
 
 def cell_of(column: Column, data_type: T.DataType) -> Cell:
     if isinstance(data_type, T.StructType):
-        time = column["t"]
+        time, words = column["t"], trim_ws(column["s"])
         text = (
-            F.when(column["kind"] == TEXT, trim_ws(column["s"]))
+            F.when(column["kind"] == TEXT, words)
             .when(column["kind"] == NUMBER, number_text(column["n"]))
             .when(column["kind"] == BOOLEAN, column["b"].cast("string"))
             .when(column["kind"] == DATETIME, time_text(time))
         )
         return Cell(
-            column["kind"], F.coalesce(text, F.lit("")), column["n"], column["b"], time
+            column["kind"], _filled(text), column["n"], column["b"], time, words=words
         )
     if isinstance(data_type, T.BooleanType):
         return Cell(BOOLEAN, _filled(column.cast("string")), flag=column, null=column.isNull())

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import CELL_TYPE, TEXT, cell_of
+from gridloom.functions.stages import staged
 from gridloom.functions.text import header_key
 from gridloom.operators.profile import COLUMN, measure
 
@@ -76,9 +77,11 @@ def sheet_facts(grid: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<string>")
-def _unique_names(names: pd.Series, keys: pd.Series) -> pd.Series:
-    """Number repeated names, skipping numbers that would repeat another header."""
+def _unique_names(names: Column, keys: Column) -> Column:
+    """Number repeated names, skipping numbers that would repeat another header.
+
+    A header has a few hundred names at most, and only header rows get here.
+    """
 
     def one(row_names, row_keys):
         given, used, out = set(row_keys), set(), []
@@ -92,7 +95,11 @@ def _unique_names(names: pd.Series, keys: pd.Series) -> pd.Series:
             out.append(name if number == 1 else f"{name} ({number})")
         return out
 
-    return pd.Series([one(n, k) for n, k in zip(names, keys)])
+    @F.pandas_udf("array<string>")
+    def unique(names: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([one(n, k) for n, k in zip(names, keys)])
+
+    return unique(names, keys)
 
 
 def headers(grid: DataFrame, facts: DataFrame) -> DataFrame:
@@ -106,13 +113,16 @@ def headers(grid: DataFrame, facts: DataFrame) -> DataFrame:
         F.slice("texts", 1, F.col("last")),
         lambda t, i: F.when(t == "", F.concat(F.lit(GAP_NAME), (i + 1).cast("string"))).otherwise(t),
     )
-    # One row per sheet from here on.
-    return (
+    written = (
         rows.withColumn("texts", texts)
         .withColumn("last", last)
         .withColumn("names", named)
         .withColumn("keys", F.transform("names", header_key))
-        .select(*SHEET, "header_row", _unique_names("names", "keys").alias("names"))
+        .select(*SHEET, "header_row", "names", "keys")
+    )
+    # One row per sheet from here on.
+    return staged(written).select(
+        *SHEET, "header_row", _unique_names(F.col("names"), F.col("keys")).alias("names")
     )
 
 

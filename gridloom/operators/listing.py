@@ -110,11 +110,12 @@ def list_page(
     descending: bool = False,
     limit: int = PAGE,
     offset: int = 0,
+    deep: int = DEEP,
 ) -> DataFrame:
     """One page: sorted with nulls last and the id as tie-break, labels joined to the page only.
 
     A relation sorts by the label it shows. The first rows come from a top-k; a page that ends
-    beyond ``DEEP`` rows is located by row position.
+    beyond ``deep`` rows is located by row position.
     """
     if not 1 <= limit <= MAX_PAGE or offset < 0:
         raise ValueError(f"a page has 1 to {MAX_PAGE} records and starts at 0 or later")
@@ -124,7 +125,7 @@ def list_page(
     if field.type == "relation" and field.target in targets:
         keyed = _with_label(records, field.name, *targets[field.target], "__sort")
     order = F.col("__sort").desc_nulls_last() if descending else F.col("__sort").asc_nulls_last()
-    if offset + limit <= DEEP:
+    if offset + limit <= deep:
         page = keyed.orderBy(order, ID).offset(offset).limit(limit)
     else:
         page = _deep_page(keyed, order, offset, limit)

@@ -7,21 +7,19 @@ streams their rows out in small batches. A workbook cannot be split, but its siz
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass
-from datetime import datetime, timedelta
-from xml.etree import ElementTree
+from itertools import islice
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gridloom.functions.cells import BOOLEAN, CELL_TYPE, DATETIME, NUMBER, TEXT
+from gridloom.functions.cells import CELL_TYPE
+from gridloom.sources import xlsx
+from gridloom.sources.xlsx import Limits
 
 GRID_SCHEMA = T.StructType(
     [
@@ -35,21 +33,8 @@ GRID_SCHEMA = T.StructType(
     ]
 )
 BATCH_ROWS = 2_000
-# The reasons a workbook is refused.
-UNREADABLE = "No pudimos leer este archivo."
-TOO_LARGE = "Este archivo contiene demasiada informacion para procesarlo."
-# Number formats of the file format that mean a date or a time.
-DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
-
-
-@dataclass(frozen=True)
-class Limits:
-    """Read caps. A sheet over the row cap is kept and flagged."""
-
-    sheets: int = 50
-    rows: int = 200_000
-    columns: int = 256
-    unzipped_bytes: int = 300 * 1024 * 1024
+# Tasks get the parser with the job, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(xlsx)
 
 
 def read_workbooks(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
@@ -66,13 +51,14 @@ def read_workbooks(spark: SparkSession, path: str, limits: Limits = Limits()) ->
 
 def parse_workbooks(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The grid of workbooks given as ``path`` and ``content`` columns."""
-    schema = to_arrow_schema(GRID_SCHEMA)
+    schema, size = to_arrow_schema(GRID_SCHEMA), BATCH_ROWS
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                rows = _workbook_rows(name.as_py(), content.as_buffer(), limits)
-                yield from _batched(rows, schema)
+                rows = xlsx.workbook_rows(name.as_py(), content.as_py(), limits)
+                while block := list(islice(rows, size)):
+                    yield pa.RecordBatch.from_pylist(block, schema)
 
     return files.select("path", "content").mapInArrow(parse, GRID_SCHEMA)
 
@@ -82,6 +68,16 @@ def sheet_rows(grid: DataFrame) -> DataFrame:
     return grid.where(F.col("error").isNull()).drop("error")
 
 
+def capped(grid: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """Apply the read caps to a grid from elsewhere: the grid, and the sheets that were cut."""
+    kept = grid.where(
+        (F.col("sheet_index") < limits.sheets) & (F.col("row_index") < limits.rows)
+    ).withColumn("cells", F.slice("cells", 1, limits.columns))
+    bottoms = grid.groupBy("file", "sheet_index").agg(F.max("row_index").alias("bottom"))
+    cut = bottoms.where((F.col("bottom") >= limits.rows) & (F.col("sheet_index") < limits.sheets))
+    return kept, cut.select("file", "sheet_index")
+
+
 def truncated_sheets(grid: DataFrame) -> DataFrame:
     return grid.where("truncated").select("file", "sheet_index")
 
@@ -99,187 +95,3 @@ def cells(grid: DataFrame) -> DataFrame:
         .select("file", "sheet_index", "sheet_name", "row_index", "col_index", "col.*")
         .where(F.col("kind").isNotNull())
     )
-
-
-def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    block: list[dict] = []
-    for row in rows:
-        block.append(row)
-        if len(block) == BATCH_ROWS:
-            yield pa.RecordBatch.from_pylist(block, schema)
-            block = []
-    if block:
-        yield pa.RecordBatch.from_pylist(block, schema)
-
-
-def _workbook_rows(file: str, content: pa.Buffer, limits: Limits) -> Iterator[dict]:
-    def refused(reason: str) -> dict:
-        return {"file": file, "sheet_index": -1, "row_index": -1, "error": reason}
-
-    try:
-        archive = zipfile.ZipFile(pa.BufferReader(content))
-        if sum(entry.file_size for entry in archive.infolist()) > limits.unzipped_bytes:
-            yield refused(TOO_LARGE)
-            return
-        book = _Workbook(archive)
-        for index, (name, part) in enumerate(book.sheets[: limits.sheets]):
-            name = name or f"Hoja {index + 1}"
-            base = {"file": file, "sheet_index": index, "sheet_name": name}
-            bottom = 0
-            for number, row in book.rows(part, limits.columns):
-                bottom = max(bottom, number)
-                if number <= limits.rows:
-                    yield base | {"row_index": number - 1, "cells": row}
-            yield base | {"row_index": -1, "cells": [], "truncated": bottom > limits.rows}
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError):
-        yield refused(UNREADABLE)
-
-
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
-def _text_of(item: ElementTree.Element) -> str:
-    """Plain or rich text; phonetic hints are not text."""
-    if _local(item.tag) == "rPh":
-        return ""
-    if _local(item.tag) == "t":
-        return item.text or ""
-    return "".join(_text_of(child) for child in item)
-
-
-def _row(reference: str) -> int:
-    return int(reference.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-
-
-def _column(reference: str) -> int:
-    number = 0
-    for letter in reference.rstrip("0123456789"):
-        number = number * 26 + ord(letter) - ord("A") + 1
-    return number - 1
-
-
-def _is_date_format(code: str) -> bool:
-    bare = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.|\*.', "", code)
-    return re.search(r"[dmyhs]", bare, re.IGNORECASE) is not None
-
-
-class _Workbook:
-    """The parts of one workbook that its cells refer to."""
-
-    def __init__(self, archive: zipfile.ZipFile) -> None:
-        self._archive = archive
-        self._names = set(archive.namelist())
-        book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
-        targets = {
-            link.get("Id"): link.get("Target", "")
-            for link in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
-        }
-        self.sheets: list[tuple[str, str]] = []
-        old_epoch = False
-        for element in book.iter():
-            if _local(element.tag) == "workbookPr":
-                old_epoch = element.get("date1904") in ("1", "true")
-            if _local(element.tag) == "sheet":
-                link = next(v for k, v in element.attrib.items() if _local(k) == "id")
-                target = targets[link].lstrip("/")
-                part = target if target.startswith("xl/") else f"xl/{target}"
-                if "worksheets/" in part:
-                    self.sheets.append((element.get("name", ""), part))
-        self._epoch = datetime(1904, 1, 1) if old_epoch else datetime(1899, 12, 30)
-        self._strings = [
-            _text_of(item) for item in self._children("xl/sharedStrings.xml")
-        ]
-        self._dates = self._date_styles()
-
-    def _children(self, part: str) -> list[ElementTree.Element]:
-        if part not in self._names:
-            return []
-        return list(ElementTree.fromstring(self._archive.read(part)))
-
-    def _date_styles(self) -> list[bool]:
-        custom, styles = {}, []
-        for group in self._children("xl/styles.xml"):
-            if _local(group.tag) == "numFmts":
-                custom = {f.get("numFmtId"): f.get("formatCode", "") for f in group}
-            if _local(group.tag) == "cellXfs":
-                styles = [style.get("numFmtId", "0") for style in group]
-        return [
-            _is_date_format(custom[s]) if s in custom else int(s) in DATE_FORMATS for s in styles
-        ]
-
-    def rows(self, part: str, max_columns: int) -> Iterator[tuple[int, list[dict | None]]]:
-        """Row number and cells of each row, with merged ranges filled from their first cell."""
-        content = self._archive.read(part)
-        tail = content[content.rfind(b"</sheetData>") :]
-        covered = _merged(re.findall(rb'<(?:\w+:)?mergeCell [^>]*ref="([A-Z0-9:]+)"', tail))
-        sources = {at for row in covered.values() for at in row.values()}
-        values: dict[tuple[int, int], dict | None] = {}
-
-        def filled(number: int, row: list[dict | None]) -> tuple[int, list[dict | None]]:
-            for column, value in enumerate(row):
-                if (number, column) in sources:
-                    values[number, column] = value
-            for column, source in covered.pop(number, {}).items():
-                if column < max_columns:
-                    row.extend([None] * (column + 1 - len(row)))
-                    row[column] = values.get(source)
-            return number, row
-
-        number = 0
-        for _, element in ElementTree.iterparse(io.BytesIO(content)):
-            if _local(element.tag) != "row":
-                continue
-            number = int(element.get("r", number + 1))
-            # Rows that exist only as part of a merged range.
-            for gap in [n for n in sorted(covered) if n < number]:
-                yield filled(gap, [])
-            row: list[dict | None] = []
-            for position, cell in enumerate(element):
-                at = _column(cell.get("r")) if cell.get("r") else position
-                if at < max_columns:
-                    row.extend([None] * (at + 1 - len(row)))
-                    row[at] = self._value(cell)
-            yield filled(number, row)
-            element.clear()
-        for gap in sorted(covered):
-            yield filled(gap, [])
-
-    def _value(self, cell: ElementTree.Element) -> dict | None:
-        kind = cell.get("t", "n")
-        inline = value = None
-        for child in cell:
-            if _local(child.tag) == "v":
-                value = child.text
-            elif _local(child.tag) == "is":
-                inline = _text_of(child)
-        if kind == "inlineStr":
-            return {"kind": TEXT, "s": inline or ""}
-        if value is None or kind == "e":
-            return None
-        if kind == "s":
-            return {"kind": TEXT, "s": self._strings[int(value)]}
-        if kind == "str":
-            return {"kind": TEXT, "s": value}
-        if kind == "b":
-            return {"kind": BOOLEAN, "b": value == "1"}
-        if kind == "d":
-            return {"kind": DATETIME, "t": datetime.fromisoformat(value).replace(tzinfo=None)}
-        number = float(value)
-        style = int(cell.get("s", "0"))
-        if style < len(self._dates) and self._dates[style]:
-            return {"kind": DATETIME, "t": self._epoch + timedelta(milliseconds=round(number * 86_400_000))}
-        return {"kind": NUMBER, "n": number}
-
-
-def _merged(references: list[bytes]) -> dict[int, dict[int, tuple[int, int]]]:
-    """By row and column, the cell that fills each covered cell of a merged range."""
-    covered: dict[int, dict[int, tuple[int, int]]] = {}
-    for reference in references:
-        first, _, last = reference.decode().partition(":")
-        top, left, bottom, right = _row(first), _column(first), _row(last), _column(last)
-        for row in range(top, bottom + 1):
-            for column in range(left, right + 1):
-                if (row, column) != (top, left):
-                    covered.setdefault(row, {})[column] = (top, left)
-    return covered
