@@ -11,7 +11,6 @@ ISO_TIME = (
     ISO_PREFIX + r"[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?( ?(Z|[+-][0-9]{2}(:?[0-9]{2})?))?\z"
 )
 DAY_FIRST = r"^([0-9]{1,2})[/\-.]([0-9]{1,2})[/\-.]([0-9]{2,4})\z"
-_ZONE = r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)\z"
 
 
 def day_first(text: Column) -> Column:
@@ -32,9 +31,9 @@ def iso_date(text: Column) -> Column:
 
 def _iso_time(text: Column) -> Column:
     clean = F.translate(F.regexp_replace(text, r"(?<=[0-9]) (?=[Z+-])", ""), ",", ".")
-    zoned = F.when(clean.rlike(r"[0-9]" + _ZONE) & (F.length(clean) > 16), clean).otherwise(
-        F.concat(clean, F.lit("Z"))
-    )
+    # Seconds and a zone are optional in what people write and not in what Spark reads.
+    seconds = F.regexp_replace(clean, r"^(.{11}[0-9]{1,2}:[0-9]{2})(?=\z|[Z+-])", "$1:00")
+    zoned = F.regexp_replace(seconds, r"^(.{11}[0-9:.]+)\z", "$1Z")
     return zoned.try_cast("timestamp")
 
 
