@@ -39,24 +39,36 @@ def _bit(name: str, test: Column) -> Column:
 
 
 def _text_mask(text: Column) -> Column:
-    # Only text that opens with a digit, sign or separator can be a date, number or phone,
-    # so most text is settled by one character and one search.
+    # Only text that opens with a digit, sign or separator can be a date, number or phone, and
+    # most of that is a bare number, so most text is settled by one or two searches.
     numeric_start = F.substring(text, 1, 1).isin(*"0123456789+-.,")
     short = F.length(text) <= max(len(word) for word in BOOLEAN_WORDS)
-    wordy = _bit("boolean", short & F.lower(text).isin(*BOOLEAN_WORDS)).bitwiseOR(
-        _bit("email", F.contains(text, F.lit("@")) & text.rlike(EMAIL))
-    )
-    numeric = (
-        F.when(text.rlike(LEADING_ZERO), BIT["leading_zero"])
-        .when(text.rlike(INTEGER), BIT["integer"] | BIT["decimal"])
-        .when(text.rlike(DECIMAL), BIT["decimal"])
-        .otherwise(0)
-    ).bitwiseOR(_bit("phone", text.rlike(PHONE) & text.rlike(PHONE_MARK)))
+    boolean = _bit("boolean", short & F.lower(text).isin(*BOOLEAN_WORDS))
+    email = _bit("email", F.contains(text, F.lit("@")) & text.rlike(EMAIL))
+    phone = _bit("phone", text.rlike(PHONE) & text.rlike(PHONE_MARK))
+    # A signed or dotted number may also be a phone; bare digits may not.
+    marked = F.startswith(text, F.lit("+")) | F.contains(text, F.lit("."))
+    number_phone = F.when(marked, phone).otherwise(0)
+    padded = F.lit(BIT["leading_zero"])
     return (
-        F.when(~numeric_start, wordy)
-        .when(text.rlike(DATE_TIME), BIT["datetime"])
+        F.when(~numeric_start, boolean.bitwiseOR(email))
+        .when(
+            text.rlike(INTEGER),
+            F.when(text.rlike(LEADING_ZERO), padded)
+            .otherwise(F.lit(BIT["integer"] | BIT["decimal"]).bitwiseOR(boolean))
+            .bitwiseOR(number_phone),
+        )
+        .when(
+            text.rlike(DECIMAL),
+            F.when(text.rlike(LEADING_ZERO), padded)
+            .otherwise(F.lit(BIT["decimal"]))
+            .bitwiseOR(number_phone),
+        )
         .when(text.rlike(DATE_ONLY), BIT["date"] | BIT["datetime"])
-        .otherwise(wordy.bitwiseOR(numeric))
+        .when(text.rlike(DATE_TIME), BIT["datetime"])
+        .otherwise(
+            F.when(text.rlike(LEADING_ZERO), padded).otherwise(0).bitwiseOR(phone).bitwiseOR(email)
+        )
     )
 
 

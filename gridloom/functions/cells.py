@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.text import normalize_text, trim_ws
+from gridloom.functions.text import WS, normalize_text, trim_ws
 
 TEXT, NUMBER, BOOLEAN, DATETIME = "text", "number", "boolean", "datetime"
 
@@ -61,8 +61,8 @@ class Cell:
     flag: Column | None = None
     time: Column | None = None
     null: Column | None = None
-    #: The text of a text cell, when ``text`` also covers other kinds.
-    words: Column | None = None
+    #: Whether a text cell is blank, when there is a cheaper test than its trimmed text.
+    no_words: Column | None = None
 
     def branch(self, cases: dict[str, Column | Callable[[], Column]]) -> Column:
         """The expression for this cell's kind; ``text`` is the default.
@@ -89,7 +89,7 @@ class Cell:
     def blank(self) -> Column:
         return self.branch(
             {
-                TEXT: F.coalesce(self.text if self.words is None else self.words, F.lit("")) == "",
+                TEXT: self.text == "" if self.no_words is None else self.no_words,
                 NUMBER: self._missing(self.number),
                 BOOLEAN: self._missing(self.flag),
                 DATETIME: self._missing(self.time),
@@ -129,15 +129,16 @@ def as_ntz(column: Column, data_type: T.DataType) -> Column:
 
 def cell_of(column: Column, data_type: T.DataType) -> Cell:
     if isinstance(data_type, T.StructType):
-        time, words = column["t"], trim_ws(column["s"])
+        time = column["t"]
+        no_words = ~F.coalesce(column["s"].rlike(f"[^{WS}]"), F.lit(False))
         text = (
-            F.when(column["kind"] == TEXT, words)
+            F.when(column["kind"] == TEXT, trim_ws(column["s"]))
             .when(column["kind"] == NUMBER, number_text(column["n"]))
             .when(column["kind"] == BOOLEAN, column["b"].cast("string"))
             .when(column["kind"] == DATETIME, time_text(time))
         )
         return Cell(
-            column["kind"], _filled(text), column["n"], column["b"], time, words=words
+            column["kind"], _filled(text), column["n"], column["b"], time, no_words=no_words
         )
     if isinstance(data_type, T.BooleanType):
         return Cell(BOOLEAN, _filled(column.cast("string")), flag=column, null=column.isNull())

@@ -93,7 +93,7 @@ def coerce(
     source = {name: cells[t.source] for name, t in targets.items()}
     df = df.withColumns({f"__text_{n}": source[n].text for n in targets})
     # From here on the text is a column that is already there.
-    cell = {n: replace(source[n], text=F.col(f"__text_{n}"), words=None) for n in targets}
+    cell = {n: replace(source[n], text=F.col(f"__text_{n}"), no_words=None) for n in targets}
     numeric = {n: cell[n] for n, t in targets.items() if t.type in ("integer", "decimal")}
     df = with_numbers(
         df, {f"__number_{n}": without_spaces(c.text) for n, c in numeric.items() if c.may_be(TEXT)}

@@ -19,6 +19,8 @@ MIN_DISTINCT, MAX_DISTINCT = 2, 20_000
 MIN_SHARED = 2
 MIN_CONTAINMENT = 0.7
 
+COLUMNS = ["table", "column", "position", "table_order"]
+
 
 def _required(size: Column) -> Column:
     """Shared values below which a set of this size cannot qualify. The margin keeps rounding
@@ -26,20 +28,23 @@ def _required(size: Column) -> Column:
     return F.greatest(F.lit(MIN_SHARED), F.ceil(size * MIN_CONTAINMENT - 1e-6).cast("int"))
 
 
+def _comparable(values: DataFrame) -> DataFrame:
+    """The values of the columns with few enough of them to compare, and how many.
+
+    Columns that are too large are left out before anything else looks at their values.
+    """
+    sizes = values.groupBy(*COLUMNS).agg(F.count(F.lit(1)).cast("int").alias("size"))
+    compared = sizes.where(F.col("size").between(MIN_DISTINCT, MAX_DISTINCT))
+    return values.join(compared, COLUMNS)
+
+
 def column_classes(values: DataFrame) -> DataFrame:
     """One row per column with its size and the class of columns with the same value set.
 
     The class is a digest of the sorted keys, at most ``MAX_DISTINCT`` of them per column.
     """
-    columns = ["table", "column", "position", "table_order"]
-    sized = values.groupBy(*columns).agg(F.count(F.lit(1)).alias("size"))
-    compared = sized.where(F.col("size").between(MIN_DISTINCT, MAX_DISTINCT))
-    # Sets too large to compare are left out before any list of keys is built.
-    within = values.join(compared, columns, "left_semi")
     digest = F.sha2(F.to_json(F.array_sort(F.collect_list("key"))), 256)
-    return within.groupBy(*columns).agg(
-        F.count(F.lit(1)).cast("int").alias("size"), digest.alias("class")
-    )
+    return values.groupBy(*COLUMNS, "size").agg(digest.alias("class"))
 
 
 def overlaps(values: DataFrame) -> DataFrame:
@@ -48,22 +53,21 @@ def overlaps(values: DataFrame) -> DataFrame:
     ``values`` holds the distinct keys of every column (``operators.profile.value_sets``) plus
     ``table_order``, the order in which pairs name their left side.
     """
-    columns = ["table", "column", "position", "table_order"]
-    # Both are read several times: one row per column, and at most MAX_DISTINCT per class.
+    # Both are read several times: at most MAX_DISTINCT rows per column, and one per column.
+    values = checkpointed(_comparable(values))
     members = checkpointed(column_classes(values))
+    at = F.struct("table_order", "position")
     classes = members.groupBy("class").agg(
         F.first("size").alias("size"),
         F.min("table_order").alias("low"),
         F.max("table_order").alias("high"),
-        F.min(F.struct("table_order", "position")).alias("speaker"),
+        F.min(at).alias("at"),
     )
-    speakers = members.withColumn("at", F.struct("table_order", "position")).join(
-        classes.select("class", F.col("speaker").alias("at"), "low", "high"), ["class", "at"]
+    # One column speaks for each class.
+    speakers = members.withColumn("at", at).join(
+        classes.select("class", "at", "low", "high"), ["class", "at"]
     )
-    keys = checkpointed(
-        values.join(speakers, columns).select("class", "size", "low", "high", "key")
-    )
-
+    keys = values.join(speakers.drop("size"), COLUMNS).select("class", "size", "low", "high", "key")
     pairs = _class_pairs(keys)
     same = classes.where("low < high").select(
         F.col("class").alias("a"), F.col("class").alias("b"), F.col("size").alias("shared")
