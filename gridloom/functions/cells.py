@@ -169,3 +169,17 @@ def cells_of(df: DataFrame, columns: list[str] | None = None) -> dict[str, Cell]
         name: cell_of(F.col(f"`{name}`"), types[name]) for name in columns or df.columns
     }
 
+
+def trimmed(df: DataFrame) -> tuple[DataFrame, dict[str, Cell]]:
+    """``df`` with its text columns trimmed, nulls as empty text, and the cells of its columns.
+
+    Expressions that read a text several times then read a column instead of trimming again.
+    """
+    cells, columns = cells_of(df), []
+    for name, cell in cells.items():
+        if isinstance(cell.kind, str) and cell.kind == TEXT:
+            columns.append(cell.text.alias(name))
+            cells[name] = Cell(TEXT, F.col(f"`{name}`"))
+        else:
+            columns.append(F.col(f"`{name}`"))
+    return df.select(*columns), cells

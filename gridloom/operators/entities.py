@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.cells import cells_of
+from gridloom.functions.cells import cells_of, trimmed
 from gridloom.functions.coerce import SPARK_TYPES, Target, coerce
 from gridloom.functions.stages import staged
 from gridloom.plans.model import ID, KEY, SOURCE, TEXT_LIKE, Entity, Field
@@ -103,9 +103,8 @@ def import_entity(
     before keys are compared, so a bad first row does not claim its key.
     """
     lookups = lookups or {}
-    names = [c for c in source.columns if c != row]
-    cells = cells_of(source, names)
-    linked = source
+    linked, cells = trimmed(source)
+    del cells[row]
     for field in entity.relations:
         if field.source is None or field.target not in lookups:
             continue
