@@ -159,6 +159,11 @@ def cell_of(column: Column, data_type: T.DataType) -> Cell:
     return Cell(TEXT, _filled(trim_ws(text)))
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -166,7 +171,7 @@ def _filled(text: Column) -> Column:
 def cells_of(df: DataFrame, columns: list[str] | None = None) -> dict[str, Cell]:
     types = {field.name: field.dataType for field in df.schema}
     return {
-        name: cell_of(F.col(f"`{name}`"), types[name]) for name in columns or df.columns
+        name: cell_of(column(name), types[name]) for name in columns or df.columns
     }
 
 
@@ -179,7 +184,7 @@ def trimmed(df: DataFrame) -> tuple[DataFrame, dict[str, Cell]]:
     for name, cell in cells.items():
         if isinstance(cell.kind, str) and cell.kind == TEXT:
             columns.append(cell.text.alias(name))
-            cells[name] = Cell(TEXT, F.col(f"`{name}`"))
+            cells[name] = Cell(TEXT, column(name))
         else:
-            columns.append(F.col(f"`{name}`"))
+            columns.append(column(name))
     return df.select(*columns), cells

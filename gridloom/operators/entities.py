@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.cells import cells_of, trimmed
+from gridloom.functions.cells import cells_of, column, trimmed
 from gridloom.functions.coerce import SPARK_TYPES, Target, coerce
 from gridloom.functions.stages import staged
 from gridloom.plans.model import ID, KEY, SOURCE, TEXT_LIKE, Entity, Field
@@ -37,7 +37,7 @@ def first_per_key(df: DataFrame, keys: list[Column], row: str, values: list[str]
     return (
         df.groupBy(*keys)
         .agg(
-            F.min_by(F.struct(*values), F.col(row)).alias("__first"),
+            F.min_by(F.struct(*values), column(row)).alias("__first"),
             F.count(F.lit(1)).alias(ROWS),
         )
         .select("*", "__first.*")
@@ -78,7 +78,7 @@ def resolve(df: DataFrame, key: str, found: DataFrame, into: str, row: str) -> D
     the adaptive skew join, and blank keys, which match nothing, are spread by row here.
     """
     spread = F.when(
-        F.col(key).isNull(), F.pmod(F.xxhash64(F.col(row)), F.lit(BLANK_SPREAD))
+        F.col(key).isNull(), F.pmod(F.xxhash64(column(row)), F.lit(BLANK_SPREAD))
     ).otherwise(F.lit(0))
     pairs = found.select(
         F.col("key").alias("__k"), F.lit(0).cast("bigint").alias("__s"), F.col("id").alias(into)
@@ -141,9 +141,9 @@ def import_entity(
 
     rows = staged(
         coerced_rows.select(
-            F.col(row).cast("bigint").alias("__row"),
+            column(row).cast("bigint").alias("__row"),
             *values,
-            F.struct(F.lit(sheet).alias("sheet"), F.col(row).cast("bigint").alias("row")).alias(SOURCE),
+            F.struct(F.lit(sheet).alias("sheet"), column(row).cast("bigint").alias("row")).alias(SOURCE),
             reason.alias(REASON),
             F.when(reason.isNotNull(), raw).alias(RAW),
             *([cells[entity.field(entity.dedupe).source].link_key.alias(KEY)] if entity.dedupe else []),

@@ -1,8 +1,9 @@
 """Header rows of sheets: find them, name the columns, classify the sheets.
 
 A grid has one row per sheet row: ``file, sheet_index, sheet_name, row_index, cells`` where
-``cells`` is an array of cell structs by column position. Cells of a row stay together, so no
-step here shuffles cells; only small per-sheet facts are aggregated.
+``cells`` is an array of cell structs by column position. Cells of a row stay together, so rows
+are never put back together from cells: numbers per sheet are aggregated and joined back, by
+broadcast while the sheets are few. A sheet is capped in rows, so no sheet is a hot key.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ def sheet_facts(grid: DataFrame) -> DataFrame:
         "width",
         F.when(scanned, F.when(_looks_like_header(F.col("cells")), F.col("width"))).alias("fit"),
     )
-    sheets = facts.groupBy(*SHEET).agg(
-        F.max("sheet_name").alias("sheet_name"),
+    # The name belongs to the sheet; as a key it leaves only numbers to aggregate.
+    sheets = facts.groupBy(*SHEET, "sheet_name").agg(
         F.max(F.when(scanned, F.col("width"))).alias("widest"),
         F.min(F.when(F.col("fit") >= 2, F.col("row_index"))).alias("wide_fit"),
         F.min(F.when(F.col("fit") >= 1, F.col("row_index"))).alias("any_fit"),

@@ -160,7 +160,8 @@ def _deep_page(keyed: DataFrame, order: Column, offset: int, limit: int) -> Data
     within = Window.partitionBy("__part").orderBy(order, ID)
     position = F.col("__start") + F.row_number().over(within)
     page = (
-        ranged.join(starts, "__part")
+        # At most one row per range partition.
+        ranged.join(F.broadcast(starts), "__part")
         .withColumn("__at", position)
         .where((F.col("__at") > offset) & (F.col("__at") <= offset + limit))
         .select(ID)

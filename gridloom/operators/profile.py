@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.apparent import ACCEPTANCE, FLAGS, PRIORITY, type_mask
-from gridloom.functions.cells import TEXT, Cell, cell_of, cells_of
+from gridloom.functions.cells import TEXT, Cell, cell_of, cells_of, column
 from gridloom.functions.stages import staged
 from gridloom.functions.text import header_key, normalize_text, text_length, trim_ws
 
@@ -34,6 +34,8 @@ IDENTITY_WORDS = (
 )
 #: Keys longer than this are grouped by their digest, so long texts are not shuffled whole.
 DIGEST_OVER = 256
+#: Columns up to which the first values of a table (51 each at most) are broadcast.
+MAX_BROADCAST_COLUMNS = 4_096
 
 COLUMN = ("table", "column", "position")
 
@@ -52,23 +54,24 @@ def long_cells(df: DataFrame, table: str, row: str, columns: list[str] | None =
 
     def written(position: int, name: str) -> Column:
         """The text of a cell, with its types when the column type already settles them."""
-        column, mask = F.col(f"`{name}`"), F.lit(None).cast("int")
+        text, mask = column(name), F.lit(None).cast("int")
         if not isinstance(types[name], T.StringType):
-            cell = cell_of(column, types[name])
-            column, mask = F.when(~cell.blank, cell.text), type_mask(cell)
+            cell = cell_of(text, types[name])
+            text, mask = F.when(~cell.blank, cell.text), type_mask(cell)
         return F.struct(
-            F.lit(position).alias("position"), column.alias("text"), mask.alias("mask")
-        ).alias(name)
+            F.lit(position).alias("position"), text.alias("text"), mask.alias("mask")
+        ).alias(f"c{position}")
 
     wide = df.select(
-        F.col(row).cast("bigint").alias("__row"), *[written(i, c) for i, c in enumerate(columns)]
+        column(row).cast("bigint").alias("row"), *[written(i, c) for i, c in enumerate(columns)]
     )
+    names = F.array(*[F.lit(c) for c in columns])
     # Text is measured after the columns have become rows: one expression for all of them.
-    raw = wide.unpivot("__row", columns, "column", "cell").select(
+    raw = wide.unpivot("row", wide.columns[1:], "at", "cell").select(
         F.lit(table).alias("table"),
-        "column",
+        F.get(names, F.col("cell.position")).alias("column"),
         F.col("cell.position").alias("position"),
-        F.col("__row").alias("row"),
+        "row",
         F.col("cell.mask").alias("settled"),
         F.when(F.col("cell.mask").isNull(), trim_ws(F.col("cell.text")))
         .otherwise(F.col("cell.text"))
@@ -202,17 +205,19 @@ def first_values(stats: DataFrame, limit: int) -> DataFrame:
 def spellings(firsts: DataFrame, df: DataFrame, row: str) -> DataFrame:
     """Attach the text of the cell each first value was seen in, then list it per column.
 
-    ``firsts`` has at most ``limit`` rows per column, so the table is read once more, joined
-    to a small side and never shuffled whole.
+    ``firsts`` has at most a few dozen rows per column, so it is broadcast: the table is read
+    once more and never shuffled. Only a table of very many columns leaves that to Spark.
     """
     columns = [c for c in df.columns if c != row]
     cells = cells_of(df, columns)
     wanted = firsts.groupBy("row").agg(
         F.collect_list(F.struct(*COLUMN, "rank")).alias("wanted")
     )
+    if len(columns) <= MAX_BROADCAST_COLUMNS:
+        wanted = F.broadcast(wanted)
     texts = F.create_map(*[x for c in columns for x in (F.lit(c), cells[c].text)])
     found = (
-        df.withColumn("__row", F.col(row).cast("bigint"))
+        df.withColumn("__row", column(row).cast("bigint"))
         .join(wanted.withColumnRenamed("row", "__wanted"), F.col("__row") == F.col("__wanted"))
         .select(texts.alias("texts"), F.explode("wanted").alias("w"))
         .select("w.*", F.col("texts")[F.col("w.column")].alias("text"))
@@ -228,7 +233,7 @@ def listed(found: DataFrame) -> DataFrame:
 def profile_table(df: DataFrame, table: str, row: str, columns: list[str] | None = None) -> DataFrame:
     """The whole profile of one table, samples included."""
     columns = columns or [c for c in df.columns if c != row]
-    df = df.select(row, *columns)
+    df = df.select(*[column(c) for c in (row, *columns)])
     stats = value_stats(long_cells(df, table, row, columns), digest=True)
     samples = spellings(first_values(stats, MAX_SAMPLES), df, row)
     return profiles(stats).join(samples, list(COLUMN), "left").withColumn(
@@ -239,7 +244,7 @@ def profile_table(df: DataFrame, table: str, row: str, columns: list[str] | None
 def recovered_options(df: DataFrame, table: str, row: str, columns: list[str] | None = None) -> DataFrame:
     """The closed list of every column with few enough distinct values, in first-seen order."""
     columns = columns or [c for c in df.columns if c != row]
-    df = df.select(row, *columns)
+    df = df.select(*[column(c) for c in (row, *columns)])
     firsts = first_values(
         value_stats(long_cells(df, table, row, columns), digest=True), MAX_OPTIONS + 1
     )
