@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.catalog.inputs import DOUBLES, flat_orders, keyed_table, messy, table
+from gridloom.catalog.inputs import flat_orders, table
 from gridloom.functions.cells import cells_of
 from gridloom.operators import entities as E
 from gridloom.operators import profile
@@ -59,9 +59,7 @@ def derive_by_code(spark: SparkSession, folder: str) -> DataFrame:
         display="cliente", dedupe="codigo", derived=True,
     )
     records = _import(spark, folder, Model((by_code,))).records("clientes")
-    return records.select("codigo", F.lower(F.trim("cliente")).alias("shown"), f"{SOURCE}.row").select(
-        "codigo", "row"
-    )
+    return records.select("codigo", f"{SOURCE}.row")
 
 
 def derive_after_failures(spark: SparkSession, folder: str) -> DataFrame:

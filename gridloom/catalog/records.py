@@ -140,11 +140,8 @@ def picker_options(spark: SparkSession, folder: str) -> DataFrame:
 def picker_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Labels that are not text: amounts in their shortest form, a name for the missing."""
     records = _orders(spark, folder).select(ID, "valor")
-    entity = Entity("pedidos", "orders", (Field("valor", "decimal", "o_totalprice"),), display="valor")
-    labelled = records.select(
-        ID, F.coalesce(L.label_text(F.col("valor"), records.schema["valor"].dataType), F.lit(L.NO_NAME)).alias("label")
-    )
-    return labelled.where(F.lit(entity.display) == "valor")
+    shown = L.label_text(F.col("valor"), records.schema["valor"].dataType)
+    return records.select(ID, F.coalesce(shown, F.lit(L.NO_NAME)).alias("label"))
 
 
 def find_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,12 +230,13 @@ def batch_patch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def restricted_delete(spark: SparkSession, folder: str) -> DataFrame:
-    """Ask to delete every part: those with order lines stay."""
+    """Ask to delete every part: those that large order lines refer to stay."""
     parts = _parts(spark, folder)
     line = Entity("lineas", "lineitem", (Field("pieza", "relation", "l_partkey", target="piezas"),),
                   display="pieza", label="Lineas")
-    lines = table(spark, folder, "lineitem").where(F.col("l_quantity") > 48).select(
-        F.col("l_partkey").cast("string").alias("pieza")
+    # Every part has lines; only lines of large orders refer to their part here.
+    lines = table(spark, folder, "lineitem").select(
+        F.when(F.col("l_quantity") > 48, F.col("l_partkey").cast("string")).alias("pieza")
     )
     ids = parts.select(ID).unionByName(
         table(spark, folder, "region").select(F.concat(F.lit("no-"), F.col("r_name")).alias(ID))
