@@ -1,7 +1,8 @@
 """Registered queries of the subpackage: name to query and DuckDB SQL (None where SQL can't)."""
 
-from gridloom.llm import lines
+from gridloom.llm import lines, topk
 
 QUERIES = {
+    "op3_top_k": (topk.op3_top_k, topk.OP3_SQL),
     "op5_line_dedup": (lines.op5_line_dedup, lines.OP5_SQL),
 }
