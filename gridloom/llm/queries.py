@@ -1,8 +1,9 @@
 """Registered queries of the subpackage: name to query and DuckDB SQL (None where SQL can't)."""
 
-from gridloom.llm import lines, secrets, topk
+from gridloom.llm import lines, secrets, topk, toxicity
 
 QUERIES = {
+    "op1_toxicity": (toxicity.op1_toxicity, None),
     "op3_top_k": (topk.op3_top_k, topk.OP3_SQL),
     "op5_line_dedup": (lines.op5_line_dedup, lines.OP5_SQL),
     "op6_secrets": (secrets.op6_secrets, None),
