@@ -1,11 +1,12 @@
 """Registered queries of the subpackage: name to query and DuckDB SQL (None where SQL can't)."""
 
-from gridloom.llm import html_text, lines, secrets, topk, toxicity
+from gridloom.llm import html_text, lines, secrets, tokens, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1_toxicity, None),
     "op3_top_k": (topk.op3_top_k, topk.OP3_SQL),
     "op5_line_dedup": (lines.op5_line_dedup, lines.OP5_SQL),
     "op6_secrets": (secrets.op6_secrets, None),
+    "op8_token_ids": (tokens.op8_token_ids, None),
     "op10_main_text": (html_text.op10_main_text, None),
 }
