@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def ascii_lower(column) -> object:
     return F.translate(column, UPPER, LOWER)
+
+
+class WordHashes(dict):
+    """Word to a 64-bit hash; forgets all when it holds ``most`` words."""
+
+    def __init__(self, most: int = 500_000) -> None:
+        super().__init__()
+        self._most = most
+
+    def __missing__(self, word: bytes | str) -> int:
+        if len(self) >= self._most:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+#: Odd multipliers by place, so that a sequence of words and another order of it differ.
+PLACES = np.array(
+    [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
+    np.uint64,
+)
+
+
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words, in order; with fewer words, of all of them as one."""
+    if len(words) == 0:
+        return words
+    n = min(n, len(words))
+    total = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        total += words[i : len(words) - n + 1 + i] * PLACES[i]
+    return mixed(total + np.uint64(n))
