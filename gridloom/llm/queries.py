@@ -1,13 +1,14 @@
 """Registered queries of the subpackage: name to query and DuckDB SQL (None where SQL can't)."""
 
-from gridloom.llm import html_text, lines, mixing, secrets, tokens, topk, toxicity
+from gridloom.llm import decontaminate, html_text, lines, mixing, secret_scan, tokens, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1_toxicity, None),
     "op2_mix_sources": (mixing.op2_mix_sources, mixing.OP2_SQL),
     "op3_top_k": (topk.op3_top_k, topk.OP3_SQL),
     "op5_line_dedup": (lines.op5_line_dedup, lines.OP5_SQL),
-    "op6_secrets": (secrets.op6_secrets, None),
+    "op6_secrets": (secret_scan.op6_secrets, None),
+    "op7_decontaminate": (decontaminate.op7_decontaminate, None),
     "op8_token_ids": (tokens.op8_token_ids, None),
     "op10_main_text": (html_text.op10_main_text, None),
 }
