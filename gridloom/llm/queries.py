@@ -1,11 +1,12 @@
 """Registered queries of the subpackage: name to query and DuckDB SQL (None where SQL can't)."""
 
-from gridloom.llm import decontaminate, html_text, lines, mixing, secret_scan, tokens, topk, toxicity
+from gridloom.llm import decontaminate, html_text, jaccard, lines, mixing, secret_scan, tokens, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1_toxicity, None),
     "op2_mix_sources": (mixing.op2_mix_sources, mixing.OP2_SQL),
     "op3_top_k": (topk.op3_top_k, topk.OP3_SQL),
+    "op4_jaccard_join": (jaccard.op4_jaccard_join, None),
     "op5_line_dedup": (lines.op5_line_dedup, lines.OP5_SQL),
     "op6_secrets": (secret_scan.op6_secrets, None),
     "op7_decontaminate": (decontaminate.op7_decontaminate, None),
