@@ -1,21 +1,82 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read back."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read back.
+
+Every stage takes all rows that the one before kept. All but the last return the columns of
+documents; the last returns what its token files hold.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.llm import decontaminate, jaccard, mixing, tokens, toxicity
+from gridloom.llm.common import table, written
 from gridloom.session import scratch_folder
 
-STAGES: list = []
 
-#: Toxicity is learned and passages are aligned: SQL can't express these stages.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that score 0.7 or more. Null and empty texts stay."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.flag_toxic(docs, model).filter("NOT __toxic").drop("__toxic")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8): the one with the smallest id.
+
+    Of rows that repeat an id one stays, the one with the smallest text hash, if its group's
+    smallest id is its own. Documents without words or without an id stay.
+    """
+    found = written(jaccard.jaccard_components(docs, n=5, percent=80), "components")
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = written(found.filter("component_id = doc_id AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1"), "again")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    first = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row"))
+    return kept.join(again.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(first.select("__row.*"))
+
+
+def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a copy of a benchmark item.
+
+    Found by text, so that ids may be null or repeat.
+    """
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text").filter("text IS NOT NULL")
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"))
+    found = written(found.select(F.col("doc_id").alias("__text")).distinct(), "contaminated")
+    return docs.withColumn("__key", F.xxhash64("text")).join(
+        found, F.col("__key") == F.col("__text"), "left_anti"
+    ).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate draws, in shuffled order."""
+    return mixing.mix_sources(docs, mixing.rates(docs)).select(docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row, from the written files."""
+    path = scratch_folder(spark, "tokens")
+    tokens.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.token_digests(spark, path)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("decontamination", drop_test_items),
+    ("mixing", mix),
+    ("tokens", to_tokens),
+]
+
+#: Toxicity is learned, near copies are connected and passages are aligned: SQL can't express that.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch_folder(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "stage")
     return docs
