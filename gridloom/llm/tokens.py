@@ -39,17 +39,27 @@ BLOCK, SEGMENT, PERCENTILE = 128, 65_536, 0.95
 MAGIC, HEADER = b"PFR1", struct.Struct("<4sHQII")
 END_ID = 0
 #: Words whose ids a worker remembers; both halves of the memory hold at most so many.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Signs that are a piece of their own after a word.
+END_SIGNS = (".", ",", ";", ":")
 #: White space at which a text can't be cut: the tokenizer may join it to its neighbours.
 UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}")
-WORD_END = re.compile(r"(?<=[^\W_])[.,;:]$")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable bytes as they are, the
+    others in order from 256 on. Keyed by byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
     """Ids of texts by a tokenizer file, as little-endian bytes.
 
     A byte-level tokenizer cuts a text before each space and around line ends, so words are encoded
-    once and remembered. Texts with other or repeated white space are encoded whole.
+    once and remembered. A word of letters alone is one piece, which goes to the tokenizer's model
+    directly. Texts with other or repeated white space are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,12 +67,22 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self._tokenizer.get_vocab_size() <= 2**16 else "<u4"
-        self._bare, self._spaced = _Words(self, ""), _Words(self, " ")
+        model = self._tokenizer.model
+        # The words are remembered here; the model's own memory would only cost time.
+        model._resize_cache(0)
+        self._pieces = model.tokenize
+        self._letters = byte_letters()
+        self.bare, self._spaced = _Words(self, ""), _Words(self, " ")
         self._line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def letters(self, word: str) -> bytes:
+        """Of letters after at most one space."""
+        spelled = word.encode().decode("latin-1").translate(self._letters)
+        return np.array([t.id for t in self._pieces(spelled)], self.kind).tobytes()
+
     def ids(self, text: str) -> np.ndarray:
         if UNEVEN.search(text) or "<|" in text:
             return np.frombuffer(self.whole(text), self.kind)
@@ -72,7 +92,7 @@ class Encoder:
             if parts:
                 parts.append(self._line)
             if words[0]:
-                parts.append(self._bare[words[0]])
+                parts.append(self.bare[words[0]])
             parts += map(self._spaced.__getitem__, words[1:])
         return np.frombuffer(b"".join(parts), self.kind)
 
@@ -90,9 +110,10 @@ class _Words(dict):
             self.clear()
         ids = self._old.get(word)
         if ids is None:
-            cut = WORD_END.search(word)
-            if cut:
-                ids = self[word[: cut.start()]] + self._encoder._bare[cut[0]]
+            if word.isalpha():
+                ids = self._encoder.letters(self._before + word)
+            elif word[-1:] in END_SIGNS and word[:-1].isalpha():
+                ids = self[word[:-1]] + self._encoder.bare[word[-1]]
             else:
                 ids = self._encoder.whole(self._before + word)
         self[word] = ids
