@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -67,6 +68,7 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self._tokenizer.get_vocab_size() <= 2**16 else "<u4"
+        self._code = "H" if self.kind == "<u2" else "I"
         model = self._tokenizer.model
         # The words are remembered here; the model's own memory would only cost time.
         model._resize_cache(0)
@@ -80,8 +82,9 @@ class Encoder:
 
     def letters(self, word: str) -> bytes:
         """Of letters after at most one space."""
-        spelled = word.encode().decode("latin-1").translate(self._letters)
-        return np.array([t.id for t in self._pieces(spelled)], self.kind).tobytes()
+        if not word.isascii():
+            word = word.encode().decode("latin-1")
+        return array(self._code, [t.id for t in self._pieces(word.translate(self._letters))]).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         if UNEVEN.search(text) or "<|" in text:
