@@ -309,8 +309,11 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return built.dropDuplicates(["node", "h1"]) if ids is None else built
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b of the pairs (a, b) whose whole sets are similar enough."""
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = entries.select("node", "h1").distinct().join(written(named, "named"), "node")
+    sets = written(whole_sets(docs, nodes, n), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -366,7 +369,6 @@ def heavy_links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataF
     """a, b: links by inverted lists that join whatever sets are similar into one component."""
     keys = written(shared_keys(rows), "shared-keys")
     entries = written(list_entries(rows, keys), "entries")
-    sets = written(whole_sets(docs, entries.select("node", "h1").distinct(), n), "sets")
     hubs = written(
         entries.groupBy("key").agg(F.min(F.struct("at", "n", "node")).alias("hub"), F.count("*").alias("sets"))
         .filter("sets > 1").select("key", F.col("hub.at").alias("at2"), F.col("hub.n").alias("n2"), F.col("hub.node").alias("b")),
@@ -377,7 +379,7 @@ def heavy_links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataF
         .filter(_may_pair(percent, "n", "at", "n2", "at2"))
         .select(F.col("node").alias("a"), "b").distinct()
     )
-    links = written(confirmed(written(scanned, "pairs"), sets, percent), "links")
+    links = written(confirmed(docs, written(scanned, "pairs"), entries, n, percent), "links")
 
     # Lists whose sets are still in several components, and in them the sets that may yet pair.
     labels = components(links)
@@ -408,7 +410,8 @@ def heavy_links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataF
         .filter(_may_pair(percent, "n", "at", "n2", "at2"))
         .select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     )
-    return links.unionByName(confirmed(written(rest, "pairs"), sets, percent))
+    rest = written(rest, "pairs")
+    return links if rest.isEmpty() else links.unionByName(confirmed(docs, rest, entries, n, percent))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
