@@ -41,6 +41,8 @@ MIN_TOXIC, MIN_ODDS = 4, 2.0
 #: And its documents differ from the sample by this G statistic (many thousands are tried).
 MIN_G = 24.0
 MIN_CLEAN_PHRASES = 3
+#: Times as many toxic documents as one word with it has, for a beginning to be an entry.
+ADDS = 1.25
 STEM = range(4, 8)
 CUT = 0.7
 #: Share of the sample that the penalty of the logistic regression weighs.
@@ -204,10 +206,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, terms: in
     counts = _counts(sample, _beginnings, usual)
     entries: dict[str, float] = {}
     strong = {f: _odds(t, c, n_toxic, n_clean) for f, (t, c) in counts.items()}
+    chosen = {f for f, (t, c) in counts.items() if _stands_out(t, c, n_toxic, n_clean)}
+    # A beginning that is hardly in more documents than one word with it says nothing new.
+    within: dict[str, int] = {}
+    for f in chosen:
+        if f.endswith(" "):
+            for n in STEM:
+                within[f[: n + 1]] = max(within.get(f[: n + 1], 0), counts[f][0])
     # Shortest first: a word that a beginning in the lexicon covers needs no entry of its own.
-    chosen = (f for f, (t, c) in counts.items() if _stands_out(t, c, n_toxic, n_clean))
     for f in sorted(chosen, key=lambda f: (len(f), f)):
         word = f.strip()
+        if not f.endswith(" ") and counts[f][0] < ADDS * within.get(f, 0):
+            continue
         if not any(f" {word[:n]}" in entries for n in STEM if n < len(word) or not f.endswith(" ")):
             entries[f] = strong[f]
     entries = dict(sorted(entries.items(), key=lambda e: (-counts[e[0]][0] * e[1], e[0]))[:terms])
