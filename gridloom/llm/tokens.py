@@ -40,7 +40,7 @@ BLOCK, SEGMENT, PERCENTILE = 128, 65_536, 0.95
 MAGIC, HEADER = b"PFR1", struct.Struct("<4sHQII")
 END_ID = 0
 #: Words whose ids a worker remembers; both halves of the memory hold at most so many.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 #: Signs that are a piece of their own after a word.
 END_SIGNS = (".", ",", ";", ":")
 #: White space at which a text can't be cut: the tokenizer may join it to its neighbours.
@@ -74,25 +74,28 @@ class Encoder:
         model._resize_cache(0)
         self._pieces = model.tokenize
         self._letters = byte_letters()
+        self.space = self._letters[ord(" ")]
         self.bare, self._spaced = _Words(self, ""), _Words(self, " ")
         self._line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def letters(self, word: str) -> bytes:
-        """Of letters after at most one space."""
+    def letters(self, before: str, word: str) -> bytes:
+        """Of letters, with what the vocabulary writes for a space before them, if any."""
         if not word.isascii():
-            word = word.encode().decode("latin-1")
-        return array(self._code, [t.id for t in self._pieces(word.translate(self._letters))]).tobytes()
+            word = word.encode().decode("latin-1").translate(self._letters)
+        return array(self._code, [t.id for t in self._pieces(before + word)]).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if UNEVEN.search(text) or "<|" in text:
+        # One separator between any two words: the common case needs no search.
+        even = len(text.split()) == text.count(" ") + text.count("\n") + (text[-1:] != "\n")
+        if not even and UNEVEN.search(text) or "<|" in text:
             return np.frombuffer(self.whole(text), self.kind)
         parts = []
-        for line in text.split("\n"):
+        for number, line in enumerate(text.split("\n")):
             words = line.split(" ")
-            if parts:
+            if number:
                 parts.append(self._line)
             if words[0]:
                 parts.append(self.bare[words[0]])
@@ -106,6 +109,7 @@ class _Words(dict):
     def __init__(self, encoder: Encoder, before: str) -> None:
         super().__init__()
         self._encoder, self._before, self._old = encoder, before, {}
+        self._mark = before and encoder.space
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -114,7 +118,7 @@ class _Words(dict):
         ids = self._old.get(word)
         if ids is None:
             if word.isalpha():
-                ids = self._encoder.letters(self._before + word)
+                ids = self._encoder.letters(self._mark, word)
             elif word[-1:] in END_SIGNS and word[:-1].isalpha():
                 ids = self[word[:-1]] + self._encoder.bare[word[-1]]
             else:
