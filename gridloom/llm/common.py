@@ -21,10 +21,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows that Spark hands to a Python worker at once; texts make them large.
+BATCH_ROWS, BATCH_SETTING = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def write_small_batches(df: DataFrame, path: str) -> None:
+    """Write; Python workers get smaller batches meanwhile, then the session's setting is put back."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_SETTING)
+    conf.set(BATCH_SETTING, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH_SETTING, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage is cut."""
     path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    write_small_batches(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,7 +83,7 @@ def ascii_lower(column) -> object:
 class WordHashes(dict):
     """Word to a 64-bit hash; forgets all when it holds ``most`` words."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self._most = most
 

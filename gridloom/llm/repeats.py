@@ -47,6 +47,8 @@ RANGE_KEYS = 2_000_000
 #: Different pieces around one minimizer that one task resolves, and pieces of a task.
 GROUP_MOST, TASK_PIECES = 2_000, 8_000
 UNIT = 7
+#: Documents that a task cuts at once.
+CUT_ROWS = 500
 NO_ID = -(2**63)
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 20) - 1)
@@ -367,7 +369,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     )
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(at, CUT_ROWS) for b in batches for at in range(0, b.num_rows, CUT_ROWS)):
             out = {name: [] for name in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = text.encode()

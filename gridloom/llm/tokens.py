@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
+from gridloom.llm.common import table, write_small_batches
 from gridloom.session import scratch_folder
 
 BLOCK, SEGMENT, PERCENTILE = 128, 65_536, 0.95
@@ -45,6 +45,7 @@ REMEMBERED = 150_000
 END_SIGNS = (".", ",", ";", ":")
 #: White space at which a text can't be cut: the tokenizer may join it to its neighbours.
 UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}")
+UNEVEN_ASCII = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,6 +56,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _is_uneven(text: str) -> bool:
+    """UNEVEN.search, in ASCII texts by plain searches for all that it can find there."""
+    if not text.isascii():
+        return UNEVEN.search(text) is not None
+    return any(sign in text for sign in UNEVEN_ASCII)
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, as little-endian bytes.
 
@@ -88,9 +96,7 @@ class Encoder:
         return array(self._code, [t.id for t in self._pieces(before + word)]).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        # One separator between any two words: the common case needs no search.
-        even = len(text.split()) == text.count(" ") + text.count("\n") + (text[-1:] != "\n")
-        if not even and UNEVEN.search(text) or "<|" in text:
+        if _is_uneven(text) or "<|" in text:
             return np.frombuffer(self.whole(text), self.kind)
         parts = []
         for number, line in enumerate(text.split("\n")):
@@ -252,7 +258,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, *keys)
     ordered = dealt.sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    ordered.select("doc_id", "text").mapInArrow(encode, SEGMENT_SCHEMA).write.parquet(f"{path}/segments")
+    write_small_batches(ordered.select("doc_id", "text").mapInArrow(encode, SEGMENT_SCHEMA), f"{path}/segments")
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     (
         spark.read.parquet(f"{path}/segments").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
