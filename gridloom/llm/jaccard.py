@@ -134,8 +134,11 @@ def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
         capped = np.minimum(total, 2**32 - 1).astype(np.uint32)
         return pd.DataFrame({"part": group.part.iloc[:1], "counts": [capped.tobytes()]})
 
-    parts = _map(docs.select("text"), count, "part int, counts binary").groupBy("part").applyInPandas(
-        add, "part int, counts binary"
+    parts = written(
+        _map(docs.select("text"), count, "part int, counts binary").groupBy("part").applyInPandas(
+            add, "part int, counts binary"
+        ),
+        "sketch",
     )
     sketch = np.zeros(SKETCH, np.uint32)
     for row in parts.toLocalIterator():
