@@ -253,7 +253,7 @@ def _first_seen(columns: list[str], name: str, having: str = "true", limit: int
 _OVERLAPS = f"""
     with v as (select distinct tbl, col, ord, pos, key from ({_sql_values(ALL)}) where key <> ''),
     s as (select tbl, col, ord, pos, count(*) as size from v group by all
-          having count(*) between 2 and 20000),
+          having count(*) >= 2),
     k as (select v.*, size from v join s using (tbl, col, ord, pos)),
     p as (select a.tbl as left_table, a.col as left_column, b.tbl as right_table,
                  b.col as right_column, count(*) as shared, any_value(a.size) as ls,

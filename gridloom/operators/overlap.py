@@ -5,6 +5,10 @@ such as ``1`` or ``si``. Instead, columns with equal value sets are folded into
 and a class looks for partners only through its rarest values: a set of ``s`` values that must
 share at least ``r`` of them with a larger set shares at least one of any ``s - r + 1``. The
 pairs found are then counted exactly, so nothing is missed.
+
+Sets of any size are compared. A class is told by the number of its values and two hashes over
+them, and its rare values are those below a spread that a histogram gives: no step gathers or
+sorts the values of a column.
 """
 
 from __future__ import annotations
@@ -15,9 +19,11 @@ from pyspark.sql import functions as F
 from gridloom.session import checkpointed
 
 # Limits of the comparison.
-MIN_DISTINCT, MAX_DISTINCT = 2, 20_000
+MIN_DISTINCT = 2
 MIN_SHARED = 2
 MIN_CONTAINMENT = 0.7
+#: The largest set that an interactive product compares; pass it as ``max_distinct`` for that.
+INTERACTIVE_DISTINCT = 20_000
 
 COLUMNS = ["table", "column", "position", "table_order"]
 
@@ -25,37 +31,29 @@ COLUMNS = ["table", "column", "position", "table_order"]
 def _required(size: Column) -> Column:
     """Shared values below which a set of this size cannot qualify. The margin keeps rounding
     on the safe side; the exact test comes last."""
-    return F.greatest(F.lit(MIN_SHARED), F.ceil(size * MIN_CONTAINMENT - 1e-6).cast("int"))
-
+    return F.greatest(F.lit(MIN_SHARED), F.ceil(size * MIN_CONTAINMENT - 1e-6).cast("long"))
 
-def _comparable(values: DataFrame) -> DataFrame:
-    """The values of the columns with few enough of them to compare, and how many.
-
-    Columns that are too large are left out before anything else looks at their values.
-    """
-    sizes = values.groupBy(*COLUMNS).agg(F.count(F.lit(1)).cast("int").alias("size"))
-    compared = sizes.where(F.col("size").between(MIN_DISTINCT, MAX_DISTINCT))
-    return values.join(compared, COLUMNS)
 
-
-def column_classes(values: DataFrame) -> DataFrame:
-    """One row per column with its size and the class of columns with the same value set.
-
-    The class is a digest of the sorted keys, at most ``MAX_DISTINCT`` of them per column.
-    """
-    digest = F.sha2(F.to_json(F.array_sort(F.collect_list("key"))), 256)
-    return values.groupBy(*COLUMNS, "size").agg(digest.alias("class"))
+def column_classes(values: DataFrame, max_distinct: int | None = None) -> DataFrame:
+    """One row per column with its size and the class of columns with the same value set."""
+    hashes = (F.xxhash64("key"), F.xxhash64(F.lit(1), "key"))
+    identity = [F.count(F.lit(1)).alias("size"), *(F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(hashes))]
+    sized = values.groupBy(*COLUMNS).agg(*identity).where(F.col("size") >= MIN_DISTINCT)
+    if max_distinct is not None:
+        sized = sized.where(F.col("size") <= max_distinct)
+    return sized.withColumn("class", F.concat_ws(":", "size", "x0", "x1")).drop("x0", "x1")
 
 
-def overlaps(values: DataFrame) -> DataFrame:
+def overlaps(values: DataFrame, max_distinct: int | None = None) -> DataFrame:
     """Pairs of columns of different tables with enough values in common.
 
     ``values`` holds the distinct keys of every column (``operators.profile.value_sets``) plus
-    ``table_order``, the order in which pairs name their left side.
+    ``table_order``, the order in which pairs name their left side. With ``max_distinct``, columns
+    of more values are left out.
     """
-    # Both are read several times: at most MAX_DISTINCT rows per column, and one per column.
-    values = checkpointed(_comparable(values))
-    members = checkpointed(column_classes(values))
+    # Both are read several times; the second has one row per column.
+    values = checkpointed(values.select(*COLUMNS, "key"))
+    members = checkpointed(column_classes(values, max_distinct))
     at = F.struct("table_order", "position")
     classes = members.groupBy("class").agg(
         F.first("size").alias("size"),
@@ -67,7 +65,7 @@ def overlaps(values: DataFrame) -> DataFrame:
     speakers = members.withColumn("at", at).join(
         classes.select("class", "at", "low", "high"), ["class", "at"]
     )
-    keys = values.join(speakers.drop("size"), COLUMNS).select("class", "size", "low", "high", "key")
+    keys = values.join(speakers, COLUMNS).select("class", "size", "low", "high", "key")
     pairs = _class_pairs(keys)
     same = classes.where("low < high").select(
         F.col("class").alias("a"), F.col("class").alias("b"), F.col("size").alias("shared")
@@ -75,13 +73,25 @@ def overlaps(values: DataFrame) -> DataFrame:
     return _between_columns(pairs.unionByName(same), members)
 
 
+def _probes(keys: DataFrame) -> DataFrame:
+    """Of each class all values up to the spread at which they are enough; ties included."""
+    spread = keys.groupBy("key").agg(F.count(F.lit(1)).alias("spread"))
+    spread_keys = keys.join(spread, "key")
+    counts = spread_keys.groupBy("class", "spread").agg(
+        F.count(F.lit(1)).alias("n"), F.first("size").alias("size")
+    )
+    # One row per class and spread; a value is in as many classes as there are at most.
+    rising = Window.partitionBy("class").orderBy("spread").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(rising), F.lit(0))
+    wanted = counts.withColumn("before", before).where(
+        F.col("before") < F.col("size") - _required(F.col("size")) + 1
+    )
+    return spread_keys.join(wanted.select("class", "spread"), ["class", "spread"])
+
+
 def _class_pairs(keys: DataFrame) -> DataFrame:
     """Shared counts of the class pairs that can qualify, each pair once."""
-    spread = keys.groupBy("key").agg(F.count(F.lit(1)).alias("spread"))
-    rarity = Window.partitionBy("class").orderBy("spread", "key")
-    ranked = keys.join(spread, "key").withColumn("rank", F.row_number().over(rarity))
-    probes = ranked.where(F.col("rank") <= F.col("size") - _required(F.col("size")) + 1)
-    small, large = probes.alias("s"), keys.alias("l")
+    small, large = _probes(keys).alias("s"), keys.alias("l")
     ordered = (F.col("s.size") < F.col("l.size")) | (
         (F.col("s.size") == F.col("l.size")) & (F.col("s.class") < F.col("l.class"))
     )
