@@ -17,8 +17,8 @@ TABLES = {
     ),
     "lineitem": (
         "__row",
-        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
-         "l_linestatus"],
+        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
     ),
     "part": (
         "p_partkey",
@@ -28,8 +28,11 @@ TABLES = {
     "nation": ("n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]),
     "region": ("r_regionkey", ["r_regionkey", "r_name"]),
 }
-DOUBLES = {"o_totalprice", "c_acctbal", "l_quantity", "p_retailprice", "s_acctbal"}
-DATES = {"o_orderdate"}
+DOUBLES = {
+    "o_totalprice", "c_acctbal", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "p_retailprice", "s_acctbal",
+}
+DATES = {"o_orderdate", "l_shipdate"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

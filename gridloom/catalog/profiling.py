@@ -81,9 +81,10 @@ def profile_lineitem(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profile_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    # The id is profiled like any column, so the row number is a copy of it.
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("__row"), "*")
     return profile.profiles(
-        profile.value_stats(profile.long_cells(docs, "documents", "doc_id"), digest=True)
+        profile.value_stats(profile.long_cells(docs, "documents", "__row"), digest=True)
     ).select("column", "total", "empty", "distinct", "max_len", "repeats", "identifying")
 
 
@@ -219,7 +220,8 @@ _LINEITEM_PROFILE = " union all ".join(
                  and count(distinct {sql_key(c)}) / count(*) <= 0.5 as repeats,
                count(distinct {sql_key(c)}) / count(*) >= 0.95 as identifying from lineitem"""
     for c, t in zip(
-        TABLES["lineitem"][1], ("integer", "integer", "integer", "integer", "integer", "text", "text")
+        TABLES["lineitem"][1],
+        (*["integer"] * 5, *["decimal"] * 3, "text", "text", "date"),
     )
 )
 _DOCUMENTS_PROFILE = " union all ".join(
@@ -229,8 +231,8 @@ _DOCUMENTS_PROFILE = " union all ".join(
                count(*) >= 10 and count(distinct {sql_key(c)}) >= 2
                  and count(distinct {sql_key(c)}) / count(*) <= 0.5 as repeats,
                count(distinct {sql_key(c)}) / count(*) >= 0.95 as identifying from documents"""
-    for c, x in (("text", "text"), ("lang", "lang"), ("source", "source"),
-                 ("n_chars", "cast(n_chars as varchar)"))
+    for c, x in (("doc_id", "cast(doc_id as varchar)"), ("text", "text"), ("lang", "lang"),
+                 ("source", "source"), ("n_chars", "cast(n_chars as varchar)"))
 )
 _FLAGS = f"""
     select tbl as "table",

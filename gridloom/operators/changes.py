@@ -7,7 +7,7 @@ row per request, so the caller writes a new version and reports what was refused
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,7 +83,7 @@ def create_records(
         targets or {},
         F.col("__invalid"),
     ).drop("__invalid")
-    stamp = F.lit(now or datetime.now())
+    stamp = F.lit(now or datetime.now(timezone.utc))
     created = checked.withColumn(
         ID, record_id(entity.name, F.lit(batch_name), F.col(REQUEST))
     ).withColumn(ACCEPTED, F.col(REASON).isNull())
@@ -161,7 +161,7 @@ def with_patched(
         for name in fields
     }
     if UPDATED in records.columns:
-        stamp = F.lit(now or datetime.now())
+        stamp = F.lit(now or datetime.now(timezone.utc))
         changed[UPDATED] = F.when(F.col("__patched").isNotNull(), stamp).otherwise(F.col(UPDATED))
     return joined.withColumns(changed).select(*records.columns)
 

@@ -15,10 +15,9 @@ from gridloom.functions.cells import as_ntz, cell_of
 from gridloom.plans.model import ID, TEXT_LIKE, Entity
 from gridloom.session import checkpointed
 
-# Sizes of pages and pickers, and how many columns a search reads.
+# Sizes of pages and pickers.
 PAGE, MAX_PAGE = 25, 100
 PICKER, MAX_PICKER = 20, 50
-MAX_SEARCH_COLUMNS = 8
 # How labels are named and shown.
 LABEL_PREFIX = "__rel_"
 NO_NAME = "(sin nombre)"
@@ -42,7 +41,7 @@ def search_columns(entity: Entity) -> list[str]:
     names = [f.name for f in entity.fields if f.type in TEXT_LIKE]
     if entity.display not in names:
         names.insert(0, entity.display)
-    return names[:MAX_SEARCH_COLUMNS]
+    return names
 
 
 def _contains(columns: list[Column], text: str) -> Column:
@@ -56,14 +55,16 @@ def search(
     entity: Entity,
     text: str | None,
     targets: Mapping[str, tuple[Entity, DataFrame]] | None = None,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """Records with ``text`` somewhere in their searched columns. ``%`` and ``_`` are wildcards.
+    """Records with ``text`` somewhere in their text columns, or in the ``columns`` named.
 
-    A relation is searched by the label it shows, when its target is given.
+    ``%`` and ``_`` are wildcards. A relation is searched by the label it shows, when its target
+    is given.
     """
     if not text:
         return records
-    names = search_columns(entity)
+    names = search_columns(entity) if columns is None else columns
     if not names:
         return records
     labels = {}
@@ -71,8 +72,8 @@ def search(
         field = entity.field(entity.display)
         records = _with_label(records, field.name, *targets[field.target], "__label")
         labels[field.name] = F.col("__label")
-    columns = [labels.get(n, F.col(n)).cast("string") for n in names]
-    return records.where(_contains(columns, text)).drop("__label")
+    searched = [labels.get(n, F.col(n)).cast("string") for n in names]
+    return records.where(_contains(searched, text)).drop("__label")
 
 
 def count_records(records: DataFrame) -> DataFrame:
@@ -87,7 +88,9 @@ def _with_label(
     labels = target_records.select(
         F.col(ID).alias("__target"), label_text(F.col(target.display), shown).alias(into)
     )
-    return records.join(labels, F.col(field) == F.col("__target"), "left").drop("__target")
+    # Blank relations match nothing; keys of their own keep them from meeting in one task.
+    key = F.coalesce(F.col(field), F.concat(F.lit("\0"), F.col(ID)))
+    return records.join(labels, key == F.col("__target"), "left").drop("__target")
 
 
 def with_labels(

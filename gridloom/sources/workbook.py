@@ -2,7 +2,7 @@
 
 Files are listed and fetched by Spark's binary file source, so any Hadoop file system works
 and files spread over the cluster; each task unzips and parses the workbooks it was given and
-streams their rows out in small batches. A workbook cannot be split, but its size is capped.
+streams their rows out in small batches. A workbook cannot be split; a cap on its size can be given.
 """
 
 from __future__ import annotations
@@ -68,14 +68,21 @@ def sheet_rows(grid: DataFrame) -> DataFrame:
     return grid.where(F.col("error").isNull()).drop("error")
 
 
-def capped(grid: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
-    """Apply the read caps to a grid from elsewhere: the grid, and the sheets that were cut."""
-    kept = grid.where(
-        (F.col("sheet_index") < limits.sheets) & (F.col("row_index") < limits.rows)
-    ).withColumn("cells", F.slice("cells", 1, limits.columns))
-    bottoms = grid.groupBy("file", "sheet_index").agg(F.max("row_index").alias("bottom"))
-    cut = bottoms.where((F.col("bottom") >= limits.rows) & (F.col("sheet_index") < limits.sheets))
-    return kept, cut.select("file", "sheet_index")
+def capped(grid: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """Apply read caps to a grid from elsewhere: the grid, and the sheets that a cap cut."""
+    everything = F.lit(True)
+    sheet = everything if limits.sheets is None else F.col("sheet_index") < limits.sheets
+    row = everything if limits.rows is None else F.col("row_index") < limits.rows
+    kept = grid.where(sheet & row)
+    wide = F.lit(False)
+    if limits.columns is not None:
+        kept = kept.withColumn("cells", F.slice("cells", 1, limits.columns))
+        wide = F.exists(
+            F.slice("cells", limits.columns + 1, 2**31 - 1 - limits.columns),
+            lambda cell: cell["kind"].isNotNull(),
+        )
+    cut = grid.where(~sheet | ~row | wide).select("file", "sheet_index").distinct()
+    return kept, cut
 
 
 def truncated_sheets(grid: DataFrame) -> DataFrame:

@@ -20,12 +20,16 @@ DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
 @dataclass(frozen=True)
 class Limits:
-    """Read caps. A sheet over the row cap is kept and flagged."""
+    """Read caps, none by default. A sheet that a cap cuts is flagged, also if none of it is kept."""
 
-    sheets: int = 50
-    rows: int = 200_000
-    columns: int = 256
-    unzipped_bytes: int = 300 * 1024 * 1024
+    sheets: int | None = None
+    rows: int | None = None
+    columns: int | None = None
+    unzipped_bytes: int | None = None
+
+
+#: The caps of an interactive upload.
+INTERACTIVE = Limits(50, 200_000, 256, 300 * 1024 * 1024)
 
 
 def workbook_rows(file: str, content: bytes, limits: Limits) -> Iterator[dict]:
@@ -34,20 +38,25 @@ def workbook_rows(file: str, content: bytes, limits: Limits) -> Iterator[dict]:
 
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
-        if sum(entry.file_size for entry in archive.infolist()) > limits.unzipped_bytes:
+        size = sum(entry.file_size for entry in archive.infolist())
+        if limits.unzipped_bytes is not None and size > limits.unzipped_bytes:
             yield refused(TOO_LARGE)
             return
         book = _Workbook(archive)
-        for index, (name, part) in enumerate(book.sheets[: limits.sheets]):
+        for index, (name, part) in enumerate(book.sheets):
             name = name or f"Hoja {index + 1}"
             base = {"file": file, "sheet_index": index, "sheet_name": name}
-            bottom = 0
-            for number, row in book.rows(part, limits.columns):
-                bottom = max(bottom, number)
-                if number <= limits.rows:
-                    yield base | {"row_index": number - 1, "cells": row}
-            yield base | {"row_index": -1, "cells": [], "truncated": bottom > limits.rows}
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError):
+            cut = limits.sheets is not None and index >= limits.sheets
+            for number, row in () if cut else book.rows(part):
+                if limits.rows is not None and number > limits.rows:
+                    cut = True
+                    continue
+                if limits.columns is not None and len(row) > limits.columns:
+                    cut = cut or any(cell is not None for cell in row[limits.columns :])
+                    row = row[: limits.columns]
+                yield base | {"row_index": number - 1, "cells": row}
+            yield base | {"row_index": -1, "cells": [], "truncated": cut}
+    except Exception:  # whatever a damaged file raises, it costs that file and not the job
         yield refused(UNREADABLE)
 
 
@@ -124,7 +133,7 @@ class _Workbook:
             _is_date_format(custom[s]) if s in custom else int(s) in DATE_FORMATS for s in styles
         ]
 
-    def rows(self, part: str, max_columns: int) -> Iterator[tuple[int, list[dict | None]]]:
+    def rows(self, part: str) -> Iterator[tuple[int, list[dict | None]]]:
         """Row number and cells of each row, with merged ranges filled from their first cell."""
         content = self._archive.read(part)
         tail = content[content.rfind(b"</sheetData>") :]
@@ -137,9 +146,8 @@ class _Workbook:
                 if (number, column) in sources:
                     values[number, column] = value
             for column, source in covered.pop(number, {}).items():
-                if column < max_columns:
-                    row.extend([None] * (column + 1 - len(row)))
-                    row[column] = values.get(source)
+                row.extend([None] * (column + 1 - len(row)))
+                row[column] = values.get(source)
             return number, row
 
         number = 0
@@ -153,14 +161,20 @@ class _Workbook:
             row: list[dict | None] = []
             for position, cell in enumerate(element):
                 at = _column(cell.get("r")) if cell.get("r") else position
-                if at < max_columns:
-                    row.extend([None] * (at + 1 - len(row)))
-                    row[at] = self._value(cell)
+                row.extend([None] * (at + 1 - len(row)))
+                row[at] = self._readable(cell)
             yield filled(number, row)
             element.clear()
         for gap in sorted(covered):
             yield filled(gap, [])
 
+    def _readable(self, cell: ElementTree.Element) -> dict | None:
+        """The value of a cell; one that can't be read is blank and costs no other cell."""
+        try:
+            return self._value(cell)
+        except (ValueError, OverflowError, IndexError):
+            return None
+
     def _value(self, cell: ElementTree.Element) -> dict | None:
         kind = cell.get("t", "n")
         inline = value = None

@@ -62,9 +62,9 @@ def test_search_wildcards_and_accents(spark):
     assert ids(r"c\afe") == ["2"] and ids("") == ["1", "2", "3", "4"]
 
 
-def test_search_columns_are_bounded():
+def test_search_reads_all_text_columns():
     fields = tuple(Field(f"f{i}") for i in range(12)) + (Field("n", "integer"),)
-    assert L.search_columns(Entity("x", "t", fields, display="n")) == ["n"] + [f"f{i}" for i in range(7)]
+    assert L.search_columns(Entity("x", "t", fields, display="n")) == ["n"] + [f"f{i}" for i in range(12)]
 
 
 def strict(spark, field, value, schema="string"):
