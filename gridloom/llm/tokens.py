@@ -24,6 +24,7 @@ import re
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,12 +49,12 @@ UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}")
 UNEVEN_ASCII = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
 
-def byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write bytes with: printable bytes as they are, the
-    others in order from 256 on. Keyed by byte."""
+def byte_letters() -> str:
+    """The letters that byte-level vocabularies write bytes with, by byte: printable bytes as they
+    are, the others in order from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return "".join(chr(b if b in plain else 256 + others.index(b)) for b in range(256))
 
 
 def _is_uneven(text: str) -> bool:
@@ -92,7 +93,7 @@ class Encoder:
     def letters(self, before: str, word: str) -> bytes:
         """Of letters, with what the vocabulary writes for a space before them, if any."""
         if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self._letters)
+            word = charmap_decode(word.encode(), "strict", self._letters)[0]
         return array(self._code, [t.id for t in self._pieces(before + word)]).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
@@ -163,8 +164,9 @@ def packed(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
         if width == 0:
             continue
         chosen = np.flatnonzero(widths == width)
+        size = 2 if width <= 16 else 4
         bits = np.unpackbits(
-            rest[chosen].astype("<u4").view(np.uint8).reshape(len(chosen), block, 4),
+            rest[chosen].astype(f"<u{size}").view(np.uint8).reshape(len(chosen), block, size),
             axis=2, bitorder="little",
         )[:, :, :width]
         bytes_ = np.packbits(bits.reshape(len(chosen), -1), axis=1, bitorder="little")
@@ -193,7 +195,8 @@ def unpacked(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndar
     starts, low = take("<u4", blocks + 1).astype(np.int64), take("<u4", blocks)
     widths, exceptions = take("u1", blocks), take("<u4", blocks + 1)
     places, values = take("<u2", patches), take("<u4", patches)
-    body = np.frombuffer(payload, np.uint8, offset=at)
+    # The last values may look a few bytes beyond the end.
+    body = np.frombuffer(payload + b"\0" * 8, np.uint8, offset=at)
     stop = n if stop is None else min(stop, n)
     if start >= stop:
         return np.zeros(0, np.uint32)
@@ -203,12 +206,14 @@ def unpacked(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndar
         if width == 0:
             continue
         chosen = np.flatnonzero(widths[first:last] == width)
-        size = int(width) * block // 8
-        bytes_ = body[starts[chosen + first][:, None] + np.arange(size)]
-        bits = np.unpackbits(bytes_, axis=1, bitorder="little").reshape(len(chosen), block, width)
-        whole = np.zeros((len(chosen), block, 32), np.uint8)
-        whole[:, :, :width] = bits
-        out[chosen] = np.packbits(whole, axis=2, bitorder="little").view("<u4").reshape(len(chosen), block)
+        # Each value lies in the five bytes from the one that holds its first bit.
+        bit = np.arange(block) * int(width)
+        at_byte = starts[chosen + first][:, None] + (bit >> 3)
+        value = np.zeros((len(chosen), block), np.uint64 if width > 17 else np.uint32)
+        for i in range((int(width) + 14) // 8):
+            value |= body[at_byte + i].astype(value.dtype) << value.dtype.type(8 * i)
+        value >>= (bit & 7).astype(value.dtype)
+        out[chosen] = value & value.dtype.type((1 << int(width)) - 1)
     a, b = exceptions[first], exceptions[last]
     rows = np.repeat(np.arange(first, last), np.diff(exceptions[first : last + 1].astype(np.int64))) - first
     out[rows, places[a:b]] = values[a:b]
@@ -242,8 +247,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(np.concatenate((tool.ids(text.as_py() or ""), end)))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(np.concatenate((tool.ids(text or ""), end)))
                 doc_ids.append(doc_id)
                 held += len(ids[-1])
                 if held >= SEGMENT:
