@@ -25,7 +25,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import map_batches, table
+from gridloom.llm.common import map_batches, table, written
 
 #: Tags by their role in HTML (fixed).
 RAW = {"script", "style", "textarea", "title", "xmp", "noframes", "iframe", "noembed"}
@@ -339,8 +339,10 @@ def extract(pages: DataFrame) -> DataFrame:
         texts = [Page(s or "").text(p) for s, p in zip(columns["html"], columns["path"], strict=True)]
         return {"page_id": columns["page_id"], "url": columns["url"], "text": texts}
 
+    # Written, so that Spark knows its size: a small table of hosts needs no shuffle of the pages.
+    chosen = written(winners(votes(pages)), "winners")
     return map_batches(
-        pages.join(winners(votes(pages)), "host", "left").select("page_id", "url", "html", "path"),
+        pages.join(chosen, "host", "left").select("page_id", "url", "html", "path"),
         read, "page_id long, url string, text string",
     )
 
