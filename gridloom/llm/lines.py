@@ -120,7 +120,8 @@ def dedup_lines(
     runs = LineRuns(spark, fanout)
     for batch in range(batches):
         runs.add(lines.filter(F.col("batch") == batch).select(*HASH, "doc_id"))
-    shared = runs.state().filter(F.col("docs") >= min_docs).select(*HASH, "last")
+    # Written: the join then deals both sides itself, and Spark can split a hot line's rows.
+    shared = written(runs.state().filter(F.col("docs") >= min_docs).select(*HASH, "last"), "shared-lines")
     dropped = (
         lines.join(shared, HASH).filter(F.col("doc_id") < F.col("last"))
         .groupBy(F.col("doc_id").alias("__id"), "__row").agg(F.collect_set("pos").alias("gone"))
