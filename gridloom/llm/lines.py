@@ -86,7 +86,9 @@ def merged_runs(runs: list[DataFrame]) -> DataFrame:
     rows = runs[0]
     for run in runs[1:]:
         rows = rows.unionByName(run)
-    return rows.groupBy(*HASH).agg(
+    # Dealt anew: Spark may take a union of bucketed tables as partitioned and then read them
+    # unbucketed. A key is in a run once at most, so nothing would combine before the shuffle.
+    return rows.repartition(*HASH).groupBy(*HASH).agg(
         F.sum("docs").alias("docs"), F.max("last").alias("last"), F.max("first").alias("first")
     )
 
