@@ -9,6 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gridloom.session import scratch_folder
 
@@ -47,9 +49,6 @@ def map_batches(
     df: DataFrame, function: Callable[[dict[str, list]], dict[str, object]], schema: str, rows: int = 512
 ) -> DataFrame:
     """``function`` from columns to columns over batches of at most ``rows`` rows."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     wanted = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,6 +66,33 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def map_arrow(
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str
+) -> DataFrame:
+    """``function`` from batches to columns by name."""
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in function(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in wanted], schema=wanted)
+
+    return df.mapInArrow(run, schema)
+
+
+def small_set(keys: DataFrame, most: int) -> np.ndarray | None:
+    """Sorted values of a one-column table, or None if they are more than tasks should hold."""
+    if keys.count() > most:
+        return None
+    return np.unique(np.asarray(keys.toArrow().column(0)).astype(np.int64))
+
+
+def is_in(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted ``known``."""
+    if not len(known) or not len(values):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix of unsigned integers."""
     x = x ^ (x >> np.uint64(31))

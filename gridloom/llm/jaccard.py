@@ -29,18 +29,27 @@ are one node. Shingles are told apart by 64 bits of hash, sets by 128. Other col
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import UPPER, LOWER, WordHashes, grams, mixed, table, written
+from gridloom.llm.common import (
+    LOWER,
+    UPPER,
+    WordHashes,
+    grams,
+    is_in,
+    map_arrow,
+    mixed,
+    small_set,
+    table,
+    written,
+)
 from gridloom.llm.components import components
 
 SKETCH = 1 << 22
@@ -98,19 +107,6 @@ def fingerprint(items: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (a, b))
 
 
-def _map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    wanted = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in function(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in wanted], schema=wanted)
-
-    return df.mapInArrow(run, schema)
-
-
 # Sketch of document frequencies
 
 
@@ -135,7 +131,7 @@ def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
         return pd.DataFrame({"part": group.part.iloc[:1], "counts": [capped.tobytes()]})
 
     parts = written(
-        _map(docs.select("text"), count, "part int, counts binary").groupBy("part").applyInPandas(
+        map_arrow(docs.select("text"), count, "part int, counts binary").groupBy("part").applyInPandas(
             add, "part int, counts binary"
         ),
         "sketch",
@@ -175,19 +171,6 @@ def light_boundary(docs: DataFrame, n: int, percent: int) -> int:
 # Candidates
 
 
-def _in(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(known) or not len(values):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
-def _small_set(keys: DataFrame) -> np.ndarray | None:
-    """Sorted values of a one-column table, or None if they are more than tasks should hold."""
-    if keys.count() > FILTER_MOST:
-        return None
-    return np.unique(np.asarray(keys.toArrow().column(0)))
-
-
 def described(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, boundary: int) -> DataFrame:
     """doc_id, n, h1, h2 of every row, and for lists its rarest shingles, in order."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -211,7 +194,7 @@ def described(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, boundar
                     out["rare"].append(None)
             yield out
 
-    return _map(
+    return map_arrow(
         docs.select("doc_id", "text"), describe,
         "doc_id long, n long, h1 long, h2 long, rare array<long>, light array<long>",
     )
@@ -238,7 +221,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
         keys, low, high = _extremes(keys, low, high)
         return pd.DataFrame({"key": keys[low < high]})
 
-    dealt = _map(rows.filter("rare IS NOT NULL").select("rare", "h1"), deal, "part int, keys binary, low binary, high binary")
+    dealt = map_arrow(rows.filter("rare IS NOT NULL").select("rare", "h1"), deal, "part int, keys binary, low binary, high binary")
     return dealt.groupBy("part").applyInPandas(find, "key long")
 
 
@@ -265,7 +248,7 @@ def _by_range(keys: np.ndarray, low: np.ndarray, high: np.ndarray, ranges: int)
 
 def list_entries(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """key, at (place among the rarest), n, h1, node: one entry of a list per set."""
-    known = _small_set(keys)
+    known = small_set(keys, FILTER_MOST)
     heavy = rows.filter("rare IS NOT NULL AND doc_id IS NOT NULL").select("rare", "doc_id", "n", "h1")
     if known is None:
         entries = heavy.select("doc_id", "n", "h1", F.posexplode("rare").alias("at", "key")).join(keys, "key", "left_semi")
@@ -279,18 +262,18 @@ def list_entries(rows: DataFrame, keys: DataFrame) -> DataFrame:
                 values = np.asarray(lists.flatten())
                 row = np.repeat(np.arange(len(lengths)), lengths)
                 at = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                chosen = _in(held.value, values)
+                chosen = is_in(held.value, values)
                 row = row[chosen]
                 yield {"key": values[chosen], "at": at[chosen],
                        **{c: np.asarray(batch.column(i))[row] for i, c in ((1, "doc_id"), (2, "n"), (3, "h1"))}}
 
-        entries = _map(heavy, pick, "key long, at int, doc_id long, n long, h1 long")
+        entries = map_arrow(heavy, pick, "key long, at int, doc_id long, n long, h1 long")
     return entries.groupBy("key", "at", "n", "h1").agg(F.min("doc_id").alias("node"))
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """node, h1, items of the documents that ``nodes`` (node, h1) names."""
-    ids = _small_set(nodes.select("node").distinct())
+    ids = small_set(nodes.select("node").distinct(), FILTER_MOST)
     chosen = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     if ids is None:
         chosen = chosen.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -300,7 +283,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             ids, out = held.value, {"node": [], "h1": [], "items": []}
             doc_ids = np.asarray(batch.column(0))
-            inside = np.ones(len(doc_ids), bool) if ids is None else _in(ids, doc_ids)
+            inside = np.ones(len(doc_ids), bool) if ids is None else is_in(ids, doc_ids)
             for i in np.flatnonzero(inside):
                 items = shingles(batch.column(1)[int(i)].as_py(), n)
                 out["node"].append(doc_ids[i])
@@ -308,7 +291,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 out["items"].append(items.view(np.int64))
             yield out
 
-    built = _map(chosen, build, "node long, h1 long, items array<long>")
+    built = map_arrow(chosen, build, "node long, h1 long, items array<long>")
     return built.dropDuplicates(["node", "h1"]) if ids is None else built
 
 
@@ -354,7 +337,7 @@ def light_links(rows: DataFrame, percent: int) -> DataFrame:
         rows.filter("light IS NOT NULL AND doc_id IS NOT NULL").groupBy("n", "h1", "h2")
         .agg(F.min("doc_id").alias("node"), F.first("light").alias("light")).select("node", "light")
     )
-    keyed = written(_map(light, enumerate_, "key long, n long, node long, items array<long>"), "subsets")
+    keyed = written(map_arrow(light, enumerate_, "key long, n long, node long, items array<long>"), "subsets")
     first = (
         keyed.groupBy("key").agg(F.min(F.struct("n", "node")).alias("b"), F.count("*").alias("sets"))
         .filter("sets > 1").select("key", F.col("b.node").alias("b"))

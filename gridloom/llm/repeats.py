@@ -31,12 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import mixed, table, written
+from gridloom.llm.common import is_in, map_arrow, mixed, small_set, table, written
 from gridloom.llm.suffix_array import suffix_array
 
 WIDTH, SEED = 100, 32
@@ -105,32 +104,6 @@ def _slice_minimizers(data: np.ndarray, offset: int, width: int, seed: int):
     return first + offset, last + offset, place[first] + offset, hashes[place[first]]
 
 
-def _map(df: DataFrame, function, schema: str) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    wanted = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in function(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in wanted], schema=wanted)
-
-    return df.mapInArrow(run, schema)
-
-
-def _small_set(keys: DataFrame) -> np.ndarray | None:
-    """Sorted values of a one-column table, or None if they are more than tasks should hold."""
-    if keys.count() > FILTER_MOST:
-        return None
-    return np.unique(np.asarray(keys.toArrow().column(0)).astype(np.int64))
-
-
-def _in(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(known) or not len(values):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
 def repeated_minimizers(docs: DataFrame) -> DataFrame:
     """key: hashes of the minimizers of more than one piece. Counts go by ranges of keys."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -156,7 +129,7 @@ def repeated_minimizers(docs: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         return pd.DataFrame({"key": keys[starts][np.add.reduceat(many.astype(np.int64), starts) > 1]})
 
-    dealt = _map(docs.select("text"), deal, "part int, keys binary, many binary")
+    dealt = map_arrow(docs.select("text"), deal, "part int, keys binary, many binary")
     return dealt.groupBy("part").applyInPandas(find, "key long")
 
 
@@ -169,7 +142,7 @@ PIECE = "key long, s1 long, s2 long, id long, h long, start long, seed_at int, n
 
 def pieces(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Pieces around the minimizers in ``keys``: the bytes, their hash, and where they are."""
-    known = _small_set(keys)
+    known = small_set(keys, FILTER_MOST)
     held = docs.sparkSession.sparkContext.broadcast(known)
 
     def cut(batches):
@@ -179,7 +152,7 @@ def pieces(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 raw = (text or "").encode()
                 first, last, at, key = minimizers(np.frombuffer(raw, np.uint8))
                 key = key.view(np.int64)
-                chosen = np.arange(len(key)) if held.value is None else np.flatnonzero(_in(held.value, key))
+                chosen = np.arange(len(key)) if held.value is None else np.flatnonzero(is_in(held.value, key))
                 for i in chosen.tolist():
                     a, b = int(first[i]), int(last[i]) + WIDTH
                     piece = raw[a:b]
@@ -195,7 +168,7 @@ def pieces(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 out["h"] += [h] * len(chosen)
             yield out
 
-    cut_pieces = _map(docs.select("id", "h", "text"), cut, PIECE)
+    cut_pieces = map_arrow(docs.select("id", "h", "text"), cut, PIECE)
     return cut_pieces if known is not None else cut_pieces.join(keys, "key", "left_semi").select(
         *(c.split()[0] for c in PIECE.split(", "))
     )
@@ -307,7 +280,7 @@ def _window_rows(large: DataFrame) -> DataFrame:
                 done = {k: np.concatenate(v) for k, v in out.items()}
                 yield done | {k: done[k].view(np.int64) for k in ("g1", "g2")}
 
-    return _map(large.select("id", "h", "start", "piece"), spread, "g1 long, g2 long, id long, h long, start long")
+    return map_arrow(large.select("id", "h", "start", "piece"), spread, "g1 long, g2 long, id long, h long, start long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -392,7 +365,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             yield out | {"doc_id": batch.column("doc_id")}
 
     joined = keyed.join(by_text, ["id", "h"], "left").select("doc_id", "text", "spans")
-    return _map(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_arrow(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_suffix_dedup(spark, folder: str) -> DataFrame:
