@@ -39,26 +39,34 @@ def row_width(cells: Column) -> Column:
     return F.size(filled(cells))
 
 
-def _looks_like_header(cells: Column) -> Column:
+def _looks_like_header(cells: Column, max_length: int) -> Column:
     names = F.transform(filled(cells), lambda c: header_key(_cell(c).text))
     text = F.forall(
         filled(cells),
-        lambda c: (c["kind"] == TEXT) & (F.length(_cell(c).text) <= MAX_HEADER_LENGTH),
+        lambda c: (c["kind"] == TEXT) & (F.length(_cell(c).text) <= max_length),
     )
     named = F.forall(names, lambda n: n != "")
     several = (F.size(F.array_distinct(names)) > 1) | (F.size(names) == 1)
     return (F.size(names) > 0) & text & named & several
 
 
-def sheet_facts(grid: DataFrame) -> DataFrame:
-    """Per sheet: the header row found, or null, and the last row that holds something."""
-    scanned = F.col("row_index") < SCAN_DEPTH
+def sheet_facts(
+    grid: DataFrame, scan_depth: int = SCAN_DEPTH, max_length: int = MAX_HEADER_LENGTH
+) -> DataFrame:
+    """Per sheet: the header row found, or null, and the last row that holds something.
+
+    The header is looked for in the first ``scan_depth`` rows, among cells of at most
+    ``max_length`` characters.
+    """
+    scanned = F.col("row_index") < scan_depth
     facts = grid.withColumn("width", row_width(F.col("cells"))).select(
         *SHEET,
         "sheet_name",
         "row_index",
         "width",
-        F.when(scanned, F.when(_looks_like_header(F.col("cells")), F.col("width"))).alias("fit"),
+        F.when(
+            scanned, F.when(_looks_like_header(F.col("cells"), max_length), F.col("width"))
+        ).alias("fit"),
     )
     # The name belongs to the sheet; as a key it leaves only numbers to aggregate.
     sheets = facts.groupBy(*SHEET, "sheet_name").agg(

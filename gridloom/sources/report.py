@@ -42,9 +42,9 @@ def report(failures: DataFrame, limit: int = MAX_REPORTED) -> DataFrame:
     return failures.orderBy("sheet", "row_number", "entity").limit(limit)
 
 
-def write_report(failures: DataFrame, path: str) -> None:
-    rows = report(failures).select(
+def write_report(failures: DataFrame, path: str, limit: int = MAX_REPORTED) -> None:
+    rows = report(failures, limit).select(
         *[F.col(name).alias(title) for name, title in REPORT_COLUMNS.items()]
     )
-    # At most MAX_REPORTED rows: one file.
+    # At most ``limit`` rows, in order: one file.
     rows.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -123,3 +123,21 @@ def test_cell_kinds(spark, tmp_path):
         (0, 0): "Uni", (0, 1): "Uni", (0, 2): "rico texto", (1, 0): "Uni", (1, 1): "Uni",
         (2, 0): datetime(2026, 9, 15, 12), (2, 1): "fx", (2, 3): True, (2, 4): 12.5, (2, 5): 2.0,
         (3, 3): True}
+
+
+def test_a_header_far_down_is_found_where_it_is_looked_for(spark, tmp_path):
+    rows = [[i, i + 1] for i in range(39)] + [["Producto", "Cantidad"], ["a", 1], ["b", 2]]
+    grid = W.sheet_rows(W.read_workbooks(spark, write(tmp_path / "in", sheets={"Honda": rows})))
+    assert [r.header_row for r in H.sheet_facts(grid).collect()] == [None]
+    assert [r.header_row for r in H.sheet_facts(grid, scan_depth=50).collect()] == [39]
+
+
+def test_a_cell_that_cannot_be_read_is_blank():
+    from gridloom.sources import xlsx
+
+    sheet = """<worksheet xmlns="m"><sheetData><row r="1"><c r="A1" s="1"><v>1e12</v></c>
+    <c r="B1"><v>no</v></c><c r="C1" t="s"><v>9</v></c><c r="D1"><v>5</v></c></row></sheetData></worksheet>"""
+    book = xlsx._Workbook.__new__(xlsx._Workbook)
+    book._dates, book._strings, book._epoch = [False, True], [], datetime(1899, 12, 30)
+    book._archive = type("Archive", (), {"read": lambda self, part: sheet.encode()})()
+    assert list(book.rows("part")) == [(1, [None, None, None, {"kind": "number", "n": 5.0}])]
