@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A seed is a run of three words of a test item. How many documents hold each is counted over the
-whole corpus, and an item keeps its rare ones: those not much more frequent than the quarter of
-its runs that are rarest. So a common phrase is no seed, but every item has seeds, however many
-documents copy it. Documents meet items on seeds by a join; around the seeds a passage is cut that
-is as wide as the longest item on both sides. Passage and item are aligned word by word, and the
+A seed is a run of three words of a test item. All seeds count, however many documents hold them:
+copies of an item that many documents share are no less copies. Documents meet items on seeds by a
+join that carries the places of the shared seeds. An alignment that scores enough is at most twice
+as long as its item, so around those places the document is cut that wide on both sides, and what
+holds too few of the item's words goes. The rest is aligned with the item word by word, and the
 score is the alignment's over that of a perfect copy. Edited, cut and paraphrased copies keep a
 large part of it; chance finds have a few words.
 
@@ -24,7 +24,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import WordHashes, grams, map_batches, table, written
@@ -32,6 +32,9 @@ from gridloom.llm.common import WordHashes, grams, map_batches, table, written
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
+#: An alignment that scores LEAST covers at most so many words of a passage for each of its item:
+#: with all words matched, MATCH * (1 - LEAST) extra ones use up the rest of the score.
+SPAN = 2
 FILTER_SEEDS = 2_000_000
 WORD = re.compile(r"\w+")
 
@@ -81,6 +84,13 @@ def aligned(passage: list[str], item: list[str]) -> tuple[float, int, int]:
     return score / (MATCH * len(item)), end - back, end
 
 
+def windows(at: list[int], length: int) -> list[tuple[int, int]]:
+    """From and to which word alignments with an item of ``length`` words can reach around seeds ``at``."""
+    places, reach = np.unique(at), SPAN * length
+    groups = np.split(places, np.flatnonzero(np.diff(places) > 2 * reach) + 1)
+    return [(max(0, int(g[0]) - reach), int(g[-1]) + SEED_WORDS + reach) for g in groups]
+
+
 def item_seeds(items: DataFrame) -> DataFrame:
     """item_id, seed."""
 
@@ -110,34 +120,15 @@ def _held(found: np.ndarray, known: np.ndarray | None) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
 
 
-def rare_seeds(docs: DataFrame, seeds: DataFrame, slack: int = 16, times: int = 4) -> DataFrame:
-    """The rows of ``seeds`` that are rare for their item in all of ``docs``."""
-    known = _filter_set(seeds)
-
-    def count(columns: dict[str, list]) -> dict[str, list]:
-        seen: Counter = Counter()
-        for text in columns["text"]:
-            found = np.unique(seeds_of(words_of(text)))
-            seen.update(found[_held(found, known)].tolist())
-        return {"seed": list(seen), "n": list(seen.values())}
-
-    counted = map_batches(docs.select("text"), count, "seed long, n long", 4096)
-    frequency = counted.groupBy("seed").agg(F.sum("n").alias("n"))
-    by_item = Window.partitionBy("item_id")
-    return (
-        seeds.join(frequency, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        .withColumn("usual", F.percentile_approx("n", 0.25).over(by_item))
-        .filter(F.col("n") <= F.col("usual") * times + slack)
-        .select("item_id", "seed")
-    )
-
-
 def passages(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """doc_id, first (word), words (joined by spaces), seeds: what surrounds seeds, ``reach`` words wide."""
+    """doc_id, first (word), words (joined by spaces), seeds, at: what surrounds seeds, ``reach`` words wide.
+
+    ``at`` are the places of the seeds in the passage.
+    """
     known = _filter_set(seeds)
 
     def cut(columns: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": [], "first": [], "words": [], "seeds": []}
+        out = {"doc_id": [], "first": [], "words": [], "seeds": [], "at": []}
         for doc_id, text in zip(columns["doc_id"], columns["text"], strict=True):
             words = words_of(text)
             found = seeds_of(words)
@@ -149,11 +140,13 @@ def passages(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
                 out["doc_id"].append(doc_id)
                 out["first"].append(first)
                 out["words"].append(" ".join(words[first : int(group[-1]) + SEED_WORDS + reach]))
-                out["seeds"].append(np.unique(found[group]).tolist())
+                out["seeds"].append(found[group].tolist())
+                out["at"].append((group - first).tolist())
         return out
 
     return map_batches(
-        docs.select("doc_id", "text"), cut, "doc_id long, first long, words string, seeds array<long>"
+        docs.select("doc_id", "text"), cut,
+        "doc_id long, first long, words string, seeds array<long>, at array<long>",
     )
 
 
@@ -161,34 +154,37 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word (exclusive) of the best passage of each pair."""
     items = items.select("item_id", "text").distinct()
     seeds = written(item_seeds(items), "item-seeds")
-    rare = written(rare_seeds(docs, seeds), "rare-seeds")
 
     def tidy(columns: dict[str, list]) -> dict[str, list]:
         found = [words_of(t) for t in columns["text"]]
         return {"item_id": columns["item_id"], "item": [" ".join(w) for w in found], "n": [len(w) for w in found]}
 
     item_words = written(map_batches(items, tidy, "item_id long, item string, n int"), "items")
-    reach = (item_words.agg(F.max("n")).first()[0] or 1) * 5 // 4
-    cut = written(passages(docs, rare, reach).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    reach = (item_words.agg(F.max("n")).first()[0] or 1) * SPAN
+    cut = written(passages(docs, seeds, reach).withColumn("passage", F.monotonically_increasing_id()), "passages")
     pairs = (
-        cut.select("passage", F.explode("seeds").alias("seed")).join(rare, "seed")
-        .groupBy("passage", "item_id").agg(F.lit(1).alias("one")).drop("one")
-        .join(cut.drop("seeds"), "passage").join(item_words, "item_id")
+        cut.select("passage", F.explode(F.arrays_zip("seeds", "at")).alias("s"))
+        .select("passage", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at")).join(seeds, "seed")
+        .groupBy("passage", "item_id").agg(F.collect_set("at").alias("at"))
+        .join(cut.drop("seeds", "at"), "passage").join(item_words, "item_id")
     )
 
     def score(columns: dict[str, list]) -> dict[str, list]:
         out = {"doc_id": [], "item_id": [], "score": [], "first_word": [], "last_word": []}
-        for doc_id, item_id, first, text, item in zip(
-            *(columns[c] for c in ("doc_id", "item_id", "first", "words", "item")), strict=True
+        for doc_id, item_id, first, text, item, at in zip(
+            *(columns[c] for c in ("doc_id", "item_id", "first", "words", "item", "at")), strict=True
         ):
-            value, start, end = aligned(text.split(" "), item.split(" "))
-            if value >= LEAST:
-                for name, x in zip(out, (doc_id, item_id, round(value, 6), first + start, first + end), strict=True):
-                    out[name].append(x)
+            words, wanted = text.split(" "), item.split(" ")
+            for start, stop in windows(at, len(wanted)):
+                value, begin, end = aligned(words[start:stop], wanted)
+                if value >= LEAST:
+                    row = (doc_id, item_id, round(value, 6), first + start + begin, first + start + end)
+                    for name, x in zip(out, row, strict=True):
+                        out[name].append(x)
         return out
 
     scored = map_batches(
-        pairs.select("doc_id", "item_id", "first", "words", "item"), score,
+        pairs.select("doc_id", "item_id", "first", "words", "item", "at"), score,
         "doc_id long, item_id long, score double, first_word long, last_word long",
     )
     best = F.max(F.struct("score", (-F.col("first_word")).alias("at"), "last_word")).alias("b")

@@ -195,6 +195,30 @@ def test_copies_and_edited_copies_of_items_are_found(spark):
     assert (first.first_word, first.last_word) == (10, 10 + len(items[0][1])) and first.score == 1.0
 
 
+def test_items_that_many_documents_hold_edited_are_found(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = [("edited" if i % 10 == 5 else w) for i, w in enumerate(item)]
+    bench = spark.createDataFrame([(3, " ".join(item))], "item_id long, text string")
+    for copies, exact in ((17, 0), (1000, 0), (1000, 3)):
+        docs = [(i, f"before {' '.join(edited)} after") for i in range(copies)]
+        docs += [(5000 + i, " ".join(item)) for i in range(exact)]
+        docs += [(9000 + i, f"in {' '.join(item[:20])} half") for i in range(30)]
+        docs += [(9900 + i, f"too {' '.join(item[:12])} little") for i in range(30)]
+        got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), bench).collect()
+        assert sorted(r.doc_id for r in got) == [i for i, _ in docs if i < 9900]
+        # Each edited word costs its match and a mismatch.
+        assert {r.score for r in got if r.doc_id < 5000} == {(36 * 2 - 4) / 80}
+
+
+def test_alignments_are_found_at_their_full_width(spark):
+    item = [f"w{i}" for i in range(41)]
+    wide = [x for i, w in enumerate(item) for x in ([w] if i < 3 else ["extra", w])]
+    docs = [(1, " ".join(wide + ["end"] * 300)), (2, " ".join(["end"] * 300 + wide))]
+    bench = spark.createDataFrame([(3, " ".join(item))], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), bench).collect()
+    assert {(r.doc_id, r.first_word, r.last_word) for r in got} == {(1, 0, 79), (2, 300, 379)}
+
+
 def test_decontamination_without_filter_or_items(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "two three"), (3, "four one")], DOCS)
     bench = spark.createDataFrame([(7, "two three four five"), (8, "four one")], "item_id long, text string")
