@@ -183,11 +183,12 @@ def top_k(
         )
         step = F.ceil(F.col("width") / BINS).cast("long")
         # Where all scores together are fewer than k, the lowest bin is followed to the bottom.
+        # The top bin may stick out over the interval: what is beyond is in "above" already.
         state = written(
             state.join(found, "vec_id", "left").select(
                 "vec_id", "v", "qb",
                 (F.col("lo") + F.coalesce("bin", F.lit(0)) * step).alias("lo"),
-                step.alias("width"),
+                F.least(step, F.col("width") - F.coalesce("bin", F.lit(0)) * step).alias("width"),
                 (F.col("above") + F.coalesce("more", F.lit(0))).alias("above"),
             ),
             "queries",

@@ -205,6 +205,16 @@ def test_top_k_matches_brute_force_with_ties(spark):
     assert found == brute_top(rows, 20)
 
 
+def test_top_k_of_long_vectors_with_scores_at_a_bin_edge(spark):
+    # The interval of 200,004 scores has bins of 782, and 782 is no multiple of the next step, 4.
+    edge = -100_002 + 782 * 200
+    scores = [edge + 1] * 5 + [edge] * 5 + [edge - 1] * 5 + [edge - 2] * 185
+    rows = [(0, [1])] + [(i, [s]) for i, s in enumerate(scores, 1)] + [(999, [-100_000])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") == 0)
+    want = sorted(((-s, i) for i, s in enumerate(scores, 1)))[:20]
+    assert [(-r.score, r.vec_id) for r in got.orderBy("rank").collect()] == want
+
+
 def test_top_k_of_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     few = topk.integer_vectors(spark.createDataFrame([(0, [1.0]), (1, [1.0]), (2, [-3.0])], schema))
