@@ -24,18 +24,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8): the one with the smallest id.
 
-    Of rows that repeat an id one stays, the one with the smallest text hash, if its group's
-    smallest id is its own. Documents without words or without an id stay.
+    Rows are told apart by id and text together: other texts under the same id are other documents,
+    and of equal rows one stays. A row without an id stays only if no row of its group has one.
+    Documents without words stay.
     """
-    found = written(jaccard.jaccard_components(docs, n=5, percent=80), "components")
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = written(found.filter("component_id = doc_id AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1"), "again")
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    grouped = jaccard.jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text"), n=5, percent=80)
+    found = written(
+        grouped.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("__key"), "component_id").count(), "components"
+    )
+    # False sorts first, and so do ids before no id.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
+    first = (
+        keyed.select("__key", "doc_id").join(found, "__key")
+        .groupBy("component_id").agg(F.min(order).alias("first")).select("first.__key")
+    )
+    gone = written(found.select("__key").join(first, "__key", "left_anti"), "gone")
+    kept = keyed.join(gone, "__key", "left_anti")
+    again = written(found.filter("count > 1").select("__key").join(gone, "__key", "left_anti"), "again")
     if again.isEmpty():
-        return kept
-    repeated = kept.join(again.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    first = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row"))
-    return kept.join(again.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(first.select("__row.*"))
+        return kept.select(docs.columns)
+    repeated = kept.join(again, "__key", "left_semi")
+    one = repeated.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return kept.join(again, "__key", "left_anti").select(docs.columns).unionByName(one.select("__row.*"))
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -371,5 +371,20 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert {r.doc_id for r in end.collect()} <= set(kept[2])
 
 
+def test_near_copies_are_told_apart_by_id_and_text(spark):
+    text = lambda letter: " ".join(f"{letter}{i}" for i in range(30))
+    rows = [
+        (1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (None, text("e") + " more"),
+        (None, text("f")), (4, text("f")), (5, text("g")), (5, text("g")), (None, None), (None, ""), (6, ""), (6, ""),
+    ]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    kept = [(r.doc_id, r.text) for r in got]
+    whole = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (4, text("f")), (5, text("g")), (None, None), (None, ""), (6, ""), (6, "")]
+    alone = [r for r in kept if r[0] is None and (r[1] or "").startswith("e0 ")]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert len(alone) == 1 and sorted(set(kept) - set(alone), key=key) == sorted(set(whole), key=key)
+    assert len(kept) == len(whole) + 1
+
+
 def test_pipeline_is_the_order_of_its_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near copies", "decontamination", "mixing", "tokens"]
