@@ -1,6 +1,8 @@
 """Registered queries of the subpackage: name to query and DuckDB SQL (None where SQL can't)."""
 
-from gridloom.llm import decontaminate, html_text, jaccard, lines, mixing, repeats, secret_scan, tokens, topk, toxicity
+from gridloom.llm import (
+    conversations, decontaminate, html_text, jaccard, lines, mixing, repeats, secret_scan, tokens, topk, toxicity,
+)
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1_toxicity, None),
@@ -13,4 +15,5 @@ QUERIES = {
     "op8_token_ids": (tokens.op8_token_ids, None),
     "op9_suffix_dedup": (repeats.op9_suffix_dedup, None),
     "op10_main_text": (html_text.op10_main_text, None),
+    "op11_repair": (conversations.op11_repair, None),
 }
