@@ -1,7 +1,18 @@
 """Registered queries of the subpackage: name to query and DuckDB SQL (None where SQL can't)."""
 
 from gridloom.llm import (
-    conversations, decontaminate, html_text, jaccard, lines, mixing, repeats, secret_scan, tokens, topk, toxicity,
+    centroids,
+    conversations,
+    decontaminate,
+    html_text,
+    jaccard,
+    lines,
+    mixing,
+    repeats,
+    secret_scan,
+    tokens,
+    topk,
+    toxicity,
 )
 
 QUERIES = {
@@ -16,4 +27,5 @@ QUERIES = {
     "op9_suffix_dedup": (repeats.op9_suffix_dedup, None),
     "op10_main_text": (html_text.op10_main_text, None),
     "op11_repair": (conversations.op11_repair, None),
+    "op12_clusters": (centroids.op12_clusters, centroids.OP12_SQL),
 }
