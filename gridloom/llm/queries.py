@@ -13,6 +13,7 @@ from gridloom.llm import (
     tokens,
     topk,
     toxicity,
+    warc,
 )
 
 QUERIES = {
@@ -28,4 +29,5 @@ QUERIES = {
     "op10_main_text": (html_text.op10_main_text, None),
     "op11_repair": (conversations.op11_repair, None),
     "op12_clusters": (centroids.op12_clusters, centroids.OP12_SQL),
+    "op13_archives": (warc.op13_archives, warc.OP13_SQL),
 }
