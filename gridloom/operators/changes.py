@@ -46,9 +46,9 @@ def _check_references(
         wanted = df.select(F.col(field.name).alias(ID)).where(F.col(ID).isNotNull()).distinct()
         found = targets[field.target].select(ID).join(wanted, ID, "left_semi")
         flag = f"__found_{field.name}"
-        df = df.join(
-            found.select(F.col(ID).alias(flag)), F.col(field.name) == F.col(flag), "left"
-        )
+        # Blank relations match nothing; keys of their own keep them from meeting in one task.
+        key = F.coalesce(F.col(field.name), F.concat(F.lit("\0"), F.col(REQUEST).cast("string")))
+        df = df.join(found.select(F.col(ID).alias(flag)), key == F.col(flag), "left")
         missing = missing | (F.col(field.name).isNotNull() & F.col(flag).isNull())
     checked = df.withColumn(REASON, F.coalesce(reason, F.when(missing, MISSING_TARGET)))
     return checked.drop(*[c for c in checked.columns if c.startswith("__found_")])
@@ -113,7 +113,7 @@ def patch_requests(
 ) -> DataFrame:
     """Validate patches: one row per request with the values it sets and its reason.
 
-    A patch has a unique ordered ``request``, the ``id`` it changes, ``set`` (the names of the
+    A patch has a unique ``request`` number, the ``id`` it changes, ``set`` (the names of the
     fields present) and those fields. A present null clears an optional field.
     """
     _refuse_unknown(patches.columns, entity, [REQUEST, ID, "set"])
@@ -148,11 +148,14 @@ def with_patched(
     fields = [f.name for f in entity.fields if f.name in outcome.columns]
     accepted = outcome.where(F.col(ACCEPTED) & (F.size("set") > 0))
 
-    def last(name: str) -> Column:
-        order = F.when(F.array_contains("set", name), F.col(REQUEST))
-        return F.max_by(F.struct(F.col(name).alias("value")), order).alias(f"__new_{name}")
-
-    folded = accepted.groupBy(F.col(ID).alias("__patched")).agg(*[last(n) for n in fields])
+    # The last request that sets a field is a number per field; its value is joined afterwards.
+    last = [F.max(F.when(F.array_contains("set", n), F.col(REQUEST))).alias(f"__last_{n}") for n in fields]
+    folded = accepted.groupBy(F.col(ID).alias("__patched")).agg(*last)
+    for name in fields:
+        new = accepted.where(F.array_contains("set", name)).select(
+            F.col(REQUEST).alias("__request"), F.struct(F.col(name).alias("value")).alias(f"__new_{name}")
+        )
+        folded = folded.join(new, F.col(f"__last_{name}") == F.col("__request"), "left").drop("__request")
     joined = records.join(folded, F.col(ID) == F.col("__patched"), "left")
     changed = {
         name: F.when(F.col(f"__new_{name}").isNotNull(), F.col(f"__new_{name}.value")).otherwise(

@@ -15,6 +15,7 @@ from gridloom.functions.cells import cells_of, column, trimmed
 from gridloom.functions.coerce import SPARK_TYPES, Target, coerce
 from gridloom.functions.stages import staged
 from gridloom.plans.model import ID, KEY, SOURCE, TEXT_LIKE, Entity, Field
+from gridloom.session import checkpointed
 
 STATUS, REASON, RAW, ROWS = "__status", "__reason", "__raw", "__rows"
 KEPT, FAILED, BLANK = "kept", "failed", "blank"
@@ -31,18 +32,29 @@ def record_id(entity: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(entity), *[p.cast("string") for p in parts]), 256)
 
 
-def first_per_key(df: DataFrame, keys: list[Column], row: str, values: list[str]) -> DataFrame:
-    """The values of the first row of each key. Rows are reduced before the shuffle, so a key
-    that holds most of the table sends one row per task."""
-    return (
-        df.groupBy(*keys)
-        .agg(
-            F.min_by(F.struct(*values), column(row)).alias("__first"),
-            F.count(F.lit(1)).alias(ROWS),
-        )
-        .select("*", "__first.*")
-        .drop("__first")
-    )
+#: Bits of each part of a packed order.
+PART = 62
+
+
+def packed(*parts: Column) -> Column:
+    """One number that orders like the parts, which are integers from 0 to below ``2 ** 62``.
+
+    A struct would do, but its minimum is not a buffer of fixed width, so Spark would sort the
+    whole table to find it. At most two parts, and a bit more before them.
+    """
+    order = parts[0].cast("decimal(38,0)")
+    for part in parts[1:]:
+        order = order * F.lit(2**PART).cast("decimal(19,0)") + part.cast("decimal(19,0)")
+    return order.cast("decimal(38,0)")
+
+
+def first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key in ``__first``, and how many rows the key has.
+
+    Only the key and a number are aggregated, by hash and before the shuffle, so a key that holds most of
+    the table sends one row per task. The other columns are joined to the first rows alone.
+    """
+    return df.groupBy(key).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias(ROWS))
 
 
 def lookup(entity: Entity, records: DataFrame) -> DataFrame:
@@ -62,12 +74,19 @@ def lookup(entity: Entity, records: DataFrame) -> DataFrame:
             for rank, name in enumerate(by)
         ]
     )
-    return (
-        records.select(ID, F.col(f"{SOURCE}.row").alias("row"), F.explode(candidates).alias("c"))
+    # Records without a source row come first; the id tells equals apart.
+    row = F.coalesce(F.col(f"{SOURCE}.row") + 1, F.lit(0))
+    tie = F.shiftrightunsigned(F.xxhash64(ID), 2)
+    keyed = (
+        records.select(ID, row.alias("row"), tie.alias("tie"), F.explode(candidates).alias("c"))
         .where(F.col("c.key").isNotNull())
-        .groupBy(F.col("c.key").alias("key"))
-        .agg(F.min_by(F.col(ID), F.struct("c.rank", "row")).alias("id"))
+        .select(
+            F.col("c.key").alias("key"), F.col(ID).alias("id"), packed(F.col("c.rank"), F.col("row"), F.col("tie")).alias("order")
+        )
     )
+    firsts = first_rows(keyed, "key", "order").select(F.col("key").alias("__key"), "__first")
+    matched = (F.col("key") == F.col("__key")) & (F.col("order") == F.col("__first"))
+    return keyed.join(firsts, matched, "left_semi").select("key", "id")
 
 
 def resolve(df: DataFrame, key: str, found: DataFrame, into: str, row: str) -> DataFrame:
@@ -99,8 +118,8 @@ def import_entity(
 ) -> DataFrame:
     """Every source row as a kept record, a failure or a dropped blank key.
 
-    ``row`` is a column of ``source`` with the row number people see. Bad rows are rejected
-    before keys are compared, so a bad first row does not claim its key.
+    ``row`` is a column of ``source`` with the row number people see, unique in it. Bad rows are
+    rejected before keys are compared, so a bad first row does not claim its key.
     """
     lookups = lookups or {}
     linked, cells = trimmed(source)
@@ -162,25 +181,23 @@ def import_entity(
             F.when(good, KEPT).otherwise(FAILED).alias(STATUS),
         )
 
-    # A failed row is its own group, a good row joins the group of its key.
-    groups = [
-        F.when(good, F.col(KEY)).alias(KEY),
-        F.when(~good, F.col("__row")).alias("__failed_row"),
-    ]
-    firsts = first_per_key(rows, groups, "__row", [*fields, SOURCE, REASON, RAW])
-    blank = F.col(KEY).isNull() & F.col("__failed_row").isNull()
-    return firsts.select(
-        record_id(entity.name, F.coalesce(F.col(KEY), F.concat(F.lit("row "), "__failed_row"))).alias(ID),
+    # A failed row stands for itself, a good row for its key if it is the first of it.
+    good_rows = rows.where(good)
+    firsts = first_rows(good_rows, KEY, "__row").select("__first", ROWS)
+    outcome = rows.join(firsts, good & (F.col("__row") == F.col("__first")), "left").where(
+        ~good | F.col("__first").isNotNull()
+    )
+    return outcome.select(
+        record_id(
+            entity.name, F.when(good & F.col(KEY).isNotNull(), F.col(KEY)).otherwise(F.concat(F.lit("row "), "__row"))
+        ).alias(ID),
         *fields,
         SOURCE,
-        KEY,
+        F.when(good, F.col(KEY)).alias(KEY),
         REASON,
         RAW,
-        ROWS,
-        F.when(F.col("__failed_row").isNotNull(), FAILED)
-        .when(blank, BLANK)
-        .otherwise(KEPT)
-        .alias(STATUS),
+        F.coalesce(ROWS, F.lit(1)).alias(ROWS),
+        F.when(~good, FAILED).when(F.col(KEY).isNull(), BLANK).otherwise(KEPT).alias(STATUS),
     )
 
 
@@ -209,9 +226,16 @@ def failures(outcome: DataFrame, entity: Entity, sheet: str | None = None) -> Da
 
 
 def append_new(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """The records of ``batch`` whose key is not in ``existing``, one per key: the first."""
-    fields = [c for c in batch.columns if c != KEY]
-    firsts = first_per_key(
-        batch.withColumn("__row", F.col(f"{SOURCE}.row")), [F.col(KEY)], "__row", fields
+    """The records of ``batch`` whose key is not in ``existing``, one per key: the first by source row.
+
+    Records without a source row come first.
+    """
+    row = F.coalesce(F.col(f"{SOURCE}.row") + 1, F.lit(0))
+    # Numbered once, so that rows that repeat a source row are told apart.
+    numbered = checkpointed(
+        batch.withColumn("__order", packed(row, F.monotonically_increasing_id()))
+    )
+    firsts = first_rows(numbered, KEY, "__order").join(existing.select(KEY), KEY, "left_anti")
+    return numbered.join(firsts.select("__first"), F.col("__order") == F.col("__first"), "left_semi").select(
+        *batch.columns
     )
-    return firsts.join(existing.select(KEY), KEY, "left_anti").select(*batch.columns)
