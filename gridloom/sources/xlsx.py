@@ -1,4 +1,7 @@
-"""The parts of an ``.xlsx`` file that hold cells. Runs inside tasks, on one file at a time."""
+"""The parts of an ``.xlsx`` file that hold cells. Runs inside tasks, on one file or sheet at a time.
+
+Sheets are streamed: what is held is one row, the merged ranges open at it, and the shared texts.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,8 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from heapq import heappop, heappush
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 TEXT, NUMBER, BOOLEAN, DATETIME = "text", "number", "boolean", "datetime"
@@ -32,32 +37,53 @@ class Limits:
 INTERACTIVE = Limits(50, 200_000, 256, 300 * 1024 * 1024)
 
 
-def workbook_rows(file: str, content: bytes, limits: Limits) -> Iterator[dict]:
-    def refused(reason: str) -> dict:
-        return {"file": file, "sheet_index": -1, "row_index": -1, "error": reason}
+#: Bytes of a sheet that are looked at together for its merged ranges, and the longest such entry.
+CHUNK, ENTRY = 1 << 16, 1 << 10
+SHEET_END = re.compile(rb"</(?:\w+:)?sheetData>")
+MERGED = re.compile(rb'<(?:\w+:)?mergeCell [^>]*ref="([A-Z0-9:]+)"')
+
+
+def refused(file: str, reason: str) -> dict:
+    """The row that stands for a file that is not read."""
+    return {"file": file, "sheet_index": -1, "row_index": -1, "error": reason}
+
+
+def open_book(source: BinaryIO, limits: Limits) -> Workbook | None:
+    """The directory of a workbook, or None if it is too large."""
+    archive = zipfile.ZipFile(source)
+    size = sum(entry.file_size for entry in archive.infolist())
+    if limits.unzipped_bytes is not None and size > limits.unzipped_bytes:
+        return None
+    return Workbook(archive)
+
+
+def sheet_rows(file: str, book: Workbook, index: int, limits: Limits) -> Iterator[dict]:
+    """The rows of one sheet and its marker row."""
+    name, part = book.sheets[index]
+    base = {"file": file, "sheet_index": index, "sheet_name": name or f"Hoja {index + 1}"}
+    cut = limits.sheets is not None and index >= limits.sheets
+    for number, row in () if cut else book.rows(part, limits.columns):
+        if limits.rows is not None and number > limits.rows:
+            cut = True
+            break
+        if limits.columns is not None and len(row) > limits.columns:
+            cut = cut or any(cell is not None for cell in row[limits.columns :])
+            row = row[: limits.columns]
+        yield base | {"row_index": number - 1, "cells": row}
+    yield base | {"row_index": -1, "cells": [], "truncated": cut}
 
+
+def workbook_rows(file: str, content: bytes, limits: Limits) -> Iterator[dict]:
+    """The rows of all sheets. A damage that is met late comes after rows that were good."""
     try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-        size = sum(entry.file_size for entry in archive.infolist())
-        if limits.unzipped_bytes is not None and size > limits.unzipped_bytes:
-            yield refused(TOO_LARGE)
+        book = open_book(io.BytesIO(content), limits)
+        if book is None:
+            yield refused(file, TOO_LARGE)
             return
-        book = _Workbook(archive)
-        for index, (name, part) in enumerate(book.sheets):
-            name = name or f"Hoja {index + 1}"
-            base = {"file": file, "sheet_index": index, "sheet_name": name}
-            cut = limits.sheets is not None and index >= limits.sheets
-            for number, row in () if cut else book.rows(part):
-                if limits.rows is not None and number > limits.rows:
-                    cut = True
-                    continue
-                if limits.columns is not None and len(row) > limits.columns:
-                    cut = cut or any(cell is not None for cell in row[limits.columns :])
-                    row = row[: limits.columns]
-                yield base | {"row_index": number - 1, "cells": row}
-            yield base | {"row_index": -1, "cells": [], "truncated": cut}
+        for index in range(len(book.sheets)):
+            yield from sheet_rows(file, book, index, limits)
     except Exception:  # whatever a damaged file raises, it costs that file and not the job
-        yield refused(UNREADABLE)
+        yield refused(file, UNREADABLE)
 
 
 def _local(tag: str) -> str:
@@ -89,7 +115,7 @@ def _is_date_format(code: str) -> bool:
     return re.search(r"[dmyhs]", bare, re.IGNORECASE) is not None
 
 
-class _Workbook:
+class Workbook:
     """The parts of one workbook that its cells refer to."""
 
     def __init__(self, archive: zipfile.ZipFile) -> None:
@@ -112,16 +138,27 @@ class _Workbook:
                 if "worksheets/" in part:
                     self.sheets.append((element.get("name", ""), part))
         self._epoch = datetime(1904, 1, 1) if old_epoch else datetime(1899, 12, 30)
-        self._strings = [
-            _text_of(item) for item in self._children("xl/sharedStrings.xml")
-        ]
-        self._dates = self._date_styles()
+        self._texts: list[str] | None = None
+        self._styles: list[bool] | None = None
 
     def _children(self, part: str) -> list[ElementTree.Element]:
         if part not in self._names:
             return []
         return list(ElementTree.fromstring(self._archive.read(part)))
 
+    @property
+    def _strings(self) -> list[str]:
+        """Shared texts, read with the first sheet that is."""
+        if self._texts is None:
+            self._texts = [_text_of(item) for item in self._children("xl/sharedStrings.xml")]
+        return self._texts
+
+    @property
+    def _dates(self) -> list[bool]:
+        if self._styles is None:
+            self._styles = self._date_styles()
+        return self._styles
+
     def _date_styles(self) -> list[bool]:
         custom, styles = {}, []
         for group in self._children("xl/styles.xml"):
@@ -133,40 +170,48 @@ class _Workbook:
             _is_date_format(custom[s]) if s in custom else int(s) in DATE_FORMATS for s in styles
         ]
 
-    def rows(self, part: str) -> Iterator[tuple[int, list[dict | None]]]:
-        """Row number and cells of each row, with merged ranges filled from their first cell."""
-        content = self._archive.read(part)
-        tail = content[content.rfind(b"</sheetData>") :]
-        covered = _merged(re.findall(rb'<(?:\w+:)?mergeCell [^>]*ref="([A-Z0-9:]+)"', tail))
-        sources = {at for row in covered.values() for at in row.values()}
-        values: dict[tuple[int, int], dict | None] = {}
-
-        def filled(number: int, row: list[dict | None]) -> tuple[int, list[dict | None]]:
-            for column, value in enumerate(row):
-                if (number, column) in sources:
-                    values[number, column] = value
-            for column, source in covered.pop(number, {}).items():
-                row.extend([None] * (column + 1 - len(row)))
-                row[column] = values.get(source)
-            return number, row
-
-        number = 0
-        for _, element in ElementTree.iterparse(io.BytesIO(content)):
-            if _local(element.tag) != "row":
-                continue
-            number = int(element.get("r", number + 1))
-            # Rows that exist only as part of a merged range.
-            for gap in [n for n in sorted(covered) if n < number]:
-                yield filled(gap, [])
-            row: list[dict | None] = []
-            for position, cell in enumerate(element):
-                at = _column(cell.get("r")) if cell.get("r") else position
-                row.extend([None] * (at + 1 - len(row)))
-                row[at] = self._readable(cell)
-            yield filled(number, row)
-            element.clear()
-        for gap in sorted(covered):
-            yield filled(gap, [])
+    def _references(self, part: str) -> list[bytes]:
+        """The merged ranges of a sheet, which follow its rows."""
+        found, held, below = [], b"", False
+        with self._archive.open(part) as stream:
+            while chunk := stream.read(CHUNK):
+                held += chunk
+                if not below:
+                    end = SHEET_END.search(held)
+                    below, held = end is not None, held[end.end() :] if end else held[-ENTRY:]
+                if below:
+                    matches = list(MERGED.finditer(held))
+                    found += [m[1] for m in matches]
+                    # What may be the start of an entry is looked at again.
+                    held = held[max(matches[-1].end() if matches else 0, len(held) - ENTRY) :]
+        return found
+
+    def rows(self, part: str, columns: int | None = None) -> Iterator[tuple[int, list[dict | None]]]:
+        """Row number and cells of each row, with merged ranges filled from their first cell.
+
+        With ``columns``, ranges are filled to one column beyond that, which shows that there is more.
+        """
+        merges, number, parent = _Merges(self._references(part), columns), 0, None
+        with self._archive.open(part) as stream:
+            for event, element in ElementTree.iterparse(stream, ("start", "end")):
+                name = _local(element.tag)
+                if event == "start":
+                    parent = element if name == "sheetData" else parent
+                    continue
+                if name != "row":
+                    continue
+                at = int(element.get("r", number + 1))
+                yield from merges.between(number, at)
+                row: list[dict | None] = []
+                for position, cell in enumerate(element):
+                    place = _column(cell.get("r")) if cell.get("r") else position
+                    row.extend([None] * (place + 1 - len(row)))
+                    row[place] = self._readable(cell)
+                yield at, merges.filled(at, row)
+                number = at
+                # Rows that were read would stay as children of the sheet.
+                element.clear() if parent is None else parent.clear()
+        yield from merges.between(number, None)
 
     def _readable(self, cell: ElementTree.Element) -> dict | None:
         """The value of a cell; one that can't be read is blank and costs no other cell."""
@@ -202,14 +247,50 @@ class _Workbook:
         return {"kind": NUMBER, "n": number}
 
 
-def _merged(references: list[bytes]) -> dict[int, dict[int, tuple[int, int]]]:
-    """By row and column, the cell that fills each covered cell of a merged range."""
-    covered: dict[int, dict[int, tuple[int, int]]] = {}
-    for reference in references:
-        first, _, last = reference.decode().partition(":")
-        top, left, bottom, right = _row(first), _column(first), _row(last), _column(last)
-        for row in range(top, bottom + 1):
-            for column in range(left, right + 1):
-                if (row, column) != (top, left):
-                    covered.setdefault(row, {})[column] = (top, left)
-    return covered
+class _Merges:
+    """A sweep down the rows over merged ranges; only those open at the row are held with a value."""
+
+    def __init__(self, references: list[bytes], columns: int | None) -> None:
+        ranges = []
+        for reference in references:
+            first, _, last = reference.decode().partition(":")
+            last = last or first
+            ranges.append((_row(first), _column(first), _row(last), _column(last)))
+        self._coming = sorted(ranges, reverse=True)
+        self._open: list[tuple] = []
+        self._columns, self._count = columns, 0
+
+    def filled(self, number: int, row: list[dict | None]) -> list[dict | None]:
+        """The cells of a row with those of the ranges that cover it."""
+        while self._open and self._open[0][0] < number:
+            heappop(self._open)
+        while self._coming and self._coming[-1][0] <= number:
+            top, left, bottom, right = self._coming.pop()
+            value = row[left] if top == number and left < len(row) else None
+            if bottom >= number:
+                self._count += 1
+                heappush(self._open, (bottom, self._count, top, left, right, value))
+        for _, _, top, left, right, value in self._open:
+            right = right if self._columns is None else min(right, self._columns)
+            left += top == number
+            if left <= right:
+                row.extend([None] * (right + 1 - len(row)))
+                row[left : right + 1] = [value] * (right + 1 - left)
+        return row
+
+    def between(self, number: int, stop: int | None) -> Iterator[tuple[int, list[dict | None]]]:
+        """Rows after ``number`` and before ``stop`` that exist only as part of a merged range."""
+        number += 1
+        while stop is None or number < stop:
+            while self._open and self._open[0][0] < number:
+                heappop(self._open)
+            if not self._open:
+                if not self._coming:
+                    return
+                number = max(number, self._coming[-1][0])
+                if stop is not None and number >= stop:
+                    return
+            row = self.filled(number, [])
+            if row or any(top < number for _, _, top, *_ in self._open):
+                yield number, row
+            number += 1

@@ -1,6 +1,10 @@
 """Header rows, sheets and workbook files."""
 
+import io
+import tracemalloc
+import zipfile
 from datetime import datetime
+from itertools import islice
 
 from pyspark.sql import functions as F
 
@@ -106,9 +110,6 @@ STRINGS = "<sst><si><r><t>rico </t></r><r><t>texto</t></r><rPh><t>no</t></rPh></
 
 
 def test_cell_kinds(spark, tmp_path):
-    import io
-    import zipfile
-
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as archive:
         archive.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="H" r:id="a"/></sheets></workbook>')
@@ -137,7 +138,109 @@ def test_a_cell_that_cannot_be_read_is_blank():
 
     sheet = """<worksheet xmlns="m"><sheetData><row r="1"><c r="A1" s="1"><v>1e12</v></c>
     <c r="B1"><v>no</v></c><c r="C1" t="s"><v>9</v></c><c r="D1"><v>5</v></c></row></sheetData></worksheet>"""
-    book = xlsx._Workbook.__new__(xlsx._Workbook)
-    book._dates, book._strings, book._epoch = [False, True], [], datetime(1899, 12, 30)
-    book._archive = type("Archive", (), {"read": lambda self, part: sheet.encode()})()
-    assert list(book.rows("part")) == [(1, [None, None, None, {"kind": "number", "n": 5.0}])]
+    out = io.BytesIO(workbook_bytes({"a": []}, {
+        "xl/worksheets/s.xml": sheet,
+        "xl/styles.xml": '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'}))
+    book = xlsx.open_book(out, W.Limits())
+    assert list(book.rows("xl/worksheets/s.xml")) == [(1, [None, None, None, {"kind": "number", "n": 5.0}])]
+
+
+def merged_sheet(*references, rows=""):
+    """A workbook of one sheet with these merged ranges."""
+    from gridloom.sources import xlsx
+
+    merges = "".join(f'<mergeCell ref="{r}"/>' for r in references)
+    sheet = f"<worksheet><sheetData>{rows}</sheetData><mergeCells>{merges}</mergeCells></worksheet>"
+    out = io.BytesIO(workbook_bytes({"a": []}, {"xl/worksheets/s.xml": sheet}))
+    return xlsx.open_book(out, W.Limits())
+
+
+FIRST = '<row r="1"><c r="A1"><v>7</v></c><c r="C1"><v>8</v></c></row>'
+
+
+def numbers_of(rows):
+    return [(at, [cell and cell["n"] for cell in row]) for at, row in rows]
+
+
+def test_merged_ranges_fill_rows_and_gaps():
+    rows = FIRST + '<row r="5"><c r="B5"><v>9</v></c></row>'
+    book = merged_sheet("A1:B2", "C1:C3", "B5:C5", "A7:A8", "B7:C7", rows=rows)
+    assert numbers_of(book.rows("xl/worksheets/s.xml")) == [
+        (1, [7, 7, 8]), (2, [7, 7, 8]), (3, [None, None, 8]), (5, [None, 9, 9]),
+        (7, [None, None, None]), (8, [None])]
+
+
+def test_a_merge_of_the_whole_sheet_costs_one_row_of_memory():
+    book = merged_sheet("A1:XFD1048576", rows=FIRST)
+    tracemalloc.start()
+    rows = list(islice(((at, len(row), row[-1]) for at, row in book.rows("xl/worksheets/s.xml")), 200))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows[0] == (1, 16384, {"kind": "number", "n": 7.0}) and rows[-1][:2] == (200, 16384)
+    assert peak < 20_000_000
+    # Caps end the sweep and keep rows short.
+    from gridloom.sources import xlsx
+    capped = list(xlsx.sheet_rows("f", merged_book(book), 0, W.Limits(rows=3, columns=2)))
+    assert [len(r["cells"]) for r in capped] == [2, 2, 2, 0] and capped[-1]["truncated"]
+
+
+def merged_book(book):
+    book.sheets = [("h", "xl/worksheets/s.xml")]
+    return book
+
+
+def test_rows_are_streamed_in_flat_memory():
+    from gridloom.sources import xlsx
+
+    peaks = []
+    for count in (5_000, 30_000):
+        out = io.BytesIO(workbook_bytes({"h": [[i, i * 2, i * 3] for i in range(count)]}))
+        book = xlsx.open_book(out, W.Limits())
+        tracemalloc.start()
+        assert sum(1 for _ in book.rows("xl/worksheets/sheet1.xml")) == count
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    # Far less than the rows that were added.
+    assert peaks[1] < peaks[0] + 500_000
+
+
+def sheets_of(grid):
+    rows = grid.where("row_index >= 0").collect()
+    return sorted((r.file.rpartition("/")[2], r.sheet_name, r.row_index, str(r.cells)) for r in rows)
+
+
+def test_one_book_is_read_by_a_task_per_sheet(spark, tmp_path):
+    sheets = {f"h{i}": [["x", i], ["y", i * 2]] for i in range(20)}
+    write(tmp_path / "in", sheets=sheets)
+    (tmp_path / "in" / "roto.xlsx").write_bytes(b"esto no es un libro")
+    (tmp_path / "in" / "otro.txt").write_bytes(b"otro")
+    W.register(spark)
+    grid = spark.read.format("workbook").load(str(tmp_path / "in"))
+    assert grid.rdd.getNumPartitions() == 21
+    assert sheets_of(grid) == sheets_of(W.read_workbooks(spark, str(tmp_path / "in")))
+    assert [r.file.endswith("roto.xlsx") for r in W.unreadable_files(grid).collect()] == [True]
+    one = spark.read.format("workbook").option("sheets", 3).option("rows", 1).load(f"file:{tmp_path}/in/libro.xlsx")
+    assert len(sheets_of(one)) == 3 and W.truncated_sheets(one).count() == 20
+    assert W.unreadable_files(spark.read.format("workbook").option("unzippedBytes", 10).load(str(tmp_path / "in"))).count() == 2
+
+
+def test_a_damaged_book_leaves_no_rows(spark, tmp_path):
+    rows = "".join(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c></row>' for i in range(1, 6000))
+    cut = f"<worksheet><sheetData>{rows}"
+    good = workbook_bytes({"bien": [[1], [2]]})
+    (tmp_path / "bueno.xlsx").write_bytes(good)
+    (tmp_path / "malo.xlsx").write_bytes(damaged(workbook_bytes({"bien": [[1], [2]], "mal": []}), cut))
+    W.register(spark)
+    for grid in (W.read_workbooks(spark, str(tmp_path)), spark.read.format("workbook").load(str(tmp_path))):
+        assert {f for f, *_ in sheets_of(grid)} == {"bueno.xlsx", "malo.xlsx"}
+        assert {f for f, *_ in sheets_of(W.sheet_rows(grid))} == {"bueno.xlsx"}
+        assert [r.file.endswith("malo.xlsx") for r in W.unreadable_files(grid).collect()] == [True]
+
+
+def damaged(content, sheet):
+    """The book with its second sheet replaced."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            new.writestr(name, sheet if name.endswith("sheet2.xml") else old.read(name))
+    return out.getvalue()
