@@ -231,7 +231,30 @@ def leading_zero_guard(spark: SparkSession, folder: str) -> DataFrame:
     return profiles(stats).select("column", "type", "has_leading_zero")
 
 
+def header_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """The header settles what its cells leave open: a signed number may be a phone."""
+    key = F.col("c_custkey")
+    number = F.concat(F.lit("+12345"), F.lpad((key % 10_000).cast("string"), 4, "0"))
+    headers = ("Contacto", "valor", "Tel. móvil", "telefonos", "Celular", "Teléfono")
+    df = table(spark, folder, "customer").select(
+        key.alias("row"), *[number.alias(h) for h in headers],
+        # The hint does not make phones of what too few cells could be.
+        F.when(key % 5 == 0, F.lit("sin número")).otherwise(number).alias("Whatsapp"),
+        F.concat(F.lit("nota "), key.cast("string")).alias("Fecha"),
+    )
+    stats = value_stats(long_cells(df, "customer", "row"), digest=True)
+    return profiles(stats).select("column", "type", F.round("confidence", 6).alias("confidence"))
+
+
 QUERIES = {
+    "header_hints": (
+        header_hints,
+        """select "column", type, case when "column" = 'Whatsapp' then 1.0 else confidence end as confidence
+           from (values ('Contacto', 'phone', 1.0), ('valor', 'integer', 1.0), ('Tel. móvil', 'phone', 1.0),
+                 ('telefonos', 'integer', 1.0), ('Celular', 'phone', 1.0), ('Teléfono', 'phone', 1.0),
+                 ('Whatsapp', 'text', 1.0), ('Fecha', 'text', 1.0)) as t("column", type, confidence)
+           where exists (select 1 from customer)""",
+    ),
     "normalize_distinct": (
         normalize_distinct,
         r"""select source, count(*) as documents,

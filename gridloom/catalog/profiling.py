@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.catalog.inputs import TABLES, keyed_table, messy, sql_key, sql_text, table
 from gridloom.operators import overlap, profile, quality
 from gridloom.plans.model import Entity, Field, Model
+from gridloom.session import stored
 
 # ---- inputs ---------------------------------------------------------------------------------
 
@@ -126,14 +127,18 @@ def overlaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_values(spark: SparkSession, folder: str) -> DataFrame:
-    values = _value_sets(spark, folder, ["orders", "customer"])
-    shared = overlap.shared_values(values, ("orders", "o_custkey"), ("customer", "c_custkey"))
+    """Only the two columns asked for are read."""
+    sets = []
+    for name, wanted in (("orders", "o_custkey"), ("customer", "c_custkey")):
+        df, row = keyed_table(spark, folder, name)
+        sets.append(profile.value_sets(profile.long_cells(df, name, row, [wanted])))
+    shared = overlap.shared_values(sets[0].unionByName(sets[1]), ("orders", "o_custkey"), ("customer", "c_custkey"))
     return shared.agg(F.count(F.lit(1)).alias("shared"))
 
 
 def relation_candidates(spark: SparkSession, folder: str) -> DataFrame:
     pairs = overlap.overlaps(_value_sets(spark, folder, ALL))
-    found = quality.relation_candidates(pairs, _profiles(spark, folder, ALL))
+    found = quality.relation_candidates(pairs, stored(_profiles(spark, folder, ALL), "profiles"))
     return found.withColumn("containment", F.round("containment", 9))
 
 
@@ -162,25 +167,30 @@ def _model() -> Model:
     return Model((customers, amounts, keys, parts))
 
 
+def _columns(spark: SparkSession, names: list[str]) -> DataFrame:
+    return profile.columns_of(spark, {name: TABLES[name][1] for name in names})
+
+
 def unmapped_columns(spark: SparkSession, folder: str) -> DataFrame:
-    profiled = _profiles(spark, folder, ["orders", "part"])
-    return quality.unmapped_columns(profiled, quality.mapping(spark, _model())).select(
+    listed = _columns(spark, ["orders", "part"])
+    return quality.unmapped_columns(listed, quality.mapping(spark, _model())).select(
         "table", "column"
     )
 
 
 def unknown_sources(spark: SparkSession, folder: str) -> DataFrame:
-    profiled = _profiles(spark, folder, ["orders", "part"])
-    return quality.unknown_sources(profiled, quality.mapping(spark, _model())).select(
+    listed = _columns(spark, ["orders", "part"])
+    return quality.unknown_sources(listed, quality.mapping(spark, _model())).select(
         "entity", "field", "table", "column"
     )
 
 
 def excluded_sources(spark: SparkSession, folder: str) -> DataFrame:
-    profiled = _profiles(spark, folder, ["orders", "part"])
-    included = profiled.where(F.col("total") > F.lit(0)).select("table").distinct().where(
-        F.col("table") != "part"
-    )
+    """A table without rows is left out, and so is one that a person excludes."""
+    filled = [
+        table(spark, folder, name).limit(1).select(F.lit(name).alias("table")) for name in ("orders", "part")
+    ]
+    included = reduce(DataFrame.unionByName, filled).where(F.col("table") != "part")
     return quality.excluded_sources(quality.mapping(spark, _model()), included).select(
         "entity", "field", "table"
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pandas as pd
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,18 @@ from gridloom.catalog.inputs import table
 from gridloom.functions.cells import BOOLEAN, CELL_TYPE, DATETIME, NUMBER, TEXT, cell_of
 from gridloom.operators import headers as H
 from gridloom.operators import profile
-from gridloom.sources.workbook import Limits, capped, cells, parse_workbooks, sheet_rows
+from gridloom.plans.importer import Table, run_import
+from gridloom.plans.model import Entity, Field, Model
+from gridloom.session import scratch_folder, stored
+from gridloom.sources.workbook import (
+    Limits,
+    capped,
+    cells,
+    parse_workbooks,
+    register,
+    sheet_rows,
+    unreadable_files,
+)
 
 cloudpickle.register_pickle_by_value(xlsx_writer)
 
@@ -87,14 +101,13 @@ def header_row(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def header_names(spark: SparkSession, folder: str) -> DataFrame:
-    grid = customer_grid(spark, folder)
-    named = H.headers(grid, H.sheet_facts(grid))
+    named = _named(stored(customer_grid(spark, folder), "grid"))
     return named.select("file", "sheet_index", F.posexplode("names").alias("position", "header"))
 
 
 def forced_header(spark: SparkSession, folder: str) -> DataFrame:
     """A person says where the header is: on the numbers, on a blank row, or out of the sheet."""
-    grid = customer_grid(spark, folder)
+    grid = stored(customer_grid(spark, folder), "grid")
     nation = table(spark, folder, "nation")
     key = F.col("n_nationkey")
     forced = nation.select(
@@ -107,36 +120,44 @@ def forced_header(spark: SparkSession, folder: str) -> DataFrame:
         .cast("bigint")
         .alias("header_row"),
     )
-    facts = H.force_headers(H.sheet_facts(grid), grid, forced)
+    facts = stored(H.force_headers(H.sheet_facts(grid), grid, forced), "facts")
     named = H.headers(grid, facts)
     return facts.join(named.select(*H.SHEET, F.array_join("names", "|").alias("names")), H.SHEET, "left").select(
         "file", "sheet_index", "header_row", "out_of_bounds", "names"
     )
 
 
-def _rows(grid: DataFrame) -> DataFrame:
-    return H.data_rows(grid, H.headers(grid, H.sheet_facts(grid)))
+def _named(grid: DataFrame) -> DataFrame:
+    """Header names of the sheets; a row per sheet, read by several steps."""
+    return stored(H.headers(grid, H.sheet_facts(grid)), "headers")
+
+
+def _profiled(grid: DataFrame) -> DataFrame:
+    named = _named(grid)
+    return profile.profiles(profile.value_stats(H.long_rows(H.data_rows(grid, named), named), digest=True))
 
 
 def grid_to_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _rows(customer_grid(spark, folder))
+    grid = stored(customer_grid(spark, folder), "grid")
+    rows = H.data_rows(grid, _named(grid))
     texts = F.transform("cells", lambda c: F.coalesce(cell_of(c, CELL_TYPE).text, F.lit("")))
     return rows.select("file", "sheet_index", "row_index", F.array_join(texts, "|").alias("line"))
 
 
 def sheet_profile(spark: SparkSession, folder: str) -> DataFrame:
-    stats = profile.value_stats(H.long_rows(_rows(customer_grid(spark, folder))), digest=True)
-    return profile.profiles(stats).select("table", "column", "total", "empty", "distinct", "type")
+    grid = stored(customer_grid(spark, folder), "grid")
+    return _profiled(grid).select("table", "column", "total", "empty", "distinct", "type")
 
 
 def sheet_issues(spark: SparkSession, folder: str) -> DataFrame:
     """Sheets with their issue; a person leaves out the sheets of one region."""
-    grid, cut = capped(customer_grid(spark, folder), Limits(sheets=200, rows=1000))
-    facts = H.sheet_facts(grid)
-    rows = H.data_rows(grid, H.headers(grid, facts))
+    grid, cut = capped(stored(customer_grid(spark, folder), "grid"), Limits(sheets=200, rows=1000))
+    facts = stored(H.sheet_facts(grid), "facts")
+    named = stored(H.headers(grid, facts), "headers")
+    rows = H.data_rows(grid, named)
     chosen = facts.select(*H.SHEET, (F.col("file") != "region-2").alias("included"))
-    return H.classify(facts, H.headers(grid, facts), rows, cut, chosen).select(
-        "file", "sheet_index", "row_count", "issue", "included"
+    return H.classify(facts, named, rows, cut, chosen).select(
+        "file", "sheet_index", "row_count", "issue", "searched", "included"
     )
 
 
@@ -175,8 +196,12 @@ def _order_workbooks(spark: SparkSession, folder: str) -> DataFrame:
     return orders.groupBy("book").applyInPandas(pack, "path string, content binary")
 
 
+def _order_grid(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(parse_workbooks(_order_workbooks(spark, folder)), "grid")
+
+
 def workbook_cells(spark: SparkSession, folder: str) -> DataFrame:
-    grid = sheet_rows(parse_workbooks(_order_workbooks(spark, folder)))
+    grid = sheet_rows(_order_grid(spark, folder))
     return cells(grid).groupBy("file", "sheet_index", "col_index", "kind").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("row_index").alias("last_row"),
@@ -186,11 +211,89 @@ def workbook_cells(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Unzipped bytes beyond which a workbook of the error query is refused.
+_MOST_BYTES = 5_000_000
+
+
+def workbook_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of damaged workbooks: some end within a sheet, are no archives, or are too large."""
+    limit = _MOST_BYTES
+
+    def damage(batches):
+        for batch in batches:
+            batch = batch.copy()
+            batch["content"] = [
+                xlsx_writer.damaged(content, int(path.partition("-")[2]) % 5, limit)
+                for path, content in zip(batch["path"], batch["content"])
+            ]
+            yield batch
+
+    books = _order_workbooks(spark, folder).mapInPandas(damage, "path string, content binary")
+    grid = stored(parse_workbooks(books, Limits(unzipped_bytes=limit)), "grid")
+    rows = sheet_rows(grid).where("row_index > 0").groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.withColumn("error", F.lit(None).cast("string")).unionByName(
+        unreadable_files(grid).withColumn("rows", F.lit(0).cast("bigint"))
+    )
+
+
+def workbook_by_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """One large book with a sheet per nation, written to the shared folder and read sheet by sheet."""
+    customer = table(spark, folder, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
+    path = scratch_folder(spark, "book")
+    target = path if ":/" in path else f"file:{path}"
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        sheets = {
+            f"n{nation}": [["Clave", "Saldo"], *([int(k), float(b)] for k, b in zip(part.c_custkey, part.c_acctbal))]
+            for nation, part in rows.sort_values("c_custkey").groupby("c_nationkey")
+        }
+        system, base = fs.FileSystem.from_uri(target)
+        system.create_dir(base)
+        with system.open_output_stream(f"{base}/libro-{rows.part.iloc[0]}.xlsx") as out:
+            out.write(xlsx_writer.workbook_bytes(sheets))
+        return pd.DataFrame({"sheets": [len(sheets)]})
+
+    # A book holds as many customers as a person might put in one.
+    parts = customer.withColumn("part", F.floor(F.col("c_custkey") / 20_000).cast("bigint"))
+    parts.groupBy("part").applyInPandas(pack, "sheets long").write.format("noop").mode("overwrite").save()
+    register(spark)
+    grid = sheet_rows(stored(spark.read.format("workbook").load(target), "grid"))
+    return cells(grid).where("row_index > 0").groupBy("sheet_name", "col_index").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("n"), 2).alias("total")
+    )
+
+
+def workbook_import(spark: SparkSession, folder: str) -> DataFrame:
+    """From workbooks to entities: read, find headers, import, count by status."""
+    grid = sheet_rows(_order_grid(spark, folder))
+    named = _named(grid)
+    rows = H.data_rows(grid, named).where("sheet_index = 0")
+    # All books have one header; a row is told by its book and place.
+    number = F.substring_index("file", "-", -1).cast("bigint") * (1 << 20) + F.col("row_index")
+    flat = rows.select(
+        number.alias("row"), *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("Pedido", "Valor", "Prioridad", "Pagado"))]
+    )
+    priorities = Entity("prioridades", "pedidos", (Field("prioridad", source="Prioridad"),), display="prioridad", dedupe="prioridad")
+    orders = Entity(
+        "pedidos", "pedidos",
+        (Field("numero", "integer", "Pedido", required=True), Field("valor", "decimal", "Valor"), Field("pagado", "boolean", "Pagado"),
+         Field("prioridad", "relation", "Prioridad", required=True, target="prioridades")),
+        display="numero",
+    )
+    done = run_import(spark, Model((priorities, orders)), {"pedidos": Table(flat, "row")}, scratch_folder(spark, "import"), datetime(2026, 1, 1))
+    linked = done.records("pedidos").join(
+        done.records("prioridades").select(F.col("id").alias("prioridad"), F.col("prioridad").alias("nombre")), "prioridad"
+    )
+    return linked.groupBy("nombre").agg(
+        F.count(F.lit(1)).alias("pedidos"), F.round(F.sum(F.col("valor").cast("double")), 2).alias("valor"),
+        F.count_if("pagado").alias("pagados"), F.max("numero").cast("bigint").alias("ultimo"),
+    )
+
+
 def workbook_profile(spark: SparkSession, folder: str) -> DataFrame:
     """From workbooks to typed column profiles: read, find headers, profile."""
-    grid = sheet_rows(parse_workbooks(_order_workbooks(spark, folder)))
-    stats = profile.value_stats(H.long_rows(_rows(grid)), digest=True)
-    return profile.profiles(stats).select("table", "column", "total", "distinct", "type")
+    grid = sheet_rows(_order_grid(spark, folder))
+    return _profiled(grid).select("table", "column", "total", "distinct", "type")
 
 
 _PLACE = "'region-' || n_regionkey as file, n_nationkey as sheet_index"
@@ -257,14 +360,17 @@ QUERIES = {
     "sheet_issues": (
         sheet_issues,
         f"""with n as (select count(*) filter (c_custkey + 4 < 1000) as kept,
-                             max(c_custkey) + 4 >= 1000 as cut, c_nationkey as k
+                             max(c_custkey) + 4 >= 1000 as cut, c_nationkey as k,
+                             max(case when c_custkey + 4 < 1000 then c_custkey + 4 end) >= 25 as deep
                       from customer group by c_nationkey)
             select {_PLACE}, case when n_nationkey % 7 = 6 then 0 else kept end as row_count,
-                   case when n_nationkey % 7 = 6 then 'no_headers' when cut then 'truncated' end as issue,
+                   case when n_nationkey % 7 = 6 and deep then 'no_headers_within_depth'
+                        when n_nationkey % 7 = 6 then 'no_headers' when cut then 'truncated' end as issue,
+                   case when n_nationkey % 7 = 6 and deep then 25 end as searched,
                    n_nationkey % 7 <> 6 and n_regionkey <> 2 as included
             from nation join n on k = n_nationkey
             union all
-            select 'region-' || r_regionkey, r_regionkey + 100, 0, 'empty', false from region""",
+            select 'region-' || r_regionkey, r_regionkey + 100, 0, 'empty', null, false from region""",
     ),
     "read_caps": (
         read_caps,
@@ -292,6 +398,28 @@ QUERIES = {
              from (select distinct file from o),
                   (values (0, 'Pedido'), (1, 'Valor'), (3, 'Pagado')) as t(i, h)""",
     ),
+    "workbook_errors": (
+        workbook_errors,
+        """with o as (select o_orderkey // 1000 as book, count(*) as n from orders group by 1)
+           select 'book-' || book as file, case when book % 5 < 2 then n else 0 end as rows,
+                  case when book % 5 in (2, 3) then 'No pudimos leer este archivo.'
+                       when book % 5 = 4 then 'Este archivo contiene demasiada informacion para procesarlo.'
+                  end as error
+           from o""",
+    ),
+    "workbook_by_sheet": (
+        workbook_by_sheet,
+        """select 'n' || c_nationkey as sheet_name, 0 as col_index, count(*) as n, sum(c_custkey)::double as total
+           from customer group by c_nationkey
+           union all
+           select 'n' || c_nationkey, 1, count(*), round(sum(c_acctbal), 2) from customer group by c_nationkey""",
+    ),
+    "workbook_import": (
+        workbook_import,
+        """select o_orderpriority || ' & más' as nombre, count(*) as pedidos, round(sum(o_totalprice), 2) as valor,
+                  count(*) filter (o_orderstatus = 'F') as pagados, max(o_orderkey) as ultimo
+           from orders group by 1""",
+    ),
     "workbook_profile": (
         workbook_profile,
         """with o as (select 'book-' || o_orderkey // 1000 || '/0' as f, * from orders)

@@ -45,3 +45,20 @@ def workbook_bytes(sheets: dict[str, list[list]], extra: dict[str, str] | None =
         for part, text in (extra or {}).items():
             archive.writestr(part, text)
     return out.getvalue()
+
+
+def damaged(content: bytes, kind: int, most: int) -> bytes:
+    """The book as it is (0, 1), with its first sheet cut in the middle (2), cut itself (3), or with a part
+    that makes it larger than ``most`` (4)."""
+    if kind < 2:
+        return content
+    if kind == 3:
+        return content[: len(content) // 2]
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            part = old.read(name)
+            new.writestr(name, part[: len(part) // 2] if kind == 2 and name.endswith("sheet1.xml") else part)
+        if kind == 4:
+            new.writestr("xl/media/image1.bin", bytes(most))
+    return out.getvalue()

@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 from gridloom.functions.cells import CELL_TYPE, TEXT, cell_of
 from gridloom.functions.stages import staged
 from gridloom.functions.text import header_key
-from gridloom.operators.profile import COLUMN, measure
+from gridloom.operators.profile import LongCells
 
 SHEET = ["file", "sheet_index"]
+#: The slots of long cells that a sheet fills.
+CELL_SLOTS = ("v_s", "v_n", "v_b", "v_t")
 # How a header row is recognised.
 SCAN_DEPTH = 25
 MAX_HEADER_LENGTH = 80
 # Names for gaps and issues of a sheet.
 GAP_NAME = "Columna "
 EMPTY, NO_HEADERS, TRUNCATED = "empty", "no_headers", "truncated"
+#: No header in the rows that were searched, but the sheet goes on below them.
+NOT_WITHIN_DEPTH = "no_headers_within_depth"
 
 
 def _cell(column: Column):
@@ -159,19 +163,27 @@ def force_headers(facts: DataFrame, grid: DataFrame, forced: DataFrame) -> DataF
 
 
 def data_rows(grid: DataFrame, named: DataFrame) -> DataFrame:
-    """Rows below the header that hold something, aligned to the names of their sheet."""
+    """Rows below the header that hold something, and how many columns their sheet names.
+
+    The names themselves stay with the sheet.
+    """
+    heads = named.select(*SHEET, "header_row", F.size("names").alias("columns"))
     return (
-        grid.join(named, SHEET)
+        grid.join(heads, SHEET)
         .where((F.col("row_index") > F.col("header_row")) & (row_width(F.col("cells")) > 0))
-        .select(*SHEET, "sheet_name", "row_index", "names", "cells")
+        .select(*SHEET, "sheet_name", "row_index", "columns", "cells")
     )
 
 
 def classify(
     facts: DataFrame, named: DataFrame, rows: DataFrame, truncated: DataFrame | None = None,
-    selection: DataFrame | None = None,
+    selection: DataFrame | None = None, scan_depth: int = SCAN_DEPTH,
 ) -> DataFrame:
-    """One row per sheet: data rows, header row, issue, and whether it is included."""
+    """One row per sheet: data rows, header row, issue, and whether it is included.
+
+    ``searched`` is the number of rows in which a header was looked for, where that may be why
+    none was found; ``scan_depth`` must be that of the facts.
+    """
     counts = rows.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("row_count"))
     sheets = facts.join(counts, SHEET, "left")
     if truncated is not None:
@@ -181,6 +193,7 @@ def classify(
         sheets = sheets.withColumn("cut", F.lit(False))
     issue = (
         F.when(F.col("last_row").isNull(), EMPTY)
+        .when(F.col("header_row").isNull() & (F.col("last_row") >= scan_depth), NOT_WITHIN_DEPTH)
         .when(F.col("header_row").isNull(), NO_HEADERS)
         .when(F.col("cut"), TRUNCATED)
     )
@@ -196,22 +209,27 @@ def classify(
         F.coalesce("row_count", F.lit(0)).alias("row_count"),
         "header_row",
         issue.alias("issue"),
+        F.when(issue == NOT_WITHIN_DEPTH, F.lit(scan_depth)).alias("searched"),
         included.alias("included"),
     )
 
 
-def long_rows(rows: DataFrame) -> DataFrame:
-    """Measured cells of data rows, in the form the profile reads. Missing cells are blank."""
-    position = F.explode(F.sequence(F.lit(0), F.size("names") - 1))
-    cells = rows.select(*SHEET, "sheet_name", "row_index", "names", "cells", position.alias("position"))
+def long_rows(rows: DataFrame, named: DataFrame) -> LongCells:
+    """The cells of data rows in the form the profile reads. Missing cells are blank."""
+    position = F.explode(F.sequence(F.lit(0), F.col("columns") - 1))
     cell = F.get("cells", F.col("position"))
-    return cells.select(
-        F.concat_ws("/", "file", F.col("sheet_index").cast("string")).alias("table"),
-        F.get("names", F.col("position")).alias("column"),
-        "position",
-        F.col("row_index").alias("row"),
-        measure(_cell(cell)).alias("cell"),
-    ).select(*COLUMN, "row", "cell")
+    cells = rows.where("columns > 0").select(*SHEET, "row_index", "cells", position.alias("position")).select(
+        *SHEET, "position", F.col("row_index").alias("row"), *[cell[slot[2:]].alias(slot) for slot in CELL_SLOTS]
+    )
+    names = named.select(*SHEET, F.posexplode("names").alias("position", "column"))
+
+    def with_names(frame: DataFrame) -> DataFrame:
+        joined = frame.join(names, [*SHEET, "position"])
+        table = F.concat_ws("/", "file", F.col("sheet_index").cast("string"))
+        others = [c for c in frame.columns if c not in (*SHEET, "position")]
+        return joined.select(table.alias("table"), "column", "position", *others)
+
+    return LongCells(cells, (*SHEET, "position"), CELL_SLOTS, with_names)
 
 
 def sheet_table(rows: DataFrame, names: list[str], file: str, sheet_index: int) -> DataFrame:

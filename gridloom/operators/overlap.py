@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import checkpointed
+from gridloom.session import stored
 
 # Limits of the comparison.
 MIN_DISTINCT = 2
@@ -35,13 +35,19 @@ def _required(size: Column) -> Column:
 
 
 def column_classes(values: DataFrame, max_distinct: int | None = None) -> DataFrame:
-    """One row per column with its size and the class of columns with the same value set."""
+    """One row per column with its size and the class of columns with the same value set.
+
+    A class is the number of its first column in order of table and position.
+    """
     hashes = (F.xxhash64("key"), F.xxhash64(F.lit(1), "key"))
     identity = [F.count(F.lit(1)).alias("size"), *(F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(hashes))]
     sized = values.groupBy(*COLUMNS).agg(*identity).where(F.col("size") >= MIN_DISTINCT)
     if max_distinct is not None:
         sized = sized.where(F.col("size") <= max_distinct)
-    return sized.withColumn("class", F.concat_ws(":", "size", "x0", "x1")).drop("x0", "x1")
+    numbered = stored(sized.withColumn("at", F.shiftleft(F.col("table_order").cast("long"), 32) + F.col("position")), "columns")
+    same = ["size", "x0", "x1"]
+    classes = numbered.groupBy(*same).agg(F.min("at").alias("class"))
+    return numbered.join(classes, same).drop("x0", "x1")
 
 
 def overlaps(values: DataFrame, max_distinct: int | None = None) -> DataFrame:
@@ -52,25 +58,21 @@ def overlaps(values: DataFrame, max_distinct: int | None = None) -> DataFrame:
     of more values are left out.
     """
     # Both are read several times; the second has one row per column.
-    values = checkpointed(values.select(*COLUMNS, "key"))
-    members = checkpointed(column_classes(values, max_distinct))
-    at = F.struct("table_order", "position")
+    values = stored(values.select(*COLUMNS, "key"), "values")
+    members = stored(column_classes(values, max_distinct), "members")
     classes = members.groupBy("class").agg(
-        F.first("size").alias("size"),
-        F.min("table_order").alias("low"),
-        F.max("table_order").alias("high"),
-        F.min(at).alias("at"),
+        F.max("size").alias("size"), F.min("table_order").alias("low"), F.max("table_order").alias("high")
     )
     # One column speaks for each class.
-    speakers = members.withColumn("at", at).join(
-        classes.select("class", "at", "low", "high"), ["class", "at"]
-    )
-    keys = values.join(speakers, COLUMNS).select("class", "size", "low", "high", "key")
+    speakers = members.where(F.col("at") == F.col("class")).select("table_order", "position", "class").join(classes, "class")
+    keys = stored(values.select("table_order", "position", "key").join(speakers, ["table_order", "position"]).select(
+        "class", "size", "low", "high", "key"
+    ), "class-keys")
     pairs = _class_pairs(keys)
     same = classes.where("low < high").select(
         F.col("class").alias("a"), F.col("class").alias("b"), F.col("size").alias("shared")
     )
-    return _between_columns(pairs.unionByName(same), members)
+    return _between_columns(pairs.unionByName(same), members.drop("at"))
 
 
 def _probes(keys: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def _probes(keys: DataFrame) -> DataFrame:
     spread = keys.groupBy("key").agg(F.count(F.lit(1)).alias("spread"))
     spread_keys = keys.join(spread, "key")
     counts = spread_keys.groupBy("class", "spread").agg(
-        F.count(F.lit(1)).alias("n"), F.first("size").alias("size")
+        F.count(F.lit(1)).alias("n"), F.max("size").alias("size")
     )
     # One row per class and spread; a value is in as many classes as there are at most.
     rising = Window.partitionBy("class").orderBy("spread").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,7 +110,7 @@ def _class_pairs(keys: DataFrame) -> DataFrame:
         candidates.join(of_small, "a")
         .join(of_large, ["b", "key"])
         .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.max("size").alias("size"))
         .where(F.col("shared") >= _required(F.col("size")))
         .select("a", "b", "shared")
     )

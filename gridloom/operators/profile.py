@@ -1,17 +1,22 @@
 """Column profiles: counts, distincts, samples, type votes and key signals.
 
-Cells are made long once, measured with expressions and reduced to one row per distinct
-value before the shuffle. Everything else is computed from those rows.
+Cells are made long once and grouped as they are, by column and raw value, before anything is
+measured: text is built, normalized and tested once per distinct value and not per cell. A second
+grouping by normalized value gives one row per column and value, and everything else is computed from
+those rows. The columns of a table are told apart by numbers; their names are added at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.apparent import ACCEPTANCE, FLAGS, PRIORITY, type_mask
-from gridloom.functions.cells import TEXT, Cell, cell_of, cells_of, column
+from gridloom.functions.apparent import ACCEPTANCE, BIT, FLAGS, PRIORITY, type_mask
+from gridloom.functions.cells import BOOLEAN, DATETIME, NUMBER, TEXT, Cell, as_ntz, cells_of, column, number_text, time_text
 from gridloom.functions.stages import staged
 from gridloom.functions.text import header_key, normalize_text, text_length, trim_ws
 
@@ -32,7 +37,8 @@ IDENTITY_WORDS = (
     "ruc", "nit", "cedula", "dni", "nif", "cif", "cuit", "rfc", "curp", "codigo", "cod", "id",
     "placa", "patente", "matricula", "serie", "sku", "folio", "numero", "nro",
 )
-#: Keys longer than this are grouped by their digest, so long texts are not shuffled whole.
+#: Longer texts are measured cell by cell and longer keys grouped by their digest, so that long
+#: texts are not shuffled whole.
 DIGEST_OVER = 256
 #: Columns up to which the first values of a table (51 each at most) are broadcast.
 MAX_BROADCAST_COLUMNS = 4_096
@@ -40,81 +46,173 @@ MAX_BROADCAST_COLUMNS = 4_096
 COLUMN = ("table", "column", "position")
 
 
-def measure(cell: Cell) -> Column:
-    """What the profile needs from one cell, as a struct."""
-    return F.struct(
-        cell.key.alias("key"), text_length(cell.text).alias("length"), type_mask(cell).alias("mask")
-    )
+# The slots of a cell: text, number, whole number, decimal as text, boolean, time. One is filled.
+SLOTS = {
+    "v_s": "string", "v_n": "double", "v_w": "bigint", "v_x": "string", "v_b": "boolean", "v_t": "timestamp_ntz",
+}
+
 
+@dataclass(frozen=True)
+class LongCells:
+    """Cells as rows: ``keys`` tell the column, ``row`` its place, and ``slots`` the raw value.
 
-def long_cells(df: DataFrame, table: str, row: str, columns: list[str] | None = None) -> DataFrame:
-    """One measured row per cell of an ordinary table: table, column, position, row, cell."""
+    ``named`` turns the keys of a frame into table, column and position, which it puts first.
+    """
+
+    rows: DataFrame
+    keys: tuple[str, ...]
+    slots: tuple[str, ...]
+    named: Callable[[DataFrame], DataFrame]
+
+
+def _slot(value: Column, kind: T.DataType) -> tuple[str, Column]:
+    """Where a value of an ordinary column goes."""
+    if isinstance(kind, T.BooleanType):
+        return "v_b", value
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "v_t", as_ntz(value, kind)
+    if isinstance(kind, T.FloatType):
+        return "v_n", value.cast("string").cast("double")
+    if isinstance(kind, T.DoubleType):
+        return "v_n", value
+    if isinstance(kind, T.DecimalType):
+        return "v_x", value.cast("string")
+    if isinstance(kind, T.NumericType):
+        return "v_w", value.cast("bigint")
+    return "v_s", value.cast("string")
+
+
+def long_cells(df: DataFrame, table: str, row: str, columns: list[str] | None = None) -> LongCells:
+    """The cells of an ordinary table."""
     columns = columns or [c for c in df.columns if c != row]
     types = {field.name: field.dataType for field in df.schema}
-
-    def written(position: int, name: str) -> Column:
-        """The text of a cell, with its types when the column type already settles them."""
-        text, mask = column(name), F.lit(None).cast("int")
-        if not isinstance(types[name], T.StringType):
-            cell = cell_of(text, types[name])
-            text, mask = F.when(~cell.blank, cell.text), type_mask(cell)
-        return F.struct(
-            F.lit(position).alias("position"), text.alias("text"), mask.alias("mask")
-        ).alias(f"c{position}")
-
-    wide = df.select(
-        column(row).cast("bigint").alias("row"), *[written(i, c) for i, c in enumerate(columns)]
+    filled = {c: _slot(column(c), types[c]) for c in columns}
+    slots = tuple(s for s in SLOTS if any(s == slot for slot, _ in filled.values()))
+
+    def cell(position: int, name: str) -> Column:
+        slot, value = filled[name]
+        values = [(value if s == slot else F.lit(None)).cast(SLOTS[s]).alias(s) for s in slots]
+        return F.struct(F.lit(position).alias("position"), *values)
+
+    # An array knows that a slot may be null if it is in any of the columns; unpivot takes that from the
+    # first column, and tests for null are then left out of the plan.
+    rows = df.select(
+        column(row).cast("bigint").alias("row"), F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))
     )
     names = F.array(*[F.lit(c) for c in columns])
-    # Text is measured after the columns have become rows: one expression for all of them.
-    raw = wide.unpivot("row", wide.columns[1:], "at", "cell").select(
-        F.lit(table).alias("table"),
-        F.get(names, F.col("cell.position")).alias("column"),
-        F.col("cell.position").alias("position"),
-        "row",
-        F.col("cell.mask").alias("settled"),
-        F.when(F.col("cell.mask").isNull(), trim_ws(F.col("cell.text")))
-        .otherwise(F.col("cell.text"))
-        .alias("text"),
-    )
-    text, settled = F.col("text"), F.col("settled")
-    key = F.when(settled.isNotNull(), F.lower(text)).otherwise(
-        F.when(text != "", normalize_text(text))
-    )
-    return staged(
-        raw.select(
-            *COLUMN,
-            "row",
-            F.struct(
-                key.alias("key"),
-                text_length(text).alias("length"),
-                F.coalesce(settled, type_mask(Cell(TEXT, text))).alias("mask"),
-            ).alias("cell"),
+
+    def named(frame: DataFrame) -> DataFrame:
+        return frame.select(
+            F.lit(table).alias("table"), F.get(names, F.col("position")).alias("column"), "position",
+            *[c for c in frame.columns if c != "position"],
         )
-    )
+
+    return LongCells(rows, ("position",), slots, named)
 
 
-def value_stats(long: DataFrame, digest: bool = False) -> DataFrame:
+def columns_of(spark: SparkSession, tables: dict[str, list[str]]) -> DataFrame:
+    """table, column and position of tables whose columns are known; nothing is read."""
+    rows = [(table, c, i) for table, columns in tables.items() for i, c in enumerate(columns)]
+    return spark.createDataFrame(rows, "table string, column string, position int")
+
+
+def _text(slots: tuple[str, ...]) -> Column:
+    """The text of a cell from its slots; null for a blank one."""
+    made = {
+        "v_s": lambda: F.nullif(trim_ws(F.col("v_s")), F.lit("")),
+        "v_n": lambda: number_text(F.col("v_n")),
+        "v_w": lambda: F.col("v_w").cast("string"),
+        "v_x": lambda: F.when(F.contains(F.col("v_x"), F.lit(".")), F.rtrim(F.rtrim(F.col("v_x"), F.lit("0")), F.lit("."))).otherwise(F.col("v_x")),
+        "v_b": lambda: F.col("v_b").cast("string"),
+        "v_t": lambda: time_text(F.col("v_t")),
+    }
+    return F.coalesce(*[F.when(F.col(s).isNotNull(), made[s]()) for s in slots])
+
+
+def _mask(slots: tuple[str, ...], text: Column) -> Column:
+    whole = F.lit(BIT["integer"] | BIT["decimal"])
+    made = {
+        "v_s": lambda: type_mask(Cell(TEXT, text)),
+        "v_n": lambda: type_mask(Cell(NUMBER, text, number=F.col("v_n"))),
+        "v_w": lambda: whole,
+        "v_x": lambda: F.when(F.contains(text, F.lit(".")), BIT["decimal"]).otherwise(whole),
+        "v_b": lambda: type_mask(Cell(BOOLEAN, text, flag=F.col("v_b"))),
+        "v_t": lambda: type_mask(Cell(DATETIME, text, time=F.col("v_t"))),
+    }
+    chosen = F
+    for slot in slots:
+        chosen = chosen.when(F.col(slot).isNotNull(), made[slot]())
+    return chosen
+
+
+def _key(slots: tuple[str, ...], text: Column) -> Column:
+    if "v_s" not in slots:
+        return F.lower(text)
+    return F.when(F.col("v_s").isNotNull(), normalize_text(text)).otherwise(F.lower(text))
+
+
+def _distinct_cells(long: LongCells, digest: bool, counted: bool) -> DataFrame:
+    """One row per column and raw value: keys, key, and with ``counted`` also n, first_row, length and mask.
+
+    With ``digest``, long texts are measured before they are grouped, and grouped by digest.
+    """
+    def short(key: Column) -> Column:
+        return F.when(F.length(key) > DIGEST_OVER, F.sha2(key, 256)).otherwise(key) if digest else key
+
+    rows, slots, early = long.rows, long.slots, digest and "v_s" in long.slots
+    extra: list[str] = []
+    if early:
+        is_long = F.octet_length("v_s") > DIGEST_OVER
+        others = [c for c in rows.columns if c != "v_s"]
+        rows = rows.select(
+            *others, F.when(~is_long, F.col("v_s")).alias("v_s"), F.when(is_long, trim_ws(F.col("v_s"))).alias("long_text")
+        )
+        text, there = F.col("long_text"), F.col("long_text") != ""
+        rows = rows.select(
+            *others, "v_s", F.when(there, normalize_text(text)).alias("long_key"),
+            F.when(there, text_length(text)).alias("long_length"), F.when(there, type_mask(Cell(TEXT, text))).alias("long_mask"),
+        )
+        rows = rows.withColumn("long_key", short(F.col("long_key")))
+        extra = ["long_key", "long_length", "long_mask"]
+    groups = [*long.keys, *slots, *extra]
+    if not counted:
+        reduced = rows.select(*groups).distinct()
+    else:
+        reduced = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
+    kept = [*long.keys, *(["n", "first_row"] if counted else [])]
+    texts = staged(reduced.select(*kept, *slots, *extra, _text(slots).alias("text")))
+    text = F.col("text")
+
+    def either(late: Column, early_name: str) -> Column:
+        return F.coalesce(F.col(early_name), late) if early else late
+
+    texts = texts.withColumn("made_key", F.when(text.isNotNull(), _key(slots, text)))
+    key = either(short(F.col("made_key")), "long_key").alias("key")
+    if not counted:
+        return texts.select(*kept, key)
+    length = either(F.when(text.isNotNull(), text_length(text)), "long_length").alias("length")
+    mask = either(F.when(text.isNotNull(), _mask(slots, text)), "long_mask").alias("mask")
+    return staged(texts.select(*kept, key, length, mask))
+
+
+def value_stats(long: LongCells, digest: bool = False) -> DataFrame:
     """One row per column and normalized value; blank cells share the null key."""
-    key = F.col("cell.key")
-    if digest:
-        key = F.when(F.length(key) > DIGEST_OVER, F.sha2(key, 256)).otherwise(key)
-    filled = key.isNotNull()
-    return long.groupBy(*COLUMN, key.alias("key")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("row").alias("first_row"),
-        F.max(F.when(filled, F.col("cell.length"))).alias("max_len"),
-        *[
-            F.sum(F.when(filled, F.getbit(F.col("cell.mask"), F.lit(i))).otherwise(0)).alias(f"n_{name}")
-            for i, name in enumerate(FLAGS)
-        ],
+    cells = _distinct_cells(long, digest, counted=True)
+    flags = [
+        F.sum(F.when(F.col("key").isNotNull(), F.getbit(F.col("mask"), F.lit(i)) * F.col("n")).otherwise(0)).alias(f"n_{name}")
+        for i, name in enumerate(FLAGS)
+    ]
+    return long.named(
+        cells.groupBy(*long.keys, "key").agg(
+            F.sum("n").alias("n"), F.min("first_row").alias("first_row"), F.max("length").alias("max_len"), *flags
+        )
     )
 
 
-def value_sets(long: DataFrame) -> DataFrame:
+def value_sets(long: LongCells) -> DataFrame:
     """The distinct non-empty normalized values of every column."""
-    keyed = long.select(*COLUMN, F.col("cell.key").alias("key"))
-    return keyed.where(F.col("key") != "").distinct()
+    keys = _distinct_cells(long, digest=False, counted=False)
+    return long.named(keys.where(F.col("key") != "").distinct())
 
 
 def profiles(stats: DataFrame) -> DataFrame:

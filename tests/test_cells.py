@@ -1,6 +1,8 @@
 """Text keys, numbers, types and coercion of single cells."""
 
+import hashlib
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +184,32 @@ def test_key_signals(spark):
     assert rows["Código"].identity_candidate and rows["Código"].identifying
     assert rows["Cliente"].repeats and not rows["Cliente"].identifying
     assert rows["vacia"].ratio == 0 and not rows["vacia"].identifying
+
+
+def test_text_beside_a_column_that_is_never_null_is_normalized(spark):
+    rows = [(i, i, text) for i, text in enumerate(["ACME", " acme ", "Acmé", "norte", "01/02/2026", "  "])]
+    schema = "row int not null, n bigint not null, cliente string not null"
+    stats = value_stats(long_cells(spark.createDataFrame(rows, schema), "t", "row")).where("column = 'cliente'")
+    got = {r.key: (r.n, r.first_row, r.max_len, r.n_date) for r in stats.collect()}
+    assert got == {"acme": (3, 0, 4, 0), "norte": (1, 3, 5, 0), "01/02/2026": (1, 4, 10, 1), None: (1, 5, None, 0)}
+
+
+@pytest.mark.parametrize("digest", [False, True])
+def test_stats_of_long_and_typed_values(spark, digest):
+    long = "Palabra  y  más " * 40
+    rows = [(0, long, Decimal("1.500"), 2.0, None, True, date(2026, 1, 2)), (1, long.upper() + " ", Decimal("1.5"), 2.5, 3, None, None),
+            (2, " " * 400, Decimal("2.000"), float("nan"), 3, False, date(2026, 1, 2))]
+    schema = "row int, largo string, d decimal(10,3), x double, w int, b boolean, f date"
+    stats = value_stats(long_cells(spark.createDataFrame(rows, schema), "t", "row"), digest).collect()
+    got = {}
+    for r in stats:
+        got.setdefault(r.column, {})[r.key] = (r.n, r.first_row, r.max_len)
+    key = ("palabra y mas " * 40).strip()
+    key = hashlib.sha256(key.encode()).hexdigest() if digest else key
+    assert got["largo"] == {key: (2, 0, len(long.strip())), None: (1, 2, None)}
+    assert got["d"] == {"1.5": (2, 0, 3), "2": (1, 2, 1)}
+    assert got["x"] == {"2": (1, 0, 1), "2.5": (1, 1, 3), "": (1, 2, 0)} and got["w"] == {None: (1, 0, None), "3": (2, 1, 1)}
+    assert got["b"] == {"true": (1, 0, 4), None: (1, 1, None), "false": (1, 2, 5)}
+    assert got["f"] == {"2026-01-02t00:00:00.000z": (2, 0, 24), None: (1, 1, None)}
+    whole = {r.key: r.n_integer for r in stats if r.column == "d"}
+    assert whole == {"1.5": 0, "2": 1}

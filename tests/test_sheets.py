@@ -68,7 +68,7 @@ def test_sheet_to_typed_table(spark, tmp_path):
     grid = W.sheet_rows(W.read_workbooks(spark, write(tmp_path / "in")))
     named = H.headers(grid, H.sheet_facts(grid))
     rows = H.data_rows(grid, named)
-    stats = profile.value_stats(H.long_rows(rows))
+    stats = profile.value_stats(H.long_rows(rows, H.headers(grid, H.sheet_facts(grid))))
     table = rows.where("sheet_index = 2").select(F.concat_ws("/", "file", "sheet_index").alias("t")).first().t
     entity = auto_model(profile.profiles(stats), table)
     assert [(f.name, f.type) for f in entity.fields] == [
@@ -131,6 +131,11 @@ def test_a_header_far_down_is_found_where_it_is_looked_for(spark, tmp_path):
     grid = W.sheet_rows(W.read_workbooks(spark, write(tmp_path / "in", sheets={"Honda": rows})))
     assert [r.header_row for r in H.sheet_facts(grid).collect()] == [None]
     assert [r.header_row for r in H.sheet_facts(grid, scan_depth=50).collect()] == [39]
+    for depth, issue, searched in ((25, H.NOT_WITHIN_DEPTH, 25), (50, None, None)):
+        facts = H.sheet_facts(grid, scan_depth=depth)
+        named = H.headers(grid, facts)
+        sheet = H.classify(facts, named, H.data_rows(grid, named), scan_depth=depth).first()
+        assert (sheet.issue, sheet.searched, sheet.included) == (issue, searched, issue is None)
 
 
 def test_a_cell_that_cannot_be_read_is_blank():
