@@ -8,8 +8,12 @@ path is missing, or holds less than ``LEAST_SHARE`` of what its own best contain
 own.
 
 Inside a container, elements that are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or comments by tag, role, class or id are left out, and lists of nothing but
-links. Of a header inside an article its headings stay.
+scripts, styles or comments by tag, role, class or id are left out. A class or id counts if all its
+words say so: ``related-posts`` does, ``search-and-rescue`` does not. Of a header inside an article its
+headings stay. Lists of nothing but links are left out only where no container was found.
+
+Pages are read in one pass: what holds for an element's ancestors is kept with it, and no tag is
+looked at twice, so the time grows with the length of a page whatever is on it.
 
 Defined results: null and empty pages give an empty text. Pages cut off anywhere are read as far
 as they go; an unclosed script, style or comment takes the rest. Without a usable url the host is
@@ -51,8 +55,14 @@ LEFT_OUT_WORDS = {
     "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "copyright",
 }
 HEADER_WORDS = {"header", "masthead", "banner"}
-#: Words before such a word that only say how the page is laid out.
-LAYOUT = {"with", "has", "no", "without", "content", "main", "page", "body"}
+#: Words beside such a word that do not change what it says.
+HELPERS = {
+    "area", "article", "bar", "block", "bottom", "box", "btn", "button", "buttons", "card", "col", "column", "container",
+    "desktop", "div", "entry", "fixed", "form", "group", "holder", "inline", "inner", "item", "items", "js", "left", "link",
+    "links", "list", "mobile", "module", "news", "outer", "panel", "policy", "post", "posts", "primary", "right", "row",
+    "secondary", "section", "site", "slot", "sticky", "story", "stories", "tab", "the", "title", "toggle", "top", "unit",
+    "user", "view", "wrap", "wrapper", "and", "us", "by", "for", "of",
+}
 NEVER_LEFT_OUT = {"html", "body", "main", "article"}
 #: A start tag of one of these ends an open one of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -60,11 +70,12 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 KEEPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
          "th": {"tr", "table"}, "option": {"select"}}
 
-LONG, LINKED, LEAST_SHARE, MENU_ITEMS = 25, 0.5, 0.2, 3
+LONG, LINKED, LEAST_SHARE, MENU_ITEMS = 25, 0.5, 0.95, 3
 
-TOKEN = re.compile(
-    r"<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What ends a tag, or starts a quoted value in it.
+MARK = re.compile(r"[>\"']")
+CUT = re.compile(r"<[/!?a-zA-Z][^<>]*$")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -73,50 +84,94 @@ class Page:
     """Elements and text blocks of a page, in page order."""
 
     def __init__(self, source: str) -> None:
-        # By element: parent, tag, key (tag and classes), whether it is left out itself.
-        self.parent, self.tag, self.key, self.out = [-1], [""], [""], [False]
+        # By element: parent, tag, and the number of its path (tags and classes from the body down).
+        self.parent, self.tag, self.path_of = [-1], [""], [0]
+        # By element, itself included: left out, in an article, in a header, in a heading; nearest block.
+        self.out, self.article, self.header, self.heading, self.holder = [False], [False], [False], [False], [0]
+        # By path: that of the parent, and tag with classes.
+        self.paths: list[tuple[int, str]] = [(-1, "")]
+        self._numbers: dict[tuple[int, str], int] = {}
         # By block: element, text, characters of it in links.
         self.blocks: list[tuple[int, str, int]] = []
         self._stack, self._links = [0], 0
+        # Depths of the open elements by tag, and of the open blocks.
+        self._depths: dict[str, list[int]] = {}
+        self._open_blocks: list[int] = []
         self._pieces: list[str] = []
         self._linked: list[str] = []
         self._read(source)
         self._flush()
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, start, dead = 0, 0, set()
+        last = source.rfind(">")
         while True:
-            token = TOKEN.search(source, at)
-            if token is None:
+            start = source.find("<", start)
+            if start > last:
+                # No tag ends after this; an open comment still takes the rest.
+                comment = source.find("<!--", start)
+                start = comment
+            if start < 0:
                 rest = source[at:]
                 # A tag that the end of the page cuts off isn't text.
-                cut = re.search(r"<[/!?a-zA-Z][^<>]*$", rest)
+                cut = CUT.search(rest)
                 self._text(rest[: cut.start()] if cut else rest)
                 return
-            self._text(source[at : token.start()])
-            at = token.end()
-            if token[0] == "<!--":
-                end = source.find("-->", at)
+            if source.startswith("<!--", start):
+                self._text(source[at:start])
+                end = source.find("-->", start + 4)
                 if end < 0:
                     return
-                at = end + 3
+                at = start = end + 3
+                continue
+            if source.startswith("<![CDATA[", start):
+                self._text(source[at:start])
+                at = start = start + 9
                 continue
-            name = (token[2] or token[5] or "").lower()
-            if not name:
+            if source[start + 1 : start + 2] in ("!", "?"):
+                self._text(source[at:start])
+                at = start = source.find(">", start) + 1
                 continue
-            if token[1] or token[4]:
+            tag = TAG.match(source, start)
+            if tag is None:
+                start += 1
+                continue
+            self._text(source[at:start])
+            end = self._tag_end(source, tag.end(), dead)
+            name, attributes = tag[2].lower(), source[tag.end() : end - 1]
+            at = start = end
+            if tag[1]:
                 self._close(name)
             elif name in RAW:
-                end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
-                if end is None:
+                close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
+                if close is None:
                     return
-                at = source.find(">", end.start()) + 1
+                at = start = source.find(">", close.start()) + 1
                 if at == 0:
                     return
             else:
-                attributes = token[3] if token[2] else token[6]
                 self._open(name, attributes, attributes.endswith("/") and name not in BLOCK)
 
+    @staticmethod
+    def _tag_end(source: str, at: int, dead: set[int]) -> int:
+        """The place after the tag; a ``>`` in quotes does not end it, unless a quote is never closed.
+
+        ``dead`` are quotes after which a search found no end; what leads to one has none either.
+        """
+        first, trail = at, []
+        while True:
+            mark = MARK.search(source, at)
+            if mark is not None and mark[0] == ">":
+                return mark.end()
+            close = -1
+            if mark is not None and mark.start() not in dead:
+                trail.append(mark.start())
+                close = source.find(mark[0], mark.end())
+            if close < 0:
+                dead.update(trail)
+                return source.find(">", first) + 1
+            at = close + 1
+
     def _text(self, text: str) -> None:
         if text:
             text = entities.unescape(text) if "&" in text else text
@@ -144,47 +199,57 @@ class Page:
         element = len(self.tag)
         parent = self._stack[-1]
         classes, words, hidden = self._names(attributes)
+        key = (self.path_of[parent], ".".join([name, *classes]) if classes else name)
+        number = self._numbers.setdefault(key, len(self.paths))
+        if number == len(self.paths):
+            self.paths.append(key)
         self.parent.append(parent)
         self.tag.append(name)
-        self.key.append(".".join([name, *classes]))
-        self.out.append(hidden or self._is_left_out(name, words, parent))
+        self.path_of.append(number)
+        self.out.append(self.out[parent] or hidden or self._is_left_out(name, words, parent))
+        self.article.append(self.article[parent] or name in ("article", "main"))
+        self.header.append(self.header[parent] or name == "header")
+        self.heading.append(self.heading[parent] or name in HEADINGS)
+        self.holder.append(element if name in BLOCK else self.holder[parent])
+        self._depths.setdefault(name, []).append(len(self._stack))
+        if name in BLOCK:
+            self._open_blocks.append(len(self._stack))
         self._stack.append(element)
         self._links += name == "a"
 
     def _close(self, name: str) -> None:
         if name in BLOCK:
             self._flush()
-        for depth in range(len(self._stack) - 1, 0, -1):
-            if self.tag[self._stack[depth]] == name:
-                self._pop_to(depth)
-                return
+        if self._depths.get(name):
+            self._pop_to(self._depths[name][-1])
 
     def _pop_to(self, depth: int) -> None:
-        self._links -= sum(self.tag[e] == "a" for e in self._stack[depth:])
+        for element in reversed(self._stack[depth:]):
+            tag = self.tag[element]
+            self._depths[tag].pop()
+            if tag in BLOCK:
+                self._open_blocks.pop()
+            self._links -= tag == "a"
         del self._stack[depth:]
 
     def _end_paragraph(self) -> None:
-        """A block ends an open paragraph, or heading, and what is inside it."""
-        for depth in range(len(self._stack) - 1, 0, -1):
-            tag = self.tag[self._stack[depth]]
-            if tag == "p":
-                self._pop_to(depth)
-                return
-            if tag in BLOCK:
-                return
+        """A block ends an open paragraph and what is inside it."""
+        if self._open_blocks and self.tag[self._stack[self._open_blocks[-1]]] == "p":
+            self._pop_to(self._open_blocks[-1])
 
     def _end_of(self, tags: set[str], within: set[str]) -> None:
-        for depth in range(len(self._stack) - 1, 0, -1):
-            tag = self.tag[self._stack[depth]]
-            if tag in within:
-                return
-            if tag in tags:
-                self._pop_to(depth)
-                return
+        def deepest(names: set[str]) -> int:
+            return max((self._depths[n][-1] for n in names if self._depths.get(n)), default=0)
+
+        depth = deepest(tags)
+        if depth > deepest(within):
+            self._pop_to(depth)
 
     @staticmethod
     def _names(attributes: str) -> tuple[list[str], list[list[str]], bool]:
         classes, words, hidden = [], [], False
+        if not attributes:
+            return classes, words, hidden
         if "=" in attributes or "hidden" in attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -196,108 +261,107 @@ class Page:
                     names = value.split()
                     words += [[w.lower() for w in NAME_WORDS.findall(n)] for n in names]
                     if name == "class":
-                        classes = sorted({re.sub(r"\d+", "#", n) for n in names})
+                        classes = sorted({re.sub(r"\d+|>", "#", n) for n in names})
         return classes, words, hidden
 
     def _is_left_out(self, name: str, words: list[list[str]], parent: int) -> bool:
         if name in NEVER_LEFT_OUT:
             return False
-        if name in LEFT_OUT or name == "header" and not self._in_article(parent):
+        if name in LEFT_OUT or name == "header" and not self.article[parent]:
             return True
         for parts in words:
             if parts[:1] == ["role"]:
                 if len(parts) > 1 and parts[1] in LEFT_OUT_ROLES:
                     return True
                 continue
-            bad = [w for w in parts if w in LEFT_OUT_WORDS]
-            if bad and not LAYOUT & set(parts):
-                return not (set(bad) <= HEADER_WORDS and self._in_article(parent))
-        return False
-
-    def _in_article(self, element: int) -> bool:
-        while element > 0:
-            if self.tag[element] in ("article", "main"):
-                return True
-            element = self.parent[element]
+            bad = {w for w in parts if w in LEFT_OUT_WORDS}
+            others = {w for w in parts if not w.isdigit()} - bad
+            if bad and others <= HELPERS:
+                return not (bad <= HEADER_WORDS and self.article[parent])
         return False
 
     def path(self, element: int) -> str:
-        keys = []
-        while element > 0:
-            keys.append(self.key[element])
-            element = self.parent[element]
+        keys, number = [], self.path_of[element]
+        while number > 0:
+            number, key = self.paths[number]
+            keys.append(key)
         return ">".join(reversed(keys))
 
-    def _chain(self, element: int) -> list[int]:
-        chain = []
-        while element > 0:
-            chain.append(element)
-            element = self.parent[element]
-        return chain
-
     def texts(self, containers: set[int] | None) -> list[str]:
         """Blocks in one of ``containers`` (None: anywhere) that no element left out holds."""
-        lists = self._link_lists()
-        kept = []
-        for element, text, _ in self.blocks:
-            chain = self._chain(element)
-            if any(self.out[e] or e in lists for e in chain):
-                continue
+        held = [containers is None]
+        lists = self._link_lists() if containers is None else set()
+        listed = [False]
+        for e in range(1, len(self.tag)):
+            held.append(held[self.parent[e]] or (containers is not None and e in containers))
+            listed.append(listed[self.parent[e]] or e in lists)
+        return [
+            text for e, text, _ in self.blocks
             # Of a header in an article only headings are part of it.
-            if any(self.tag[e] == "header" for e in chain) and not any(self.tag[e] in HEADINGS for e in chain):
-                continue
-            if containers is None or any(e in containers for e in chain):
-                kept.append(text)
-        return kept
+            if held[e] and not self.out[e] and not listed[e] and (self.heading[e] or not self.header[e])
+        ]
 
     def _link_lists(self) -> set[int]:
-        sizes: dict[int, list[int]] = {}
-        for element, text, linked in self.blocks:
-            for e in self._chain(element):
-                if self.tag[e] in ("ul", "ol"):
-                    counts = sizes.setdefault(e, [0, 0, 0])
-                    counts[0] += 1
-                    counts[1] += len(text)
-                    counts[2] += linked
-        return {e for e, (n, chars, linked) in sizes.items() if n >= MENU_ITEMS and linked >= 0.9 * chars}
+        counts = [[0, 0, 0] for _ in self.tag]
+        for e, text, linked in self.blocks:
+            count = counts[e]
+            count[0], count[1], count[2] = count[0] + 1, count[1] + len(text), count[2] + linked
+        for e in range(len(self.tag) - 1, 0, -1):
+            above = counts[self.parent[e]]
+            for i, n in enumerate(counts[e]):
+                above[i] += n
+        return {
+            e for e, (n, chars, linked) in enumerate(counts)
+            if self.tag[e] in ("ul", "ol") and n >= MENU_ITEMS and linked >= 0.9 * chars
+        }
 
     def best(self) -> tuple[int, float] | None:
         """The container with most running text, and its score."""
         scores: dict[int, float] = {}
         for element, text, linked in self.blocks:
-            chain = self._chain(element)
-            if len(text) < LONG or linked > LINKED * len(text) or any(self.out[e] for e in chain):
+            if len(text) < LONG or linked > LINKED * len(text) or self.out[element]:
                 continue
             value = 1 + min(text.count(","), 5) + min(len(text) / 100, 5)
             # The paragraph itself is no container; what holds it is, and half as much the next.
-            holders = [e for e in chain if self.tag[e] in BLOCK]
-            if holders and self.tag[holders[0]] not in ("div", "article", "section", "main", "body", "td"):
-                holders = holders[1:]
-            for holder, part in zip(holders, (1.0, 0.5), strict=False):
-                scores[holder] = scores.get(holder, 0.0) + value * part
+            holder = self.holder[element]
+            if self.tag[holder] not in ("div", "article", "section", "main", "body", "td"):
+                holder = self.holder[max(self.parent[holder], 0)]
+            for part in (1.0, 0.5):
+                if holder > 0:
+                    scores[holder] = scores.get(holder, 0.0) + value * part
+                    holder = self.holder[self.parent[holder]]
         if not scores:
             return None
         top = max(scores, key=lambda e: (scores[e], -e))
         for wanted in ("article", "main"):
-            for e in self._chain(top):
+            e = top
+            while e > 0:
                 if self.tag[e] == wanted:
                     return e, scores[top]
+                e = self.parent[e]
         return top, scores[top]
 
     def text(self, path: str | None) -> str:
         found = self.best()
-        own = self.texts({found[0]} | self._same(self.path(found[0]))) if found else self.texts(None)
-        if path:
-            voted = self._same(path)
-            if voted:
-                lines = self.texts(voted)
-                if sum(map(len, lines)) >= LEAST_SHARE * sum(map(len, own)):
-                    return "\n".join(lines)
+        own = self.texts(self._on_path(self.path_of[found[0]])) if found else self.texts(None)
+        voted = self._same(path) if path else set()
+        if voted:
+            lines = self.texts(voted)
+            if sum(map(len, lines)) >= LEAST_SHARE * sum(map(len, own)):
+                return "\n".join(lines)
         return "\n".join(own)
 
+    def _on_path(self, number: int) -> set[int]:
+        return {e for e, n in enumerate(self.path_of) if n == number and e > 0}
+
     def _same(self, path: str) -> set[int]:
-        last = path.rpartition(">")[2]
-        return {e for e in range(1, len(self.key)) if self.key[e] == last and self.path(e) == path}
+        """Elements on a path given as text."""
+        number = 0
+        for key in path.split(">"):
+            number = self._numbers.get((number, key), -1)
+            if number < 0:
+                return set()
+        return self._on_path(number)
 
 
 def host_of(url):
