@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,13 +41,16 @@ from gridloom.session import scratch_folder
 BLOCK, SEGMENT, PERCENTILE = 128, 65_536, 0.95
 MAGIC, HEADER = b"PFR1", struct.Struct("<4sHQII")
 END_ID = 0
-#: Words whose ids a worker remembers; both halves of the memory hold at most so many.
-REMEMBERED = 150_000
+#: Pieces whose ids a worker remembers (both halves of the memory hold at most so many), pieces
+#: encoded together, and characters cut together.
+REMEMBERED, TOGETHER, CHARACTERS = 300_000, 50_000, 1 << 24
 #: Signs that are a piece of their own after a word.
-END_SIGNS = (".", ",", ";", ":")
+END_SIGNS = ".,;:"
+#: A sign that no text is cut at holds the pieces of a text apart; texts that have it are not cut.
+CUT = "\x01"
 #: White space at which a text can't be cut: the tokenizer may join it to its neighbours.
 UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}")
-UNEVEN_ASCII = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+UNEVEN_PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 
 def byte_letters() -> str:
@@ -58,80 +62,130 @@ def byte_letters() -> str:
 
 
 def _is_uneven(text: str) -> bool:
-    """UNEVEN.search, in ASCII texts by plain searches for all that it can find there."""
-    if not text.isascii():
-        return UNEVEN.search(text) is not None
-    return any(sign in text for sign in UNEVEN_ASCII)
+    """Whether a text can't be cut. White space other than a space is never printable, so plain searches
+    settle most texts."""
+    if CUT in text or "<|" in text or any(pair in text for pair in UNEVEN_PAIRS):
+        return True
+    return not text.replace("\n", "").isprintable() and UNEVEN.search(text) is not None
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, as little-endian bytes.
+    """Ids of texts by a tokenizer file.
 
-    A byte-level tokenizer cuts a text before each space and around line ends, so words are encoded
-    once and remembered. A word of letters alone is one piece, which goes to the tokenizer's model
-    directly. Texts with other or repeated white space are encoded whole.
+    A byte-level tokenizer cuts a text before each space and around line ends, so texts are cut
+    there, the pieces of a batch are told apart by Arrow's dictionary, and each different piece is
+    encoded once and remembered. Letters alone are one word to the tokenizer, so they go to its model
+    directly; other pieces are encoded many in one text, with line ends between them. Texts with
+    other or repeated white space are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self._tokenizer.get_vocab_size() <= 2**16 else "<u4"
-        self._code = "H" if self.kind == "<u2" else "I"
+        self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 2**16 else "<u4")
+        # Pieces are remembered here; the model's own memory would only cost time.
         model = self._tokenizer.model
-        # The words are remembered here; the model's own memory would only cost time.
         model._resize_cache(0)
-        self._pieces = model.tokenize
+        self._word = model.tokenize
+        self._code = "H" if self.kind.itemsize == 2 else "I"
         self._letters = byte_letters()
-        self.space = self._letters[ord(" ")]
-        self.bare, self._spaced = _Words(self, ""), _Words(self, " ")
         self._line = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def letters(self, before: str, word: str) -> bytes:
-        """Of letters, with what the vocabulary writes for a space before them, if any."""
-        if not word.isascii():
-            word = charmap_decode(word.encode(), "strict", self._letters)[0]
-        return array(self._code, [t.id for t in self._pieces(before + word)]).tobytes()
+        self._signs = {sign: self.whole(sign).tobytes() for sign in END_SIGNS}
+        # A space alone is the end of a text.
+        self._base = {"": b"", "\n": self._line.tobytes(), " ": self.whole(" ").tobytes()}
+        self._known: dict[str, bytes] = dict(self._base)
+        self._older: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, which are not empty and hold no white space but a first space."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), TOGETHER):
+            part = pieces[at : at + TOGETHER]
+            ids = self.whole("\n".join(part))
+            ends = np.flatnonzero(ids == self._line[0])
+            if len(self._line) != 1 or len(ends) != len(part) - 1:
+                out += [self.whole(piece).tobytes() for piece in part]
+                continue
+            raw, size = ids.tobytes(), self.kind.itemsize
+            starts, stops = np.r_[0, ends + 1] * size, np.r_[ends, len(ids)] * size
+            out += [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        return out
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces.
+
+        Letters with a space before them or none, and one sign after them or none, are split here.
+        """
+        known, older, signs, word, code = self._known, self._older, self._signs, self._word, self._code
+        letters_of, space = self._letters, self._letters[32]
+        found, others = list(map(known.get, pieces)), []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            piece = pieces[i]
+            ids = older.get(piece)
+            if ids is None:
+                sign = signs.get(piece[-1])
+                stem = piece if sign is None else piece[:-1]
+                ids = None if sign is None else known.get(stem)
+                if ids is None:
+                    spaced = stem[:1] == " "
+                    letters = stem[1:] if spaced else stem
+                    if not letters.isalpha():
+                        others.append(i)
+                        continue
+                    if not letters.isascii():
+                        letters = charmap_decode(letters.encode(), "strict", letters_of)[0]
+                    tokens = word(space + letters if spaced else letters)
+                    ids = array(code, [token.id for token in tokens]).tobytes()
+                    if sign is not None:
+                        known[stem] = ids
+                if sign is not None:
+                    ids += sign
+            found[i] = known[piece] = ids
+        for i, ids in zip(others, self._encoded([pieces[i] for i in others]), strict=True):
+            found[i] = known[pieces[i]] = ids
+        if len(known) > REMEMBERED:
+            # What is met again from the older half moves to the newer one.
+            self._older, self._known = known, dict(self._base)
+        return found
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that can be cut, and how many each has."""
+        marked = [text.replace(" ", CUT + " ").replace("\n", f"{CUT}\n{CUT}") for text in texts]
+        lists = pc.split_pattern(pa.array(marked, pa.large_string()), CUT)
+        numbered = lists.flatten().dictionary_encode()
+        index = numbered.indices.to_numpy()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        made = self._ids_of(pieces)
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // self.kind.itemsize
+        store = np.frombuffer(b"".join(made), self.kind)
+        lengths, starts = sizes[index], (np.cumsum(sizes) - sizes)[index]
+        ends = np.cumsum(lengths)
+        ids = store[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        # Pieces of a text follow each other; every text has one at least.
+        bounds = np.r_[0, ends][lists.offsets.to_numpy()]
+        return ids, np.diff(bounds)
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray | None] = [self.whole(t) if _is_uneven(t) else None for t in texts]
+        even = [i for i, ids in enumerate(out) if ids is None]
+        while even:
+            held, count = 0, 0
+            while count < len(even) and (not count or held + len(texts[even[count]]) <= CHARACTERS):
+                held += len(texts[even[count]])
+                count += 1
+            part, even = even[:count], even[count:]
+            ids, lengths = self._cut([texts[i] for i in part])
+            for i, piece in zip(part, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                out[i] = piece
+        return out
 
     def ids(self, text: str) -> np.ndarray:
-        if _is_uneven(text) or "<|" in text:
-            return np.frombuffer(self.whole(text), self.kind)
-        parts = []
-        for number, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if number:
-                parts.append(self._line)
-            if words[0]:
-                parts.append(self.bare[words[0]])
-            parts += map(self._spaced.__getitem__, words[1:])
-        return np.frombuffer(b"".join(parts), self.kind)
-
-
-class _Words(dict):
-    """Word to ids. What is looked up while the older half is dropped moves to the new one."""
-
-    def __init__(self, encoder: Encoder, before: str) -> None:
-        super().__init__()
-        self._encoder, self._before, self._old = encoder, before, {}
-        self._mark = before and encoder.space
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self._old = dict(self)
-            self.clear()
-        ids = self._old.get(word)
-        if ids is None:
-            if word.isalpha():
-                ids = self._encoder.letters(self._mark, word)
-            elif word[-1:] in END_SIGNS and word[:-1].isalpha():
-                ids = self[word[:-1]] + self._encoder.bare[word[-1]]
-            else:
-                ids = self._encoder.whole(self._before + word)
-        self[word] = ids
-        return ids
+        return self.batch([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -247,8 +301,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(np.concatenate((tool.ids(text or ""), end)))
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, made in zip(batch.column(0).to_pylist(), tool.batch(texts), strict=True):
+                ids.append(np.concatenate((made, end)))
                 doc_ids.append(doc_id)
                 held += len(ids[-1])
                 if held >= SEGMENT:

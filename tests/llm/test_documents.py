@@ -262,6 +262,29 @@ def test_encoder_gives_the_tokenizers_ids(text):
     assert tokens.encoder(path).ids(text).tolist() == want.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.lists(TEXTS, max_size=12), st.sampled_from((3, 50, 10_000)))
+def test_encoder_of_a_batch_gives_the_ids_of_each(texts, remembered):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = test_encoder_gives_the_tokenizers_ids.__dict__.setdefault("tool", Tokenizer.from_file(path))
+    before = tokens.REMEMBERED, tokens.CHARACTERS, tokens.TOGETHER
+    tokens.REMEMBERED, tokens.CHARACTERS, tokens.TOGETHER = remembered, remembered, 5
+    try:
+        got = [ids.tolist() for ids in tokens.encoder(path).batch(texts)]
+    finally:
+        tokens.REMEMBERED, tokens.CHARACTERS, tokens.TOGETHER = before
+    assert got == [want.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_every_letter_is_encoded_as_by_the_tokenizer():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    texts = [f"{' '.join(letters[i:i + 500])}\n{'. '.join(letters[i:i + 500])} " for i in range(0, len(letters), 500)]
+    got = tokens.encoder(path).batch(texts)
+    assert all(a.tolist() == want.encode(t, add_special_tokens=False).ids for a, t in zip(got, texts, strict=True))
+
+
 def test_token_files_hold_all_documents_in_order(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tool = Tokenizer.from_file(path)
