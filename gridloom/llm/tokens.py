@@ -118,7 +118,8 @@ class Encoder:
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of different pieces.
 
-        Letters with a space before them or none, and one sign after them or none, are split here.
+        A sign after a letter is a word of its own to the tokenizer, and so are letters with a space
+        before them or none.
         """
         known, older, signs, word, code = self._known, self._older, self._signs, self._word, self._code
         letters_of, space = self._letters, self._letters[32]
@@ -127,7 +128,7 @@ class Encoder:
             piece = pieces[i]
             ids = older.get(piece)
             if ids is None:
-                sign = signs.get(piece[-1])
+                sign = signs.get(piece[-1]) if piece[-2:-1].isalpha() else None
                 stem = piece if sign is None else piece[:-1]
                 ids = None if sign is None else known.get(stem)
                 if ids is None:
