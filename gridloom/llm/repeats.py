@@ -42,7 +42,7 @@ WIDTH, SEED = 100, 32
 #: Windows whose minimizers are found at once; no text is longer than its slices.
 SLICE = 1 << 19
 FILTER_MOST = 4_000_000
-RANGE_KEYS = 2_000_000
+RANGE_KEYS = 500_000
 #: Different pieces around one minimizer that one task resolves, and pieces of a task.
 GROUP_MOST, TASK_PIECES = 2_000, 8_000
 UNIT = 7
@@ -121,16 +121,28 @@ def repeated_minimizers(docs: DataFrame) -> DataFrame:
             yield {"part": chosen, "keys": [keys[slices[r]].tobytes() for r in chosen],
                    "many": [many[slices[r]].tobytes() for r in chosen]}
 
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.int64) for x in group["keys"]])
-        many = np.concatenate([np.frombuffer(x, np.uint8) for x in group["many"]])
-        order = np.argsort(keys, kind="stable")
-        keys, many = keys[order], many[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return pd.DataFrame({"key": keys[starts][np.add.reduceat(many.astype(np.int64), starts) > 1]})
+    def repeated(held: list[tuple[np.ndarray, np.ndarray]]) -> dict:
+        keys = np.concatenate([k for k, _ in held])
+        again = np.concatenate([k[m > 1] for k, m in held])
+        keys.sort()
+        return {"key": np.unique(np.concatenate((keys[1:][keys[1:] == keys[:-1]], again)))}
 
+    def find(batches):
+        part, held = None, []
+        for batch in batches:
+            for number, keys, many in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if held and number.as_py() != part:
+                    yield repeated(held)
+                    held = []
+                part = number.as_py()
+                # Copies, so that the batch can be freed.
+                held.append((np.frombuffer(keys.as_buffer(), np.int64).copy(), np.frombuffer(many.as_buffer(), np.uint8).copy()))
+        if held:
+            yield repeated(held)
+
+    # A range is a few megabytes; the ranges of a partition follow each other.
     dealt = map_arrow(docs.select("text"), deal, "part int, keys binary, many binary")
-    return dealt.groupBy("part").applyInPandas(find, "key long")
+    return map_arrow(dealt.repartition(ranges, "part").sortWithinPartitions("part"), find, "key long")
 
 
 def _bytes(text: str | None) -> np.ndarray:
