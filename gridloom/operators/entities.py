@@ -225,16 +225,19 @@ def failures(outcome: DataFrame, entity: Entity, sheet: str | None = None) -> Da
     )
 
 
+def first_order(batch: DataFrame) -> DataFrame:
+    """``batch``, written, with ``__order``: unique, by source row, records without one first."""
+    row = F.coalesce(F.col(f"{SOURCE}.row") + 1, F.lit(0))
+    # Numbered once, so that rows that repeat a source row are told apart.
+    return checkpointed(batch.withColumn("__order", packed(row, F.monotonically_increasing_id())))
+
+
 def append_new(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """The records of ``batch`` whose key is not in ``existing``, one per key: the first by source row.
 
     Records without a source row come first.
     """
-    row = F.coalesce(F.col(f"{SOURCE}.row") + 1, F.lit(0))
-    # Numbered once, so that rows that repeat a source row are told apart.
-    numbered = checkpointed(
-        batch.withColumn("__order", packed(row, F.monotonically_increasing_id()))
-    )
+    numbered = first_order(batch)
     firsts = first_rows(numbered, KEY, "__order").join(existing.select(KEY), KEY, "left_anti")
     return numbered.join(firsts.select("__first"), F.col("__order") == F.col("__first"), "left_semi").select(
         *batch.columns

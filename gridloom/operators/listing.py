@@ -105,6 +105,16 @@ def with_labels(
     return records
 
 
+def sort_column(
+    records: DataFrame, entity: Entity, name: str, targets: Mapping[str, tuple[Entity, DataFrame]], into: str
+) -> DataFrame:
+    """Add what a field sorts by: its value, or the label it shows."""
+    field = entity.field(name)
+    if field.type == "relation" and field.target in targets:
+        return _with_label(records, field.name, *targets[field.target], into)
+    return records.withColumn(into, F.col(field.name))
+
+
 def list_page(
     records: DataFrame,
     entity: Entity,
@@ -123,10 +133,7 @@ def list_page(
     if not 1 <= limit <= MAX_PAGE or offset < 0:
         raise ValueError(f"a page has 1 to {MAX_PAGE} records and starts at 0 or later")
     targets = targets or {}
-    field = entity.field(sort or entity.display)
-    keyed = records.withColumn("__sort", F.col(field.name))
-    if field.type == "relation" and field.target in targets:
-        keyed = _with_label(records, field.name, *targets[field.target], "__sort")
+    keyed = sort_column(records, entity, sort or entity.display, targets, "__sort")
     order = F.col("__sort").desc_nulls_last() if descending else F.col("__sort").asc_nulls_last()
     if offset + limit <= deep:
         page = keyed.orderBy(order, ID).offset(offset).limit(limit)
