@@ -1,7 +1,7 @@
 """Queries over the given tables, one or more per operator, each with SQL that gives the same
 result in DuckDB."""
 
-from gridloom.catalog import cleaning, flagship, importing, profiling, records, sheets
+from gridloom.catalog import cleaning, flagship, growing, importing, profiling, records, sheets
 
 REGISTERED = {
     **flagship.QUERIES,
@@ -10,4 +10,5 @@ REGISTERED = {
     **importing.QUERIES,
     **records.QUERIES,
     **sheets.QUERIES,
+    **growing.QUERIES,
 }

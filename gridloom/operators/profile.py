@@ -209,6 +209,20 @@ def value_stats(long: LongCells, digest: bool = False) -> DataFrame:
     )
 
 
+def merge_stats(*parts: DataFrame) -> DataFrame:
+    """The statistics of all rows from those of batches, as :func:`value_stats` gives them.
+
+    Rows must be numbered through the batches. Spellings of samples are not part of the state.
+    """
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    sums = [F.sum(f"n_{name}").alias(f"n_{name}") for name in FLAGS]
+    return rows.groupBy(*COLUMN, "key").agg(
+        F.sum("n").alias("n"), F.min("first_row").alias("first_row"), F.max("max_len").alias("max_len"), *sums
+    )
+
+
 def value_sets(long: LongCells) -> DataFrame:
     """The distinct non-empty normalized values of every column."""
     keys = _distinct_cells(long, digest=False, counted=False)

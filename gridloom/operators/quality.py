@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.profile import IDENTIFYING
+from gridloom.operators.profile import COLUMN, IDENTIFYING
 from gridloom.plans.model import Model
 
 # Fixed value: a key with a lower ratio of distinct values fuses rows.
@@ -58,6 +58,20 @@ def merge_warnings(profile: DataFrame) -> DataFrame:
     )
 
 
+def fused_keys(stats: DataFrame, limit: int = 20) -> DataFrame:
+    """The values of each column that would fuse most rows as a key: key, rows and rank.
+
+    The rank is bounded, so a task sends at most ``limit`` rows per column.
+    """
+    most = Window.partitionBy(*COLUMN).orderBy(F.desc("n"), "key")
+    return (
+        stats.where(F.col("key").isNotNull() & (F.col("n") > 1))
+        .withColumn("rank", F.row_number().over(most))
+        .where(F.col("rank") <= limit)
+        .select("table", "column", "rank", "key", F.col("n").alias("rows"))
+    )
+
+
 def entity_candidates(profile: DataFrame) -> DataFrame:
     """Columns that repeat enough to be entities of their own."""
     return profile.where("repeats").select("table", "column", "distinct", "ratio")

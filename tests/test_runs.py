@@ -126,3 +126,35 @@ def test_an_index_of_nothing(spark, tmp_path):
     records = spark.createDataFrame([], "id string, nombre string, n bigint, padre string")
     index = write_index(records, THING, str(tmp_path / "none"))
     assert index.total == 0 and index.page().count() == 0 and index.after("a", "b").count() == 0
+
+
+def test_dependencies_match_counted_pairs(spark):
+    from gridloom.operators.dependencies import dependencies
+
+    rng = random.Random(6)
+    rows = [(rng.choice((" A", "a", "B", "c", None, "")), rng.choice(("x", "X ", "y", None)), rng.randrange(3)) for _ in range(60)]
+    rows = [(k, v, n, "same" if k is None else k.strip().upper()) for k, v, n in rows]
+    got = {(r.key, r.column): tuple(r)[2:] for r in dependencies(spark.createDataFrame(rows, "k string, v string, n int, s string"), ["k", "n"]).collect()}
+    norm = lambda x: None if x is None or not str(x).strip() else str(x).strip().lower()
+    names = ["k", "v", "n", "s"]
+    for k, c in got:
+        seen = {}
+        for row in rows:
+            a, b = norm(row[names.index(k)]), norm(row[names.index(c)])
+            if a is not None and b is not None:
+                seen.setdefault(a, []).append(b)
+        repeated = [set(v) for v in seen.values() if len(v) > 1]
+        fine = sum(len(v) == 1 for v in repeated)
+        assert got[k, c] == (len(seen), sum(len(set(v)) for v in seen.values()), len(repeated), fine, 0 < len(repeated) == fine)
+    assert len(got) == 6 and got["k", "s"][-1] and not got["k", "v"][-1]
+
+
+def test_merged_statistics_equal_those_of_all_rows(spark):
+    from gridloom.operators.profile import long_cells, merge_stats, value_stats
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice(("a", "A ", "b", None, "12", "x" * 400)), rng.choice((1, 2, None))) for i in range(90)]
+    stats = lambda part: value_stats(long_cells(spark.createDataFrame(part, "row int, t string, n int"), "t", "row"), digest=True)
+    merged = merge_stats(stats(rows[50:]), stats(rows[:20]), stats(rows[20:50]))
+    whole = stats(rows)
+    assert sorted(map(repr, merged.select(whole.columns).collect())) == sorted(map(repr, whole.collect()))
