@@ -78,17 +78,30 @@ class LineRuns:
         return run
 
     def state(self) -> DataFrame:
-        """h1, h2, docs, last of every line."""
-        return merged_runs(self.runs()).drop("first")
+        """h1, h2, docs, last of every line: its new row and the increments to it."""
+        # Dealt anew, as in merged_runs.
+        rows = union_of(self.runs())
+        new = rows.filter("first").select(*HASH, "docs", "last").repartition(*HASH)
+        more = rows.filter("NOT first").repartition(*HASH).groupBy(*HASH).agg(
+            F.sum("docs").alias("more_docs"), F.max("last").alias("more_last")
+        )
+        return new.join(more, HASH, "left").select(
+            *HASH, (F.col("docs") + F.coalesce("more_docs", F.lit(0))).alias("docs"),
+            F.greatest("last", "more_last").alias("last"),
+        )
 
 
-def merged_runs(runs: list[DataFrame]) -> DataFrame:
+def union_of(runs: list[DataFrame]) -> DataFrame:
     rows = runs[0]
     for run in runs[1:]:
         rows = rows.unionByName(run)
+    return rows
+
+
+def merged_runs(runs: list[DataFrame]) -> DataFrame:
     # Dealt anew: Spark may take a union of bucketed tables as partitioned and then read them
     # unbucketed. A key is in a run once at most, so nothing would combine before the shuffle.
-    return rows.repartition(*HASH).groupBy(*HASH).agg(
+    return union_of(runs).repartition(*HASH).groupBy(*HASH).agg(
         F.sum("docs").alias("docs"), F.max("last").alias("last"), F.max("first").alias("first")
     )
 

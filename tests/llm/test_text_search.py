@@ -74,6 +74,31 @@ def test_compacted_runs_hold_the_same_state(spark):
     assert {(r.h1, r.h2): (r.docs, r.last) for r in runs.state().collect()} == want
 
 
+def occurrences(spark):
+    rows = [(i % 7, i % 5, i) for i in range(40)]
+    return spark.createDataFrame(rows, "h1 long, h2 long, doc_id long")
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 9])
+def test_a_line_is_new_in_one_run_only(spark, fanout):
+    frame, runs = occurrences(spark), lines.LineRuns(spark, fanout=fanout, buckets=3)
+    for part in range(5):
+        runs.add(frame.filter(F.col("doc_id") % 5 == part))
+    new = lines.union_of(runs.runs()).filter("first")
+    assert new.count() == new.select(*lines.HASH).distinct().count() == 35
+    assert runs.state().count() == 35 and runs.state().agg(F.sum("docs")).first()[0] == 40
+
+
+def test_the_anti_join_carries_the_result(spark, monkeypatch):
+    """Without it every batch would start its own record of a line."""
+    frame, runs = occurrences(spark), lines.LineRuns(spark, fanout=9, buckets=3)
+    monkeypatch.setattr(lines.LineRuns, "runs", lambda self: [])
+    for part in range(5):
+        runs.add(frame.filter(F.floor(F.col("doc_id") / 8) == part))
+    monkeypatch.undo()
+    assert runs.state().count() > 35
+
+
 # Secrets
 
 
