@@ -6,6 +6,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import lines, mixing, secret_scan, topk, toxicity
