@@ -5,11 +5,14 @@ Base kinds are patterns with a length condition. A confirmed kind needs more tha
 * ``jwt``: two base64url parts and a signature after dots, the first of which decodes to a JSON
   object that names an algorithm, the second to a JSON object; the signature is empty only for
   the algorithm "none".
-* ``pem``: a private-key block whose base64 body decodes to a DER key or to an OpenSSH key.
+* ``pem``: a private-key block whose base64 body decodes to a DER key or to an OpenSSH key. Line ends
+  may be escaped, as they are in JSON and environment files.
 * ``der``: base64 or hex text that decodes to a DER sequence whose length covers the value to its
   last byte, whose members nest without overrun, and which is laid out as a private or public key.
 * ``ssh``: base64 text that decodes to length-prefixed fields, the first of which names a key type.
 
+Base64 that is wrapped over lines is joined before it is decoded.
+
 Defined results: a null or empty text has no spans. Spans are in code points, end exclusive.
 Overlapping spans of different kinds are all reported. Every row gives one row; nulls and repeats
 in other columns change nothing. A candidate is decoded in time linear in its length.
@@ -40,9 +43,15 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "der", "ssh")
 
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: Three parts by dots; whether they are JSON is seen after decoding. The shortest header names an algorithm.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 PEM = re.compile(
-    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----"
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----"
+)
+ESCAPED = re.compile(r"\\[nr]|\s+")
+#: Lines of base64 with another one below, and what may be the last, shorter one.
+WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])((?:[A-Za-z0-9+/_-]{40,}(?:[ \t]*\r?\n[ \t]*|(?:\\r)?\\n))+)([A-Za-z0-9+/_-]*={0,2})"
 )
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}(?![0-9A-Fa-f])")
@@ -159,26 +168,39 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    found = []
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(*m.groups())]
+    found = [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(*m.groups())]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            body = decoded("".join(m[2].split()))
+            body = decoded(ESCAPED.sub("", m[2]))
             if body is not None and (is_der_key(body) or is_ssh_key(body)):
                 found.append((m.start(), m.end(), "pem"))
     for pattern, decode in ((BASE64, decoded), (ANY_HEX, _from_hex)):
         for m in pattern.finditer(text):
-            data = decode(m[0])
-            if data is None:
-                continue
-            if data[:1] == b"\x30" and is_der_key(data):
-                found.append((m.start(), m.end(), "der"))
-            elif is_ssh_key(data):
-                found.append((m.start(), m.end(), "ssh"))
+            kind = key_kind(decode(m[0]))
+            if kind:
+                found.append((m.start(), m.end(), kind))
+    for m in WRAPPED.finditer(text):
+        body = ESCAPED.sub("", m[1])
+        # The last line is shorter, or what follows the key.
+        kind = key_kind(decoded(body + m[2]))
+        if kind:
+            found.append((m.start(), m.end(), kind))
+        elif m[2] and key_kind(decoded(body)):
+            # The last whole line alone was looked at already; a key of one line is not wrapped.
+            kept = m[1].rstrip(" \t\r\n")
+            if ESCAPED.search(kept):
+                found.append((m.start(), m.start() + len(kept), key_kind(decoded(body))))
     return found
 
 
+def key_kind(data: bytes | None) -> str | None:
+    if data is None:
+        return None
+    if data[:1] == b"\x30" and is_der_key(data):
+        return "der"
+    return "ssh" if is_ssh_key(data) else None
+
+
 def _from_hex(text: str) -> bytes | None:
     return bytes.fromhex(text) if len(text) % 2 == 0 else None
 

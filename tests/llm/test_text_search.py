@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -141,6 +142,70 @@ def test_lookalikes_are_not_reported():
     assert kinds(f"-----BEGIN PRIVATE KEY-----\n{'QUJD' * 20}\n-----END PRIVATE KEY-----") == []
 
 
+def wrapped(text, end, width=64):
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_keys_over_lines_and_escaped_keys_are_confirmed():
+    good = base64.b64encode(private_key()).decode()
+    for end in ("\n", "\r\n", "\\n", "\n  "):
+        block = f"-----BEGIN PRIVATE KEY-----{end}{wrapped(good, end)}{end}-----END PRIVATE KEY-----"
+        assert "pem" in kinds(f'{{"private_key": "{block}"}}'), repr(end)
+        bare = f"key: {wrapped(good, end)} and"
+        found = secret_scan.confirmed_spans(bare)
+        assert [(bare[a:b], k) for a, b, k in found] == [(wrapped(good, end), "der")], repr(end)
+    # Lines that do not make a key together, and a key of whole lines above other text.
+    assert kinds(wrapped(good[:-8], "\n")) == [] and kinds("\n".join(["QUJD" * 12] * 9)) == []
+    full = next(good for n in range(40, 90) if len(good := base64.b64encode(sized_key(n)).decode().rstrip("=")) % 64 == 0)
+    text = f"{wrapped(full, chr(10))}\nafterwards"
+    assert [(text[a:b], k) for a, b, k in secret_scan.confirmed_spans(text)] == [(wrapped(full, "\n"), "der")]
+
+
+def sized_key(n):
+    number = lambda n: der(2, b"\x01" * n)
+    return der(0x30, der(2, b"\x00"), number(n), *(number(40) for _ in range(7)))
+
+
+def test_tokens_with_spaces_in_their_json_are_confirmed():
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    for head, body in (('{ "alg": "HS256" }', "{ }"), ('\n{"alg":"RS256"}', '{"a": 1}'), ('{\n "alg": "ES256"}', "{}")):
+        assert kinds(f"Bearer {part(head)}.{part(body)}.c2ln") == ["jwt"]
+    assert kinds(f"{part('[1, 2, 3, 4, 5, 6]')}.{part('{}')}.c2ln") == [] and kinds("www.a-long-enough-host-name.example.org") == []
+
+
+def brute_base(text):
+    """Spans by walking over every place of a text."""
+    name = "A-Za-z0-9+/_.=-"
+    out, at = [], 0
+    while at < len(text):
+        m = re.compile(rf"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([{name}]+)""").match(text, at)
+        if m and len(m[1]) >= 6:
+            out.append((at, m.end(), "assign"))
+        at = m.end() if m else at + 1
+    for kind, first, signs, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", "", "0123456789abcdef", 24)):
+        at = 0
+        while at < len(text):
+            end = at + len(first) if text.startswith(first, at) else at
+            while (end > at or not first) and end < len(text) and text[end] in signs:
+                end += 1
+            if end > at + len(first) and end - at >= least:
+                out.append((at, end, kind))
+            at = max(end if end > at + len(first) else at + 1, at + 1)
+    return secret_scan.joined(out)
+
+
+def test_base_spans_match_a_walk_over_random_texts(spark):
+    rng = random.Random(11)
+    parts = ["password", "PassWd", "token", "api_key", "APIKEY", "secret", ":", "=", " ", '"', "'", "abc", "Zz9_", "AKIA", "AKIAB" * 4, "0f" * 9,
+             "0f" * 14, "é", "\n", "x" * 30, "Q" * 17, "-----", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    texts.append("token = " + "abcdef0123456789" * 40_000 + " é secret: x")
+    frame = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: r.base for r in secret_scan.scan_secrets(frame).collect()}
+    assert got == {i: brute_base(text) for i, text in enumerate(texts)}
+    assert secret_scan.scan_secrets(frame.limit(0)).count() == 0
+
+
 def test_base_spans_follow_the_rules(spark):
     text = "ä password: token: abcdefgh API-key='x' apikey = \"Zz09+/_.=-\" AKIA" + "B" * 16 + " AKIAshort " + "0f" * 12 + "g"
     rows = [(1, text), (2, None), (3, ""), (None, "secret=abcdef"), (1, text)]
