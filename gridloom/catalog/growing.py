@@ -15,8 +15,9 @@ from gridloom.operators import changes as C
 from gridloom.operators import profile, quality
 from gridloom.operators.dependencies import dependencies
 from gridloom.operators.runs import ChangeLog, KeyIndex
+from gridloom.operators.search_index import write_search_index
 from gridloom.operators.sort_index import write_index
-from gridloom.plans.model import ID, KEY, SOURCE
+from gridloom.plans.model import ID, KEY, SOURCE, Entity, Field
 from gridloom.session import scratch_folder, stored
 
 
@@ -76,6 +77,15 @@ def list_by_cursor(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, numbered)
 
 
+def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by what their text holds, from the parts that may hold it."""
+    entity = Entity("textos", "documents", (Field("texto", source="text"),), display="texto")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias(ID), F.col("text").alias("texto"))
+    index = write_search_index(docs, entity, scratch_folder(spark, "search"))
+    found = [index.search(text).select(F.lit(text).alias("looked_for"), ID) for text in ("LICENSE", "password%=", "ing the th", "zz")]
+    return reduce(DataFrame.unionByName, found)
+
+
 def profile_appended(spark: SparkSession, folder: str) -> DataFrame:
     """The profile of all orders from the statistics of three batches of them."""
     df, row = keyed_table(spark, folder, "orders")
@@ -154,6 +164,11 @@ QUERIES = {
                 n as (select *, row_number() over (order by valor desc nulls last, id) - 1 as pos from o)
            select ((pos - 1000) // 100)::int as page, id, valor, prioridad from n where pos >= 1000 and pos < 1300""",
     ),
+    "search_indexed": (
+        search_indexed,
+        """select t as looked_for, doc_id::varchar as id
+           from documents, (values ('LICENSE'), ('password%='), ('ing the th'), ('zz')) as l(t) where text ilike '%' || t || '%'""",
+    ),
     "profile_appended": (profile_appended, _ORDERS_PROFILE),
     "fused_keys": (
         fused_keys,

@@ -46,7 +46,7 @@ def search_columns(entity: Entity) -> list[str]:
 
 def _contains(columns: list[Column], text: str) -> Column:
     # A backslash quotes the character after it; Spark only allows it before a wildcard.
-    pattern = "%" + re.sub(r"\\([^%_\\])", r"\1", text) + "%"
+    pattern = "%" + re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], text, flags=re.DOTALL) + "%"
     return reduce(or_, [c.ilike(pattern) for c in columns])
 
 

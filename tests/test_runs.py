@@ -158,3 +158,22 @@ def test_merged_statistics_equal_those_of_all_rows(spark):
     merged = merge_stats(stats(rows[50:]), stats(rows[:20]), stats(rows[20:50]))
     whole = stats(rows)
     assert sorted(map(repr, merged.select(whole.columns).collect())) == sorted(map(repr, whole.collect()))
+
+
+def test_search_by_index_equals_search_and_skips_parts(spark, tmp_path):
+    from gridloom.operators.listing import search
+    from gridloom.operators.search_index import write_search_index
+
+    rng = random.Random(9)
+    words = ["Árbol", "casa_uno", "100% lana", "İstanbul", "mesa", "ALTO", "bajo", "c\\d"]
+    rows = [(f"{i:03d}", f"{chr(97 + i % 26)}{rng.choice(words)} {i}" if i % 9 else None, i, None) for i in range(260)]
+    rows.append(("999", "only Quetzal here", 1, None))
+    records = spark.createDataFrame(rows, "id string, nombre string, n bigint, padre string")
+    index = write_search_index(records, THING, str(tmp_path / "s"), parts=6)
+    for text in ("quetzal", "ÁRBOL", "casa_u", "100\\%", "a%7", "ist", "c\\\\d", "zz", "", None, "nothing like it", "sa 2", "_lto", "İST", "i̇st"):
+        got = sorted(r.id for r in index.search(text).collect())
+        assert got == sorted(r.id for r in search(records, THING, text).collect()), text
+    assert len(index.parts_with("quetzal")) == 1 and index.parts_with("nothing like it") == [] and index.parts_with("a%b") is None
+    assert "PartitionFilters: [isnotnull(__part" in plan_of(index.search("quetzal"))
+    empty = write_search_index(records.limit(0), THING, str(tmp_path / "e"))
+    assert empty.search("quetzal").count() == 0
