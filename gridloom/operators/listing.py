@@ -22,7 +22,7 @@ PICKER, MAX_PICKER = 20, 50
 LABEL_PREFIX = "__rel_"
 NO_NAME = "(sin nombre)"
 #: Pages that end beyond this row are found by position instead of by a top-k.
-DEEP = 100_000
+DEEP = 1_000
 
 
 def label_text(column: Column, data_type: T.DataType) -> Column:
@@ -93,6 +93,25 @@ def _with_label(
     return records.join(labels, key == F.col("__target"), "left").drop("__target")
 
 
+def _with_code(records: DataFrame, field: str, target: Entity, target_records: DataFrame) -> DataFrame:
+    """Add ``__sort``, a number that orders like the label that a relation shows.
+
+    Labels are sorted and numbered among themselves, so that only a number per target record is joined.
+    """
+    shown = target_records.schema[target.display].dataType
+    labels = target_records.select(F.col(ID).alias("__target"), label_text(F.col(target.display), shown).alias("__label"))
+    different = labels.select("__label").where("__label IS NOT NULL").distinct()
+    # Dealt by range and sorted, so that increasing ids increase with the labels. Written, as they are
+    # taken once and for all.
+    numbered = checkpointed(
+        different.repartitionByRange("__label").sortWithinPartitions("__label")
+        .select(F.col("__label").alias("__same"), F.monotonically_increasing_id().alias("__sort"))
+    )
+    codes = labels.join(numbered, F.col("__label") == F.col("__same")).select("__target", "__sort")
+    key = F.coalesce(F.col(field), F.concat(F.lit("\0"), F.col(ID)))
+    return records.join(codes, key == F.col("__target"), "left").drop("__target")
+
+
 def with_labels(
     records: DataFrame, entity: Entity, targets: Mapping[str, tuple[Entity, DataFrame]]
 ) -> DataFrame:
@@ -127,18 +146,26 @@ def list_page(
 ) -> DataFrame:
     """One page: sorted with nulls last and the id as tie-break, labels joined to the page only.
 
-    A relation sorts by the label it shows. The first rows come from a top-k; a page that ends
-    beyond ``deep`` rows is located by row position.
+    A relation sorts by the label it shows, which is joined as a number. The first rows come from a
+    top-k; a page that ends beyond ``deep`` rows is located by row position.
     """
     if not 1 <= limit <= MAX_PAGE or offset < 0:
         raise ValueError(f"a page has 1 to {MAX_PAGE} records and starts at 0 or later")
     targets = targets or {}
-    keyed = sort_column(records, entity, sort or entity.display, targets, "__sort")
+    field = entity.field(sort or entity.display)
+    by_label = field.type == "relation" and field.target in targets
+    if by_label:
+        keyed = _with_code(records.select(ID, field.name), field.name, *targets[field.target])
+    else:
+        keyed = records.withColumn("__sort", F.col(field.name))
     order = F.col("__sort").desc_nulls_last() if descending else F.col("__sort").asc_nulls_last()
     if offset + limit <= deep:
         page = keyed.orderBy(order, ID).offset(offset).limit(limit)
     else:
         page = _deep_page(keyed, order, offset, limit)
+    if by_label:
+        # At most MAX_PAGE ids and codes; the records were not moved to find them.
+        page = records.join(F.broadcast(page.select(ID, "__sort")), ID).select(*records.columns, "__sort")
     if not any(f.target in targets for f in entity.relations):
         return page.orderBy(order, ID).drop("__sort")
     # At most MAX_PAGE rows: fetched once, so that each target table is only filtered by the

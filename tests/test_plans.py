@@ -84,3 +84,28 @@ def test_later_patches_of_a_field_win_and_clear(spark):
     )
     changed = C.with_patched(records, C.patch_requests(patches, records, thing), thing)
     assert {tuple(r) for r in changed.collect()} == {("a", None, None), ("b", "y", 2)}
+
+
+def test_sorting_by_label_moves_numbers_only(spark):
+    from gridloom.operators import listing as L
+
+    thing = Entity("cosas", "t", (Field("nombre"), Field("nota"), Field("padre", "relation", target="cosas")), display="nombre")
+    rows = [(f"{i:04d}", f"n{i % 17}" if i % 5 else None, "x" * 50, f"{i % 300:04d}" if i % 3 else None) for i in range(600)]
+    records = spark.createDataFrame(rows, "id string, nombre string, nota string, padre string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        keyed = L._with_code(records.select("id", "padre"), "padre", thing, records)
+        for line in plan_of(keyed).splitlines():
+            assert "Exchange" not in line or "nota" not in line
+        assert dict(keyed.dtypes)["__sort"] == "bigint"
+        names = {r[0]: r[1] for r in rows}
+        for descending in (False, True):
+            expected = sorted(rows)
+            expected.sort(key=lambda r: names.get(r[3]) or "", reverse=descending)
+            expected.sort(key=lambda r: names.get(r[3]) is None)
+            for offset, deep in ((0, L.DEEP), (250, L.DEEP), (250, 0)):
+                page = L.list_page(records, thing, {"cosas": (thing, records)}, "padre", descending, 40, offset, deep)
+                assert [r.id for r in page.collect()] == [r[0] for r in expected[offset : offset + 40]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
