@@ -11,6 +11,7 @@ from gridloom.catalog.inputs import messy, table
 from gridloom.operators import changes as C
 from gridloom.operators import listing as L
 from gridloom.plans.model import ID, Entity, Field
+from gridloom.session import stored
 
 NOW = datetime(2026, 1, 1)
 
@@ -215,7 +216,7 @@ def batch_patch(spark: SparkSession, folder: str) -> DataFrame:
         {"created_at": F.lit(datetime(2025, 1, 1)), "updated_at": F.lit(datetime(2025, 1, 1))}
     )
     patches = first.unionByName(second).unionByName(third)
-    outcome = C.patch_requests(patches, records, CUSTOMER)
+    outcome = stored(C.patch_requests(patches, records, CUSTOMER), "outcome")
     changed = C.with_patched(records, outcome, CUSTOMER, NOW)
     rows = changed.select(
         F.col(ID).alias("who"), "nombre", F.col("saldo").cast("double").alias("saldo"), "segmento",
@@ -241,7 +242,7 @@ def restricted_delete(spark: SparkSession, folder: str) -> DataFrame:
     ids = parts.select(ID).unionByName(
         table(spark, folder, "region").select(F.concat(F.lit("no-"), F.col("r_name")).alias(ID))
     )
-    outcome = C.delete_requests(ids, parts, PART, [(line, line.field("pieza"), lines)])
+    outcome = stored(C.delete_requests(ids, parts, PART, [(line, line.field("pieza"), lines)]), "outcome")
     left = C.without_deleted(parts, outcome).select(F.col(ID).alias("who"), F.lit("left").alias("what"))
     refused = outcome.where(~F.col(C.ACCEPTED)).select(F.col(ID).alias("who"), F.col("reason").alias("what"))
     return left.unionByName(refused)
