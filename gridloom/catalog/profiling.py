@@ -108,6 +108,14 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select("column", F.array_join("samples", "|").alias("samples"))
 
 
+def whole_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics, type and samples of every column of orders at once."""
+    df, row = keyed_table(spark, folder, "orders")
+    return profile.profile_table(df, "orders", row).select(
+        "column", "position", "total", "distinct", "type", F.array_join("samples", "|").alias("samples")
+    )
+
+
 def options_recovered(spark: SparkSession, folder: str) -> DataFrame:
     df, row = keyed_table(spark, folder, "orders")
     options = profile.recovered_options(df, "orders", row)
@@ -308,6 +316,11 @@ QUERIES = {
     "profile_lineitem": (profile_lineitem, _LINEITEM_PROFILE),
     "profile_documents": (profile_documents, _DOCUMENTS_PROFILE),
     "profile_flags": (profile_flags, _FLAGS),
+    "whole_profile": (
+        whole_profile,
+        f"""select p."column", position, total, "distinct", type, samples from ({_ORDERS_PROFILE}) p
+            join ({_first_seen(TABLES["orders"][1], "samples")}) s on p."column" = s."column" """,
+    ),
     "samples": (samples, _first_seen(TABLES["orders"][1], "samples")),
     "options_recovered": (
         options_recovered,

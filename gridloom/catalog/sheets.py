@@ -23,6 +23,7 @@ from gridloom.sources.workbook import (
     capped,
     cells,
     parse_workbooks,
+    read_workbooks,
     register,
     sheet_rows,
     unreadable_files,
@@ -236,10 +237,10 @@ def workbook_errors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def workbook_by_sheet(spark: SparkSession, folder: str) -> DataFrame:
-    """One large book with a sheet per nation, written to the shared folder and read sheet by sheet."""
+def _customer_books(spark: SparkSession, folder: str) -> str:
+    """A folder below the shared one with books of customers, a sheet per nation."""
     customer = table(spark, folder, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
-    path = scratch_folder(spark, "book")
+    path = scratch_folder(spark, "books")
     target = path if ":/" in path else f"file:{path}"
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
@@ -256,13 +257,26 @@ def workbook_by_sheet(spark: SparkSession, folder: str) -> DataFrame:
     # A book holds as many customers as a person might put in one.
     parts = customer.withColumn("part", F.floor(F.col("c_custkey") / 20_000).cast("bigint"))
     parts.groupBy("part").applyInPandas(pack, "sheets long").write.format("noop").mode("overwrite").save()
-    register(spark)
-    grid = sheet_rows(stored(spark.read.format("workbook").load(target), "grid"))
-    return cells(grid).where("row_index > 0").groupBy("sheet_name", "col_index").agg(
+    return target
+
+
+def _sums(grid: DataFrame) -> DataFrame:
+    return cells(sheet_rows(grid)).where("row_index > 0").groupBy("sheet_name", "col_index").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("n"), 2).alias("total")
     )
 
 
+def workbook_by_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """Large books read sheet by sheet through the registered source."""
+    register(spark)
+    return _sums(stored(spark.read.format("workbook").load(_customer_books(spark, folder)), "grid"))
+
+
+def workbook_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The same books through the binary file source."""
+    return _sums(read_workbooks(spark, _customer_books(spark, folder)))
+
+
 def workbook_import(spark: SparkSession, folder: str) -> DataFrame:
     """From workbooks to entities: read, find headers, import, count by status."""
     grid = sheet_rows(_order_grid(spark, folder))
@@ -301,6 +315,10 @@ _TOP = "case when n_nationkey % 4 = 0 then 0 else 3 end"
 _ROWS = f"""
     select {_PLACE}, c_custkey + 4 as row_index, c_name, c_mktsegment, c_acctbal
     from customer join nation on c_nationkey = n_nationkey where n_nationkey % 7 <> 6"""
+_BOOK_SUMS = """select 'n' || c_nationkey as sheet_name, 0 as col_index, count(*) as n, sum(c_custkey)::double as total
+    from customer group by c_nationkey
+    union all
+    select 'n' || c_nationkey, 1, count(*), round(sum(c_acctbal), 2) from customer group by c_nationkey"""
 QUERIES = {
     "header_row": (
         header_row,
@@ -407,13 +425,8 @@ QUERIES = {
                   end as error
            from o""",
     ),
-    "workbook_by_sheet": (
-        workbook_by_sheet,
-        """select 'n' || c_nationkey as sheet_name, 0 as col_index, count(*) as n, sum(c_custkey)::double as total
-           from customer group by c_nationkey
-           union all
-           select 'n' || c_nationkey, 1, count(*), round(sum(c_acctbal), 2) from customer group by c_nationkey""",
-    ),
+    "workbook_by_sheet": (workbook_by_sheet, _BOOK_SUMS),
+    "workbook_folder": (workbook_folder, _BOOK_SUMS),
     "workbook_import": (
         workbook_import,
         """select o_orderpriority || ' & más' as nombre, count(*) as pedidos, round(sum(o_totalprice), 2) as valor,
