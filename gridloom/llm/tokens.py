@@ -43,7 +43,7 @@ MAGIC, HEADER = b"PFR1", struct.Struct("<4sHQII")
 END_ID = 0
 #: Pieces whose ids a worker remembers (both halves of the memory hold at most so many), pieces
 #: encoded together, and characters cut together.
-REMEMBERED, TOGETHER, CHARACTERS = 300_000, 50_000, 1 << 24
+REMEMBERED, TOGETHER, CHARACTERS = 200_000, 50_000, 1 << 22
 #: Signs that are a piece of their own after a word.
 END_SIGNS = ".,;:"
 #: A sign that no text is cut at holds the pieces of a text apart; texts that have it are not cut.
@@ -161,11 +161,14 @@ class Encoder:
         index = numbered.indices.to_numpy()
         pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         made = self._ids_of(pieces)
-        sizes = np.fromiter(map(len, made), np.int64, len(made)) // self.kind.itemsize
+        sizes = np.fromiter(map(len, made), np.int32, len(made)) // self.kind.itemsize
         store = np.frombuffer(b"".join(made), self.kind)
-        lengths, starts = sizes[index], (np.cumsum(sizes) - sizes)[index]
-        ends = np.cumsum(lengths)
-        ids = store[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        kind = np.int32 if len(index) and int(sizes.max()) * len(index) < 2**31 else np.int64
+        lengths, starts = sizes[index], (np.cumsum(sizes, dtype=kind) - sizes)[index]
+        ends = np.cumsum(lengths, dtype=kind)
+        places = np.repeat(starts - (ends - lengths), lengths)
+        places += np.arange(len(places), dtype=kind)
+        ids = store[places]
         # Pieces of a text follow each other; every text has one at least.
         bounds = np.r_[0, ends][lists.offsets.to_numpy()]
         return ids, np.diff(bounds)
