@@ -43,7 +43,7 @@ MAGIC, HEADER = b"PFR1", struct.Struct("<4sHQII")
 END_ID = 0
 #: Pieces whose ids a worker remembers (both halves of the memory hold at most so many), pieces
 #: encoded together, and characters cut together.
-REMEMBERED, TOGETHER, CHARACTERS = 200_000, 50_000, 1 << 22
+REMEMBERED, TOGETHER, CHARACTERS = 150_000, 50_000, 1 << 22
 #: Signs that are a piece of their own after a word.
 END_SIGNS = ".,;:"
 #: A sign that no text is cut at holds the pieces of a text apart; texts that have it are not cut.
@@ -100,6 +100,11 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
+    def forget(self) -> None:
+        """Give up what is remembered: a worker lives on after its task, beside other work."""
+        self._known, self._older = dict(self._base), {}
+        pa.default_memory_pool().release_unused()
+
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, which are not empty and hold no white space but a first space."""
         out: list[bytes] = []
@@ -316,6 +321,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                     ids, doc_ids, held = [], [], 0
         if doc_ids:
             yield closed()
+        tool.forget()
 
     # The last key spreads equal rows; their order among themselves makes no difference.
     keys = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
