@@ -43,7 +43,7 @@ MAGIC, HEADER = b"PFR1", struct.Struct("<4sHQII")
 END_ID = 0
 #: Pieces whose ids a worker remembers (both halves of the memory hold at most so many), pieces
 #: encoded together, and characters cut together.
-REMEMBERED, TOGETHER, CHARACTERS = 150_000, 50_000, 1 << 22
+REMEMBERED, TOGETHER, CHARACTERS = 300_000, 50_000, 1 << 24
 #: Signs that are a piece of their own after a word.
 END_SIGNS = ".,;:"
 #: A sign that no text is cut at holds the pieces of a text apart; texts that have it are not cut.
@@ -289,8 +289,11 @@ SEGMENT_SCHEMA = (
 )
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """Segments to ``path``/segments and the ids before each shard to ``path``/shards."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, keep: bool = True) -> None:
+    """Segments to ``path``/segments and the ids before each shard to ``path``/shards.
+
+    Workers ``keep`` the pieces that they met for their next task, unless other work follows that needs the memory.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -321,7 +324,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                     ids, doc_ids, held = [], [], 0
         if doc_ids:
             yield closed()
-        tool.forget()
+        if not keep:
+            tool.forget()
 
     # The last key spreads equal rows; their order among themselves makes no difference.
     keys = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
