@@ -70,7 +70,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row, from the written files."""
     path = scratch_folder(spark, "tokens")
-    tokens.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    tokens.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), keep=False)
     return tokens.token_digests(spark, path)
 
 
