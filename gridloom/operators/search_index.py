@@ -4,21 +4,32 @@
 searched texts hold, as hashes to a fixed number of bits. A search reads only the parts that hold all
 pieces of what is looked for; the exact test comes last, so a shared bit costs time but never a
 result. Text without three letters in a row between wildcards is looked for in all parts.
+
+A text is hashed in one pass over its code points, a slice at a time: taking pieces out of it by
+position would walk it from its start for every piece.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from gridloom.operators.listing import search, search_columns
 from gridloom.plans.model import ID, Entity
 
 GRAM, BITS, PART = 3, 1 << 16, "__part"
+#: An odd number whose multiples spread over all bits.
+MIX = 0x9E3779B97F4A7C15
+#: Code points hashed at once.
+SLICE = 1 << 18
+#: Letters of a display value by which records are dealt to parts, so that no whole texts are sampled.
+DEALT_BY = 64
 
 
 def literal_runs(text: str) -> list[str]:
@@ -36,12 +47,27 @@ def literal_runs(text: str) -> list[str]:
     return [run for run in runs if run]
 
 
-def _pieces(text: Column) -> Column:
-    """The numbers of the pieces of a text of three letters or more."""
-    return F.transform(
-        F.sequence(F.lit(1), F.length(text) - (GRAM - 1)),
-        lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(GRAM))), F.lit(BITS)).cast("int"),
-    )
+def _numbers(text: str) -> Iterator[np.ndarray]:
+    """The numbers of the pieces of a text, a slice of it at a time."""
+    for at in range(0, len(text) - (GRAM - 1), SLICE):
+        points = np.frombuffer(text[at : at + SLICE + GRAM - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+        mixed = points[: len(points) - (GRAM - 1)].copy()
+        for i in range(1, GRAM):
+            mixed = mixed * np.uint64(MIX) + points[i : len(points) - (GRAM - 1) + i]
+        yield (mixed * np.uint64(MIX)) >> np.uint64(64 - BITS.bit_length() + 1)
+
+
+def _part_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each number that a part holds, once per part and task: a task has few parts, and a part BITS numbers at most."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            bits = held.setdefault(part, np.zeros(BITS, bool))
+            for numbers in _numbers(text.as_py()):
+                bits[numbers] = True
+    for part, bits in held.items():
+        found = np.flatnonzero(bits).astype("i4")
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part, "i4")), pa.array(found)], [PART, "bit"])
 
 
 def write_search_index(
@@ -55,14 +81,15 @@ def write_search_index(
     names = tuple(search_columns(entity) if columns is None else columns)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Neighbours share pieces, so that a rare one is in few parts.
-    dealt = records.repartitionByRange(parts, F.col(entity.display), F.col(ID)).withColumn(PART, F.spark_partition_id())
+    shown = F.col(entity.display)
+    if isinstance(records.schema[entity.display].dataType, StringType):
+        shown = F.substring(shown, 1, DEALT_BY)
+    dealt = records.repartitionByRange(parts, shown, F.col(ID)).withColumn(PART, F.spark_partition_id())
     dealt.write.partitionBy(PART).parquet(f"{path}/rows")
     index = SearchIndex(spark, path, entity, names, dealt.schema)
     texts = F.array(*[F.lower(F.col(n).cast("string")) for n in names])
-    grams = (
-        index.rows.select(PART, F.explode(texts).alias("text")).where(F.length("text") >= GRAM)
-        .select(PART, F.explode(_pieces(F.col("text"))).alias("bit")).distinct()
-    )
+    lowered = index.rows.select(PART, F.explode(texts).alias("text")).where(F.length("text") >= GRAM)
+    grams = lowered.mapInArrow(_part_numbers, f"{PART} int, bit int").distinct()
     # At most BITS numbers per part.
     grams.groupBy(PART).agg(F.sort_array(F.collect_list("bit")).alias("bits")).write.parquet(f"{path}/pieces")
     return index
@@ -86,11 +113,13 @@ class SearchIndex:
         if not runs:
             return None
         # Lowered whole, as the test of the search does: a letter may depend on its neighbours.
-        lowered = F.filter(F.array(*[F.lower(F.lit(run)) for run in runs]), lambda run: F.length(run) >= GRAM)
-        wanted = F.flatten(F.transform(lowered, _pieces))
+        lowered = self.spark.range(1).select(*[F.lower(F.lit(run)).alias(f"run_{i}") for i, run in enumerate(runs)]).first()
+        wanted = {int(n) for run in lowered for numbers in _numbers(run) for n in numbers}
         pieces = self.spark.read.schema(f"{PART} int, bits array<int>").parquet(f"{self.path}/pieces")
+        if wanted:
+            pieces = pieces.where(F.size(F.array_except(F.lit(sorted(wanted)), F.col("bits"))) == 0)
         # A number per part.
-        found = pieces.where(F.size(F.array_except(wanted, F.col("bits"))) == 0).select(PART).collect()
+        found = pieces.select(PART).collect()
         return sorted(r[PART] for r in found)
 
     def search(self, text: str | None, targets: Mapping[str, tuple[Entity, DataFrame]] | None = None) -> DataFrame:

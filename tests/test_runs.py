@@ -177,3 +177,20 @@ def test_search_by_index_equals_search_and_skips_parts(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(__part" in plan_of(index.search("quetzal"))
     empty = write_search_index(records.limit(0), THING, str(tmp_path / "e"))
     assert empty.search("quetzal").count() == 0
+
+
+def test_a_long_text_is_indexed_in_one_pass(spark, tmp_path):
+    """Taking pieces out of a text by position walked it once per piece: minutes for this one."""
+    import time
+
+    from gridloom.operators.search_index import GRAM, SLICE, write_search_index
+
+    text = "".join(chr(97 + i * i % 23) for i in range(4 * SLICE))
+    # One word lies across two slices, one ends the text and is outside the basic plane.
+    text = text[: SLICE - 4] + "QUETZAL" + text[SLICE + 3 :] + "😀Ñandú"
+    records = spark.createDataFrame([("1", text, 1), ("2", "zzz short", 2), ("3", None, 3)], "id string, nombre string, n bigint")
+    start = time.monotonic()
+    index = write_search_index(records, THING, str(tmp_path / "s"), parts=2, columns=["nombre"])
+    assert [len(index.parts_with(word)) for word in ("quetzal", "😀ña", "wxyzwxyz")] == [1, 1, 0]
+    assert [r.id for w in ("quetzal", "😀ñan", "z s") for r in index.search(w).collect()] == ["1", "1", "2"]
+    assert time.monotonic() - start < 60 and GRAM == 3
