@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.cells import CELL_TYPE, TEXT, cell_of
 from gridloom.functions.stages import staged
 from gridloom.functions.text import header_key
-from gridloom.operators.profile import LongCells
+from gridloom.operators.profile import LongCells, dealt
 
 SHEET = ["file", "sheet_index"]
 #: The slots of long cells that a sheet fills.
@@ -218,8 +218,9 @@ def long_rows(rows: DataFrame, named: DataFrame) -> LongCells:
     """The cells of data rows in the form the profile reads. Missing cells are blank."""
     position = F.explode(F.sequence(F.lit(0), F.col("columns") - 1))
     cell = F.get("cells", F.col("position"))
-    cells = rows.where("columns > 0").select(*SHEET, "row_index", "cells", position.alias("position")).select(
-        *SHEET, "position", F.col("row_index").alias("row"), *[cell[slot[2:]].alias(slot) for slot in CELL_SLOTS]
+    rows, tasks, bucket = dealt(rows.where("columns > 0").select(*SHEET, "row_index", "columns", "cells"), F.col("columns"))
+    cells = rows.select(*bucket, *SHEET, "row_index", "cells", position.alias("position")).select(
+        *bucket, *SHEET, "position", F.col("row_index").alias("row"), *[cell[slot[2:]].alias(slot) for slot in CELL_SLOTS]
     )
     names = named.select(*SHEET, F.posexplode("names").alias("position", "column"))
 
@@ -229,7 +230,7 @@ def long_rows(rows: DataFrame, named: DataFrame) -> LongCells:
         others = [c for c in frame.columns if c not in (*SHEET, "position")]
         return joined.select(table.alias("table"), "column", "position", *others)
 
-    return LongCells(cells, (*SHEET, "position"), CELL_SLOTS, with_names)
+    return LongCells(cells, (*SHEET, "position"), CELL_SLOTS, with_names, tasks)
 
 
 def sheet_table(rows: DataFrame, names: list[str], file: str, sheet_index: int) -> DataFrame:

@@ -4,12 +4,17 @@ Cells are made long once and grouped as they are, by column and raw value, befor
 measured: text is built, normalized and tested once per distinct value and not per cell. A second
 grouping by normalized value gives one row per column and value, and everything else is computed from
 those rows. The columns of a table are told apart by numbers; their names are added at the end.
+
+A table of more than :data:`CELLS` cells is counted and dealt to as many tasks as that takes, which each
+group the values of their own rows; only these are moved again, to the second grouping. Sizes of
+shuffles don't tell how many values a task will hold, as alike values are packed to a few bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,7 +48,11 @@ DIGEST_OVER = 256
 #: Columns up to which the first values of a table (51 each at most) are broadcast.
 MAX_BROADCAST_COLUMNS = 4_096
 
+#: Cells whose values one task groups.
+CELLS = 500_000
+
 COLUMN = ("table", "column", "position")
+BUCKET = "__bucket"
 
 
 # The slots of a cell: text, number, whole number, decimal as text, boolean, time. One is filled.
@@ -56,13 +65,32 @@ SLOTS = {
 class LongCells:
     """Cells as rows: ``keys`` tell the column, ``row`` its place, and ``slots`` the raw value.
 
-    ``named`` turns the keys of a frame into table, column and position, which it puts first.
+    ``named`` turns the keys of a frame into table, column and position, which it puts first. With
+    several ``tasks``, the rows are dealt to these and have their number.
     """
 
     rows: DataFrame
     keys: tuple[str, ...]
     slots: tuple[str, ...]
     named: Callable[[DataFrame], DataFrame]
+    tasks: int = 1
+
+
+def _hashed(kind: T.DataType) -> bool:
+    """Whether values of this type can be hashed."""
+    return not any(name in kind.simpleString() for name in ("map<", "variant"))
+
+
+def dealt(df: DataFrame, width: Column | int) -> tuple[DataFrame, int, list[str]]:
+    """``df`` dealt evenly to tasks of some CELLS cells each, the number of tasks, and the column that
+    has the task's number, if there are several. ``width`` is the number of cells of a row."""
+    cells = df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0
+    tasks = ceil(cells / CELLS)
+    if tasks < 2:
+        return df, 1, []
+    hashed = [column(f.name) for f in df.schema if _hashed(f.dataType)]
+    number = F.pmod(F.xxhash64(*hashed), F.lit(tasks)).cast("int")
+    return df.withColumn(BUCKET, number).repartitionById(tasks, F.col(BUCKET)), tasks, [BUCKET]
 
 
 def _slot(value: Column, kind: T.DataType) -> tuple[str, Column]:
@@ -94,10 +122,11 @@ def long_cells(df: DataFrame, table: str, row: str, columns: list[str] | None =
         values = [(value if s == slot else F.lit(None)).cast(SLOTS[s]).alias(s) for s in slots]
         return F.struct(F.lit(position).alias("position"), *values)
 
+    df, tasks, bucket = dealt(df.select(*[column(c) for c in dict.fromkeys([row, *columns])]), len(columns))
     # An array knows that a slot may be null if it is in any of the columns; unpivot takes that from the
     # first column, and tests for null are then left out of the plan.
     rows = df.select(
-        column(row).cast("bigint").alias("row"), F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))
+        *bucket, column(row).cast("bigint").alias("row"), F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))
     )
     names = F.array(*[F.lit(c) for c in columns])
 
@@ -107,7 +136,7 @@ def long_cells(df: DataFrame, table: str, row: str, columns: list[str] | None =
             *[c for c in frame.columns if c != "position"],
         )
 
-    return LongCells(rows, ("position",), slots, named)
+    return LongCells(rows, ("position",), slots, named, tasks)
 
 
 def columns_of(spark: SparkSession, tables: dict[str, list[str]]) -> DataFrame:
@@ -174,7 +203,8 @@ def _distinct_cells(long: LongCells, digest: bool, counted: bool) -> DataFrame:
         )
         rows = rows.withColumn("long_key", short(F.col("long_key")))
         extra = ["long_key", "long_length", "long_mask"]
-    groups = [*long.keys, *slots, *extra]
+    # The rows of a bucket are in one task, so this grouping moves none.
+    groups = [*([BUCKET] if long.tasks > 1 else []), *long.keys, *slots, *extra]
     if not counted:
         reduced = rows.select(*groups).distinct()
     else:
@@ -189,10 +219,15 @@ def _distinct_cells(long: LongCells, digest: bool, counted: bool) -> DataFrame:
     texts = texts.withColumn("made_key", F.when(text.isNotNull(), _key(slots, text)))
     key = either(short(F.col("made_key")), "long_key").alias("key")
     if not counted:
-        return texts.select(*kept, key)
+        return _moved(long, texts.select(*kept, key))
     length = either(F.when(text.isNotNull(), text_length(text)), "long_length").alias("length")
     mask = either(F.when(text.isNotNull(), _mask(slots, text)), "long_mask").alias("mask")
-    return staged(texts.select(*kept, key, length, mask))
+    return _moved(long, staged(texts.select(*kept, key, length, mask)))
+
+
+def _moved(long: LongCells, cells: DataFrame) -> DataFrame:
+    """Equal keys of a large table together, in as many tasks as its rows."""
+    return cells if long.tasks < 2 else cells.repartition(long.tasks, *long.keys, "key")
 
 
 def value_stats(long: LongCells, digest: bool = False) -> DataFrame:

@@ -213,3 +213,30 @@ def test_stats_of_long_and_typed_values(spark, digest):
     assert got["f"] == {"2026-01-02t00:00:00.000z": (2, 0, 24), None: (1, 1, None)}
     whole = {r.key: r.n_integer for r in stats if r.column == "d"}
     assert whole == {"1.5": 0, "2": 1}
+
+
+def test_large_tables_are_profiled_in_as_many_tasks_as_their_cells_need(spark, monkeypatch):
+    """The sizes of shuffles left millions of values to a task, as alike values are packed to a few bits."""
+    from gridloom.functions.cells import CELL_TYPE
+    from gridloom.operators import headers, profile
+
+    words = ["a", " A ", "á", None, "", "12", "x" * 400, "No"]
+    rows = [(i if i % 5 else None, words[i % 8], i % 3 or None, {"k": i}) for i in range(300)] + [(1, "a", 1, {"k": 1})] * 40
+    df = spark.createDataFrame(rows, "row int, t string, n int, m map<string,int>").withColumn("u", F.col("row") * 7)
+    text = F.when(F.col("t").isNotNull(), F.struct(F.lit("text").alias("kind"), F.col("t").alias("s"), *[F.lit(None).cast(k).alias(c) for c, k in (("n", "double"), ("b", "boolean"), ("t", "timestamp_ntz"))]))
+    grid = df.select(F.lit("f").alias("file"), F.lit(0).alias("sheet_index"), F.coalesce("row", F.lit(0)).cast("bigint").alias("row_index"),
+                     F.lit(2).alias("columns"), F.array(text, text).cast(f"array<{CELL_TYPE.simpleString()}>").alias("cells"))
+    named = spark.createDataFrame([("f", 0, ["p", "q"])], "file string, sheet_index int, names array<string>")
+
+    def found():
+        longs = [profile.long_cells(df, "t", "row", ["t", "n", "u", "row"]), headers.long_rows(grid, named)]
+        stats = [profile.value_stats(long, digest) for long in longs for digest in (False, True)]
+        sets = [profile.value_sets(long) for long in longs]
+        tasks = [stats[0].rdd.getNumPartitions(), stats[1].rdd.getNumPartitions(), *[long.tasks for long in longs]]
+        return [sorted(map(repr, frame.collect())) for frame in (*stats, *sets)], tasks
+
+    whole, _ = found()
+    monkeypatch.setattr(profile, "CELLS", 50)
+    parts, tasks = found()
+    assert parts == whole
+    assert tasks == [28, 28, 28, 14]
