@@ -5,7 +5,7 @@ generalised path: tags and classes from the body down, with digits replaced, so
 ``div.post-17`` and ``div.post-4`` agree. Votes are summed per host and path in Spark, the path
 with most votes wins its host, and each page is read again with its host's path. A page where that
 path is missing, or holds less than ``LEAST_SHARE`` of what its own best container does, uses its
-own.
+own; ``LEAST_APART`` is enough where the two share no text, as a long advert beside the text would.
 
 Inside a container, elements that are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments by tag, role, class or id are left out. A class or id counts if all its
@@ -70,7 +70,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 KEEPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
          "th": {"tr", "table"}, "option": {"select"}}
 
-LONG, LINKED, LEAST_SHARE, MENU_ITEMS = 25, 0.5, 0.95, 3
+LONG, LINKED, LEAST_SHARE, LEAST_APART, MENU_ITEMS = 25, 0.5, 0.95, 0.2, 3
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: What ends a tag, or starts a quoted value in it.
@@ -347,7 +347,9 @@ class Page:
         voted = self._same(path) if path else set()
         if voted:
             lines = self.texts(voted)
-            if sum(map(len, lines)) >= LEAST_SHARE * sum(map(len, own)):
+            # A path that is part of the page's own may lose some of its text; one beside it has another.
+            least = LEAST_APART if set(lines).isdisjoint(own) else LEAST_SHARE
+            if sum(map(len, lines)) >= least * sum(map(len, own)):
                 return "\n".join(lines)
         return "\n".join(own)
 
