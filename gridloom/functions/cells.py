@@ -8,7 +8,7 @@ sheet, where the branches become a ``case``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +85,12 @@ class Cell:
         """False only when this cell is known to be of a kind with its own case."""
         return not isinstance(self.kind, str) or self.kind in (kind, BOOLEAN, DATETIME)
 
+    def text_unless(self, *kinds: str) -> Column:
+        """The text, null for a sheet's cell of these kinds, which have a value that is read instead."""
+        if isinstance(self.kind, str):
+            return self.text
+        return F.when(F.coalesce(~self.kind.isin(*kinds), F.lit(True)), self.text)
+
     @property
     def blank(self) -> Column:
         return self.branch(
@@ -178,11 +184,15 @@ def cells_of(df: DataFrame, columns: list[str] | None = None) -> dict[str, Cell]
 def trimmed(df: DataFrame) -> tuple[DataFrame, dict[str, Cell]]:
     """``df`` with its text columns trimmed, nulls as empty text, and the cells of its columns.
 
-    Expressions that read a text several times then read a column instead of trimming again.
+    The text of a sheet's cell is a column beside it. Expressions that read a text several times then read
+    a column instead of building it again.
     """
     cells, columns = cells_of(df), []
     for name, cell in cells.items():
-        if isinstance(cell.kind, str) and cell.kind == TEXT:
+        if not isinstance(cell.kind, str):
+            columns += [column(name), cell.text.alias(f"__text_of_{name}")]
+            cells[name] = replace(cell, text=column(f"__text_of_{name}"), no_words=None)
+        elif cell.kind == TEXT:
             columns.append(cell.text.alias(name))
             cells[name] = Cell(TEXT, column(name))
         else:

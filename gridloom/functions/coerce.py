@@ -95,11 +95,13 @@ def coerce(
     # From here on the text is a column that is already there.
     cell = {n: replace(source[n], text=F.col(f"__text_{n}"), no_words=None) for n in targets}
     numeric = {n: cell[n] for n, t in targets.items() if t.type in ("integer", "decimal")}
+    # White space inside a number goes with all else that is no part of one.
     df = with_numbers(
-        df, {f"__number_{n}": without_spaces(c.text) for n, c in numeric.items() if c.may_be(TEXT)}
+        df, {f"__number_{n}": c.text_unless(NUMBER) for n, c in numeric.items() if c.may_be(TEXT)}
     )
-    keyed = [n for n, t in targets.items() if t.type in ("boolean", "select")]
-    df = df.withColumns({f"__word_{n}": normalize_text(cell[n].text) for n in keyed})
+    words = {n: cell[n].text_unless(BOOLEAN, NUMBER) for n, t in targets.items() if t.type == "boolean"}
+    words |= {n: cell[n].text for n, t in targets.items() if t.type == "select"}
+    df = df.withColumns({f"__word_{n}": normalize_text(text) for n, text in words.items()})
     rules = {n: _RULES[t.type](cell[n], n, t) for n, t in targets.items()}
     df = df.withColumns(
         {

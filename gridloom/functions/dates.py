@@ -10,6 +10,8 @@ ISO_DATE = ISO_PREFIX + r"\z"
 ISO_TIME = (
     ISO_PREFIX + r"[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?( ?(Z|[+-][0-9]{2}(:?[0-9]{2})?))?\z"
 )
+#: Two digits, two digits and a year of four, which is what most people write.
+_FULL_DAY_FIRST = r"^[0-9]{2}[/\-.][0-9]{2}[/\-.](?!00)[0-9]{4}\z"
 DAY_FIRST = r"^([0-9]{1,2})[/\-.]([0-9]{1,2})[/\-.]([0-9]{2,4})\z"
 
 
@@ -18,7 +20,10 @@ def day_first(text: Column) -> Column:
     written = F.regexp_replace(text, DAY_FIRST, "$3-$2-$1")
     century = F.regexp_replace(written, r"^(?:00)?([0-9]{2})-", "20$1-")
     padded = F.regexp_replace(century, r"^([0-9]{3})-", "0$1-")
-    return F.when(text.rlike(DAY_FIRST), padded.try_cast("date"))
+    parts = [F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2)]
+    return F.when(text.rlike(_FULL_DAY_FIRST), F.concat_ws("-", *parts).try_cast("date")).when(
+        text.rlike(DAY_FIRST), padded.try_cast("date")
+    )
 
 
 def iso_date(text: Column) -> Column:

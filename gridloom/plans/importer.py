@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import entities as E
 from gridloom.plans.model import Entity, Model
+from gridloom.session import small_methods
 from gridloom.sources.report import stamped
 
 
@@ -92,7 +93,8 @@ def run_import(
     for entity in model.ordered():
         outcome = _outcome(entity, tables[entity.table], _lookups(model, entity, outcomes))
         where = f"{path}/{entity.name}"
-        stamped(outcome, now).write.partitionBy(E.STATUS).mode("overwrite").parquet(where)
+        with small_methods(spark):
+            stamped(outcome, now).write.partitionBy(E.STATUS).mode("overwrite").parquet(where)
         outcomes[entity.name] = spark.read.parquet(where)
     return Imported(model, tables, outcomes)
 

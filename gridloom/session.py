@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Beyond so many bytes the JVM interprets a method and never compiles it.
+_COMPILED_BYTES = 8000
+
+
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark splits generated methods that the JVM would not compile; a session's own limit stays."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, _COMPILED_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
@@ -52,7 +72,7 @@ def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         # Larger methods are not compiled by the JVM; let Spark split them instead.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.sql.codegen.hugeMethodLimit", str(_COMPILED_BYTES))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -1,12 +1,16 @@
 """Entities, links, failures and summaries on small sheets."""
 
+from dataclasses import replace
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions.dates import day_first
 from gridloom.operators import entities as E
 from gridloom.plans.importer import Table, plan_import, run_import
 from gridloom.plans.model import SOURCE, Entity, Field, Model
+from gridloom.session import small_methods
 from gridloom.sources import report
 
 CLIENTS = Entity(
@@ -139,3 +143,49 @@ def test_model_rules():
         Entity("a", "t", (Field("x"),), display="y")
     ordered = [e.name for e in Model((TRIPS, CLIENTS)).ordered()]
     assert ordered == ["clientes", "viajes"]
+
+
+def test_the_text_of_a_sheet_cell_is_built_once(spark):
+    cell = "struct<kind:string,s:string,n:double,b:boolean,t:timestamp_ntz>"
+    rows = [
+        (1, ("text", " Ánfora ", None, None, None), ("number", None, 1234.5, None, None), ("boolean", None, None, True, None)),
+        (2, ("number", None, 7.0, None, None), ("text", "1 234,5", None, None, None), ("text", " Sí ", None, None, None)),
+        (3, None, ("boolean", None, None, True, None), ("number", None, 0.0, None, None)),
+    ]
+    df = spark.createDataFrame(rows, f"row long, name {cell}, amount {cell}, paid {cell}")
+    entity = Entity("things", "t", (Field("name", source="name"), Field("amount", "decimal", "amount"),
+                                    Field("paid", "boolean", "paid")), display="name", dedupe="name")
+    outcome = E.import_entity(df, entity, "row")
+    got = {r["__source"]["row"]: (r["name"], r["amount"] and float(r["amount"]), r["paid"], r["__dedupe_key"], r["__status"], r["__raw"])
+           for r in outcome.collect()}
+    assert got == {
+        1: ("Ánfora", 1234.5, True, "anfora", "kept", None),
+        2: ("7", 1234.5, True, "7", "kept", None),
+        3: (None, None, False, None, "failed", ["", "true", "0"]),
+    }
+    # The text of a number has two such casts.
+    plan = E.import_entity(df, replace(entity, dedupe=None), "row")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("decimal(38,22)") <= len(entity.fields)
+
+
+def test_an_import_is_compiled_in_small_methods_and_leaves_the_session_as_it_was(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        with pytest.raises(KeyError), small_methods(spark):
+            assert spark.conf.get(name) == "8000"
+            raise KeyError
+        assert spark.conf.get(name, None) is None
+        spark.conf.set(name, "9000")
+        with small_methods(spark):
+            assert spark.conf.get(name) == "9000"
+        assert spark.conf.get(name) == "9000"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_full_dates_and_others(spark):
+    written = ["15/09/2026", "15/9/26", "31/02/2026", "01.02.0026", "01-02-026", "01-02-0126", "1/2/2026x", "", None]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in written], "w string").select(day_first(F.col("w")).cast("string")).collect()]
+    assert got == ["2026-09-15", "2026-09-15", None, "2026-02-01", "0026-02-01", "0126-02-01", None, None, None]
