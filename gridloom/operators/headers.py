@@ -34,15 +34,24 @@ def _cell(column: Column):
     return cell_of(column, CELL_TYPE)
 
 
+def _is_filled(cell: Column) -> Column:
+    return cell.isNotNull() & ~F.coalesce(_cell(cell).blank, F.lit(True))
+
+
 def filled(cells: Column) -> Column:
     """The cells of a row that hold something."""
-    return F.filter(cells, lambda c: c.isNotNull() & ~F.coalesce(_cell(c).blank, F.lit(True)))
+    return F.filter(cells, _is_filled)
 
 
 def row_width(cells: Column) -> Column:
     return F.size(filled(cells))
 
 
+def holds_something(cells: Column) -> Column:
+    """Whether the row has any width, which its first filled cell tells."""
+    return F.exists(cells, _is_filled)
+
+
 def _looks_like_header(cells: Column, max_length: int) -> Column:
     names = F.transform(filled(cells), lambda c: header_key(_cell(c).text))
     text = F.forall(
@@ -63,7 +72,9 @@ def sheet_facts(
     ``max_length`` characters.
     """
     scanned = F.col("row_index") < scan_depth
-    facts = grid.withColumn("width", row_width(F.col("cells"))).select(
+    # Below the rows that are searched it only matters whether there is any width.
+    width = F.when(scanned, row_width(F.col("cells"))).otherwise(holds_something(F.col("cells")).cast("int"))
+    facts = grid.withColumn("width", width).select(
         *SHEET,
         "sheet_name",
         "row_index",
@@ -170,7 +181,7 @@ def data_rows(grid: DataFrame, named: DataFrame) -> DataFrame:
     heads = named.select(*SHEET, "header_row", F.size("names").alias("columns"))
     return (
         grid.join(heads, SHEET)
-        .where((F.col("row_index") > F.col("header_row")) & (row_width(F.col("cells")) > 0))
+        .where((F.col("row_index") > F.col("header_row")) & holds_something(F.col("cells")))
         .select(*SHEET, "sheet_name", "row_index", "columns", "cells")
     )
 

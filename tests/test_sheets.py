@@ -249,3 +249,13 @@ def damaged(content, sheet):
         for name in old.namelist():
             new.writestr(name, sheet if name.endswith("sheet2.xml") else old.read(name))
     return out.getvalue()
+
+
+def test_rows_hold_something_where_they_have_a_width(spark):
+    cell = "struct<kind:string,s:string,n:double,b:boolean,t:timestamp_ntz>"
+    rows = [([None, ("text", " \u00a0", None, None, None)],), ([None, ("number", None, 0.0, None, None), ("text", "x", None, None, None)],),
+            ([("number", None, None, None, None)],), ([],), (None,), ([(None, None, None, None, None)],)]
+    cells = spark.createDataFrame(rows, f"cells array<{cell}>")
+    got = cells.select((H.row_width("cells") > 0).alias("wide"), H.holds_something(F.col("cells")).alias("held")).collect()
+    assert [r.held for r in got] == [False, True, False, False, None, False]
+    assert all((r.wide or False) == (r.held or False) for r in got)
