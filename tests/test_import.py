@@ -163,7 +163,7 @@ def test_the_text_of_a_sheet_cell_is_built_once(spark):
         2: ("7", 1234.5, True, "7", "kept", None),
         3: (None, None, False, None, "failed", ["", "true", "0"]),
     }
-    # The text of a number has two such casts.
+    # The text of a number has one such cast.
     plan = E.import_entity(df, replace(entity, dedupe=None), "row")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("decimal(38,22)") <= len(entity.fields)
 
