@@ -316,6 +316,56 @@ def test_top_k_of_few_rows(spark):
         assert topk.top_k(none, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def brute_ranks(rows, k):
+    whole = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    out = []
+    for own in {i for i, _ in whole if i % 20 == 0}:
+        query = min(v for i, v in whole if i == own)
+        scores = sorted((-sum(a * b for a, b in zip(query, v)), i) for i, v in whole if i != own)
+        out += [(own, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+def test_top_k_is_bounded_by_a_first_part_of_the_candidates(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(260)]
+    rows += [(1000 - i, rows[20][1]) for i in range(60)] + [(40, [0.25] * 8)] * 30 + [(7, rows[0][1])] * 25
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).repartition(4)
+    want = brute_ranks(rows, 20)
+    for first in (1, 100):
+        got = topk.top_k(vectors, F.col("vec_id") % 20 == 0, query_rows=9, candidate_rows=32, first_rows=first)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("most, paired", [(8, True), (300, False), (10**6, False), (3 * 10**8, False)])
+def test_block_of_candidates_scores_each_pair_once(monkeypatch, most, paired):
+    # Products hold two scores, or one in 32 or 64 bits of floating point or 64 bits of integers.
+    rng = np.random.default_rng(most)
+    data, asking = rng.integers(-most, most + 1, (5_000, 40)), rng.integers(-most, most + 1, (700, 40))
+    data[rng.random(5_000) < 0.001] = asking[3]
+    ids, own = rng.integers(0, 4_000, 5_000), np.arange(700)
+    scores = asking @ data.T
+    kth = np.sort(scores, axis=1)[:, -12]
+    kth[-5:] = topk.LOWEST
+    last = np.where(own % 2 == 0, topk.HIGHEST, 2_000)
+    pairs, product = [], topk.Block._product
+
+    def counted(block, queries, candidates):
+        pairs.append(queries.shape[0] * candidates.shape[1])
+        return product(block, queries, candidates)
+
+    monkeypatch.setattr(topk.Block, "_product", counted)
+    kind = np.int8 if most < 128 else np.int64
+    group = topk.Group(np.stack([own, kth, last], 1), asking.astype(kind))
+    found = topk.Block(ids, data.astype(kind), 20).best(group)
+    want = []
+    for q in own:
+        counts = (ids != q) & ((scores[q] > kth[q]) | ((scores[q] == kth[q]) & (ids <= last[q])))
+        want += [(q, i, -s) for s, i in sorted(zip(-scores[q][counts], ids[counts]))[:20]]
+    assert sorted(zip(found["query_id"], found["vec_id"], found["score"])) == sorted(want)
+    assert (sum(pairs) < 0.8 * scores.size) if paired else (sum(pairs) == scores.size)
+
+
 # Mixing
 
 
